@@ -35,7 +35,13 @@ def op9_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_url_reputation, op7_exact_dedup, op9_harmonic_packing)}
+def op10_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .piece_sampling import sample_pieces
+
+    return sample_pieces(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op2_url_reputation, op7_exact_dedup, op9_harmonic_packing, op10_piece_sampling)}
 
 ORACLES = {
     "op7_exact_dedup": """
