@@ -41,7 +41,14 @@ def op10_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sample_pieces(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op2_url_reputation, op7_exact_dedup, op9_harmonic_packing, op10_piece_sampling)}
+def op3_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lattice_lm import score_texts
+
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 1
+    return score_texts(table(spark, sf_dir, "documents"), held_out, tokenizer_path("piece_bpe_32k.model"), class_col="lang")
+
+
+QUERIES = {f.__name__: f for f in (op2_url_reputation, op3_lattice_lm, op7_exact_dedup, op9_harmonic_packing, op10_piece_sampling)}
 
 ORACLES = {
     "op7_exact_dedup": """
