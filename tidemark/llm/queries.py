@@ -23,12 +23,25 @@ def op2_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), labels, id_col="page_id", url_col="url", rules=RULES)
 
 
+def op5_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_reputation import url_host
+    from .wrapper_induction import extract
+
+    return extract(table(spark, sf_dir, "pages"), url_host(F.col("url")))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import label_copies
 
     return label_copies(table(spark, sf_dir, "documents"), keep="max")
 
 
+def op8_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .adaptive_scan import search
+
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op9_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .harmonic_packing import pack
 
@@ -48,7 +61,7 @@ def op3_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(table(spark, sf_dir, "documents"), held_out, tokenizer_path("piece_bpe_32k.model"), class_col="lang")
 
 
-QUERIES = {f.__name__: f for f in (op2_url_reputation, op3_lattice_lm, op7_exact_dedup, op9_harmonic_packing, op10_piece_sampling)}
+QUERIES = {f.__name__: f for f in (op2_url_reputation, op3_lattice_lm, op5_wrapper_induction, op7_exact_dedup, op8_adaptive_scan, op9_harmonic_packing, op10_piece_sampling)}
 
 ORACLES = {
     "op7_exact_dedup": """
