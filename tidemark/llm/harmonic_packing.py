@@ -18,7 +18,9 @@ documents.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -30,31 +32,58 @@ from pyspark.sql import functions as F
 SEQ_BITS = 40
 
 
+#: A run of letters and a run of ASCII marks without apostrophes: the tokenizer splits these there, and lowers the letters.
+_PLAIN = re.compile(r"([a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)")
+
+
 class ChunkTokenizer:
-    """Ids of a tokenizer that never merges across white space, with a bounded cache by chunk."""
+    """Ids of a lower-casing tokenizer that never merges across white space or between letters and
+    marks, with a bounded cache by chunk and by lowered word."""
 
-    def __init__(self, path: str, cache: int = 600_000):
+    def __init__(self, path: str, cache: int = 1_500_000):
         from tokenizers import Tokenizer
 
-        self.tok, self.cache, self.room = Tokenizer.from_file(path), {}, cache
+        self.tok, self.cache, self.words, self.room = Tokenizer.from_file(path), {}, {}, cache
 
     def __call__(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        if any("\x1c" <= c <= "\x1f" for c in set(text) & set("\x1c\x1d\x1e\x1f")):  # str.split takes them for white space, the tokenizer doesn't
+        if "<|" in text or _CONTROL.search(text):  # special tokens' strings; what str.split takes for white space and the tokenizer doesn't
             return self._encode([text])[0]
         chunks, cache = text.split(), self.cache
         try:
             return b"".join([cache[c] for c in chunks])
         except KeyError:
             pass
-        if len(cache) > self.room:
+        if len(cache) + len(self.words) > self.room:
             cache.clear()
-        new = [c for c in set(chunks) if c not in cache]
-        cache.update(zip(new, self._encode(new), strict=True))
+            if len(self.words) > self.room // 2:
+                self.words.clear()
+        words, found, odd, need = self.words, [], [], {}
+        for c in set(chunks):
+            if c in cache:
+                continue
+            if m := _PLAIN.fullmatch(c):
+                pair = (m[1].lower(), m[2])
+                found.append((c, pair))
+                need |= {w: None for w in pair if w not in words}
+            else:
+                odd.append(c)
+        words.update(zip(need, self._encode(list(need)), strict=True))
+        cache.update((c, words[w] + words[marks]) for c, (w, marks) in found)
+        cache.update(zip(odd, self._encode(odd), strict=True))
         return b"".join([cache[c] for c in chunks])
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)] if texts else []
+
+
+_CONTROL = re.compile("[\x1c-\x1f]")
+_TOKENIZERS: dict[str, ChunkTokenizer] = {}
+
+
+def tokenizer(path: str) -> ChunkTokenizer:
+    """One for each worker process, so that its cache outlives a task."""
+    return _TOKENIZERS.get(path) or _TOKENIZERS.setdefault(path, ChunkTokenizer(path))
 
 
 def cut_lengths(n: int, capacity: int, low_classes: int = 16) -> list[int]:
@@ -121,7 +150,7 @@ def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_c
     names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = ChunkTokenizer(tokenizer_path)
+        tok = tokenizer(tokenizer_path)
         packer = HarmonicPacker(capacity, TaskContext.get().partitionId() << SEQ_BITS)
         end = np.array([end_id], "<u4").tobytes()
 

@@ -16,6 +16,15 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit, score
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+    net = fit(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return score(docs, net).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op2_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .url_reputation import filter_urls
 
@@ -61,7 +70,7 @@ def op3_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(table(spark, sf_dir, "documents"), held_out, tokenizer_path("piece_bpe_32k.model"), class_col="lang")
 
 
-QUERIES = {f.__name__: f for f in (op2_url_reputation, op3_lattice_lm, op5_wrapper_induction, op7_exact_dedup, op8_adaptive_scan, op9_harmonic_packing, op10_piece_sampling)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_url_reputation, op3_lattice_lm, op5_wrapper_induction, op7_exact_dedup, op8_adaptive_scan, op9_harmonic_packing, op10_piece_sampling)}
 
 ORACLES = {
     "op7_exact_dedup": """
