@@ -32,6 +32,12 @@ def op2_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), labels, id_col="page_id", url_col="url", rules=RULES)
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op5_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .url_reputation import url_host
     from .wrapper_induction import extract
@@ -70,7 +76,7 @@ def op3_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(table(spark, sf_dir, "documents"), held_out, tokenizer_path("piece_bpe_32k.model"), class_col="lang")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_url_reputation, op3_lattice_lm, op5_wrapper_induction, op7_exact_dedup, op8_adaptive_scan, op9_harmonic_packing, op10_piece_sampling)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_url_reputation, op3_lattice_lm, op4_substring_dedup, op5_wrapper_induction, op7_exact_dedup, op8_adaptive_scan, op9_harmonic_packing, op10_piece_sampling)}
 
 ORACLES = {
     "op7_exact_dedup": """
