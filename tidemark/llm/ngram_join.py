@@ -14,8 +14,8 @@ of its links, at most one row for each set and block. A cell of many sets is man
 each pair of blocks; sets are blocked by size, and blocks whose sizes can't be similar never meet.
 
 Edge cases: null text counts as empty; a text without words has an empty set and no link; with fewer
-than n words the whole sequence is its only shingle; ids that occur more than once are one node,
-whose set is that of the smallest text.
+than n words the whole sequence is its only shingle; ids are taken to be distinct (rows with an
+id that occurs again count under one size and set).
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import blocks_for, release, written
 from .components import components
 from .textarrays import ascii_lower_points, code_points, mix, prefix_hash, span_hash, words
 
@@ -64,33 +64,154 @@ def shingles(texts: list[str], n: int) -> list[np.ndarray]:
     return out
 
 
-def needed(a: int, num: int, den: int) -> int:
-    """Least overlap that a set of size a has with any set it links to: num/den of its size."""
-    return -(-num * a // den)
+def _digest(x: np.ndarray) -> int:
+    if not len(x):
+        return 0
+    return int(mix(np.array([np.bitwise_xor.reduce(mix(x.view(np.uint64)))], np.uint64) + mix(np.array([len(x)], np.uint64))).view(np.int64)[0])
 
 
-def _sets_pass(n: int, slice_chars: int = 1 << 20):
-    """(id, text) to (id, size, set hash, set)."""
+def _batches(batches: Iterable[pa.RecordBatch], chars: int = 1 << 20) -> Iterator[tuple[list, list[str]]]:
+    ids, texts, held = [], [], 0
+    for b in batches:
+        for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            ids.append(i)
+            texts.append(t.as_py() or "")
+            held += len(texts[-1]) + 50
+            if held >= chars:
+                yield ids, texts
+                ids, texts, held = [], [], 0
+    if ids:
+        yield ids, texts
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays) if arrays else np.zeros(0, np.int64), pa.int64()))
+
+
+def sample_size(size: int, num: int, den: int, more: int = 20) -> int:
+    """How many of a set's smallest hashes are compared first: what it may miss and 1/more of it, at least one."""
+    return size * (den - num) // den + max(1, -(-size // more))
+
+
+def least_shared(size: int, num: int, den: int, more: int = 20) -> int:
+    """Of those, how many any set that links with it has among its own: its 1/more, by the smallest partner's size."""
+    return max(1, size * num // den // more)
+
+
+def _sets_pass(n: int, num: int, den: int, whole: bool):
+    """(id, text) to (id, size, digest, set or its smallest hashes)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def batch(ids: list, texts: list[str]) -> pa.RecordBatch:
+        for ids, texts in _batches(batches):
             sets = shingles(texts, n)
-            digest = [int(mix(np.array([np.bitwise_xor.reduce(mix(x.view(np.uint64)))], np.uint64) + mix(np.array([len(x)], np.uint64))).view(np.int64)[0]) if len(x) else 0 for x in sets]
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
-            flat = pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.diff(offsets).astype(np.int64)), pa.array(digest, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), flat)], names=["id", "size", "digest", "set"])
+            some = sets if whole else [x[: sample_size(len(x), num, den)] if len(x) else x for x in sets]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array([_digest(x) for x in sets], pa.int64()), _lists(some)], names=["id", "size", "digest", "set"]
+            )
+
+    return run
 
-        ids, texts, held = [], [], 0
+
+def _pack(t: pa.Table) -> pa.Table:
+    """A chunk's distinct sets in one row: smallest id and size of each, and their hashes end to end."""
+    ids, sizes, digests = (t[c].to_numpy() for c in ("id", "size", "digest"))
+    sets, chunk = t["set"].to_pylist(), t["chunk"][0].as_py()
+    first: dict[tuple[int, int], int] = {}
+    for i in np.argsort(ids, kind="stable").tolist():
+        first.setdefault((int(digests[i]), int(sizes[i])), i)
+    rows = sorted(first.values())
+    flat = [h for i in rows for h in sets[i]]
+    counts = [len(sets[i]) for i in rows]
+    kind = pa.list_(pa.int64())
+    return pa.table({"chunk": pa.array([chunk], pa.int64()), "ids": pa.array([ids[rows].tolist()], kind), "sizes": pa.array([sizes[rows].tolist()], kind), "counts": pa.array([counts], kind), "hashes": pa.array([flat], kind)})
+
+
+def _bucketed(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct (bucket << 32 | print) of hashes: the fragment and the 32 bits below."""
+    u = mix(h.view(np.uint64)) >> np.uint64(32 - bits)
+    return np.unique(u, return_inverse=True)
+
+
+def _ask(bits: int):
+    """A chunk's distinct prints by bucket, and whether two of its own sets have them."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for chunk, hs in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                u, inverse = _bucketed(hs.values.to_numpy().astype(np.int64), bits)
+                twice = np.bincount(inverse, minlength=len(u)) > 1
+                bucket = (u >> np.uint64(32)).astype(np.int64)
+                at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(u) else np.zeros(0, np.int64)
+                prints, own = np.split((u & np.uint64(0xFFFFFFFF)).astype("<u4"), at[1:]), np.split(twice, at[1:])
+                cols = [bucket[at].tolist(), [chunk] * len(at), [x.tobytes() for x in prints[: len(at)]], [np.packbits(x).tobytes() for x in own[: len(at)]]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int64(), pa.int64(), pa.binary(), pa.binary()], strict=True)], names=["bucket", "chunk", "prints", "own"])
+
+    return run
+
+
+def _answer(t: pa.Table) -> pa.Table:
+    """For one bucket: which prints of each chunk occur in two sets."""
+    prints = [np.frombuffer(x, "<u4") for x in t["prints"].to_pylist()]
+    own = [np.unpackbits(np.frombuffer(x, np.uint8))[: len(p)].astype(bool) for x, p in zip(t["own"].to_pylist(), prints, strict=True)]
+    _, inverse = np.unique(np.concatenate(prints), return_inverse=True)
+    shared = np.bincount(inverse)[inverse] > 1
+    cut = np.cumsum([len(p) for p in prints])[:-1]
+    bits = [np.packbits(s | o).tobytes() for s, o in zip(np.split(shared, cut), own, strict=True)]
+    return pa.table({"bucket": t["bucket"], "chunk": t["chunk"], "bits": pa.array(bits, pa.binary())})
+
+
+def _able(bits: int, num: int, den: int):
+    """Ids of a chunk's sets that share enough to link with some other set."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[np.ndarray] = []
+            for j in range(b.num_rows):
+                ids, sizes, counts, hs = (b.column(c)[j].values.to_numpy().astype(np.int64) for c in range(4))
+                u, inverse = _bucketed(hs, bits)
+                bucket = (u >> np.uint64(32)).astype(np.int64)
+                shared = np.zeros(len(u), bool)
+                for x in b.column(4)[j].as_py() or []:
+                    lo, hi = np.searchsorted(bucket, [x["bucket"], x["bucket"] + 1])
+                    shared[lo:hi] = np.unpackbits(np.frombuffer(x["bits"], np.uint8))[: hi - lo]
+                has = np.bincount(np.repeat(np.arange(len(ids)), counts), shared[inverse], len(ids))
+                out.append(ids[has >= [least_shared(int(s), num, den) for s in sizes]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out) if out else np.zeros(0, np.int64), pa.int64())], names=["id"])
+
+    return run
+
+
+SKETCH = 1 << 20
+
+
+def _sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often hashes fall into each of SKETCH slots, in 64 pieces."""
+    total = np.zeros(SKETCH, np.int64)
+    for b in batches:
+        total += np.bincount(b.column(0).flatten().to_numpy() & (SKETCH - 1), minlength=SKETCH)
+    pieces = total.astype("<u4").reshape(64, -1)
+    some = [i for i in range(64) if pieces[i].any()]
+    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([pieces[i].tobytes() for i in some], pa.binary())], names=["piece", "counts"])
+
+
+def _sum_sketch(t: pa.Table) -> pa.Table:
+    total = sum((np.frombuffer(x, "<u4").astype(np.int64) for x in t["counts"].to_pylist()), np.zeros(SKETCH // 64, np.int64))
+    return pa.table({"piece": t["piece"][:1], "counts": pa.array([np.minimum(total, 2**32 - 1).astype("<u4").tobytes()], pa.binary())})
+
+
+def _prefixes(often: np.ndarray, num: int, den: int):
+    """Each set's first shingles in the global order (rare slots first, then by hash): as many as a link can't all miss."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids.append(i)
-                texts.append(t.as_py() or "")
-                held += len(texts[-1])
-                if held >= slice_chars:
-                    yield batch(ids, texts)
-                    ids, texts, held = [], [], 0
-        if ids:
-            yield batch(ids, texts)
+            ids, hs = [], []
+            for i, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                h = x.values.to_numpy()
+                first = h[np.lexsort((h, often[h & (SKETCH - 1)]))][: len(h) * (den - num) // den + 1]
+                ids.append(np.full(len(first), i))
+                hs.append(first)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else np.zeros(0, np.int64), pa.int64()) for c in (ids, hs)], names=["id", "h"])
 
     return run
 
@@ -163,47 +284,47 @@ def _links(num: int, den: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 80, den: int = 100, block: int = 1024, owner: str = "ngram") -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 80, den: int = 100, block: int = 1024, chunk_bytes: int = 16 << 20, broadcast_ids: int = 2_000_000, owner: str = "ngram") -> DataFrame:
     """id, n_shingles, component_id of each distinct id; sets link at a Jaccard similarity of num / den or more."""
+    spark = docs.sparkSession
     raw = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    sets = written(raw.mapInArrow(_sets_pass(n), "id long, size long, digest long, set array<long>"), owner)
-    light = sets.select("id", "size", "digest").groupBy("id").agg(F.min(F.struct("size", "digest")).alias("m")).select("id", "m.size", "m.digest")
+    chunks = blocks_for(raw, "text", chunk_bytes)
+    some = written(raw.mapInArrow(_sets_pass(n, num, den, False), "id long, size long, digest long, set array<long>"), f"{owner}-some")
+    light = some.groupBy("id").agg(F.min(F.struct("size", "digest")).alias("m")).select("id", "m.size", "m.digest")
     reps = light.filter("size > 0").groupBy("size", "digest").agg(F.min("id").alias("rep"))
     light = written(light.join(reps, ["size", "digest"], "left").select("id", "size", F.coalesce("rep", "id").alias("rep")), owner)
-    classes = light.filter("size > 0 and rep = id").select("id", F.col("size").alias("_size"))
-    # A quarter of each set by hash. A set that links misses at most (den - num) / den of its shingles, so of this part all but those are shared.
-    slack = (den - num) / den
-    part = F.greatest(F.ceil(F.col("size") * (slack + 0.1)), F.floor(F.col("size") * slack) + 1)
-    class_sets = sets.join(classes.withColumnRenamed("id", "_id"), (F.col("id") == F.col("_id")) & (F.col("size") == F.col("_size"))).groupBy("id").agg(F.min("set").alias("set")).withColumn("size", F.size("set"))
-    class_sets = written(class_sets, owner)
-    sample = class_sets.select("id", "size", part.cast("int").alias("take"), F.explode(F.slice("set", F.lit(1), part.cast("int"))).alias("h"))
-    twice = sample.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo <> hi").select("h")
-    able = sample.join(twice, "h").groupBy("id").agg(F.count("*").alias("shared"), F.first("size").alias("size"), F.first("take").alias("take")).filter(F.col("shared") >= F.col("take") - F.floor(F.col("size") * slack)).select("id")
-    able = written(class_sets.join(able, "id", "left_semi"), owner)
-    # The global order, rare first, over the sets that go on; then each set's prefix in it.
-    every = able.select("id", "size", F.explode("set").alias("h"))
-    often = every.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
-    ranked = every.join(often, "h", "left").groupBy("id").agg(F.first("size").alias("size"), F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), F.col("h").alias("h")))).alias("o"))
-    length = (F.floor(F.col("size") * slack) + 1).cast("int")
-    prefix = ranked.select("id", F.explode(F.slice("o", F.lit(1), length)).alias("x")).select("id", "x.h", "x.df").filter("df > 1")
-    prefix = written(prefix.select("id", "h"), owner)
-    star = prefix.join(prefix.groupBy("h").agg(F.min("id").alias("b")), "h").select(F.col("id").alias("a"), "b").filter("a <> b").distinct()
-    cells = components(star, owner)
-    members = able.join(cells, F.col("id") == F.col("node")).select("id", "set", "size", F.col("root").alias("cell"))
+    # Which sets share enough of their smallest hashes to link at all: chunks ask each hash bucket, and it answers.
+    bits = min(24, max(4, math.ceil(math.log2(chunks * 2))))
+    packed = written(some.filter("size > 0").withColumn("chunk", F.pmod("digest", F.lit(chunks))).groupBy("chunk").applyInArrow(_pack, "chunk long, ids array<long>, sizes array<long>, counts array<long>, hashes array<long>"), f"{owner}-some")
+    asked = packed.select("chunk", "hashes").mapInArrow(_ask(bits), "bucket long, chunk long, prints binary, own binary")
+    answers = asked.groupBy("bucket").applyInArrow(_answer, "bucket long, chunk long, bits binary").groupBy(F.col("chunk").alias("_chunk")).agg(F.collect_list(F.struct("bucket", "bits")).alias("a"))
+    able = packed.join(answers, F.col("chunk") == F.col("_chunk"), "left").select("ids", "sizes", "counts", "hashes", "a").mapInArrow(_able(bits, num, den), "id long")
+    able = written(able.join(light.filter("rep = id").select(F.col("id").alias("_rep")), F.col("id") == F.col("_rep"), "left_semi"), owner)
+    release(spark, f"{owner}-some")
+    count = able.count()
+    side = able.select(F.col("id").alias("_able"))
+    texts = raw.join(F.broadcast(side) if count <= broadcast_ids else side, F.col("id") == F.col("_able"), "left_semi")
+    whole = texts.mapInArrow(_sets_pass(n, num, den, True), "id long, size long, digest long, set array<long>").drop("digest")
+    sets = written(whole, owner)
+    often = np.zeros(SKETCH, np.int64)
+    for r in sets.select("set").mapInArrow(_sketch, "piece long, counts binary").groupBy("piece").applyInArrow(_sum_sketch, "piece long, counts binary").collect():  # 64 rows of 64 KB
+        often[r["piece"] * (SKETCH // 64) : (r["piece"] + 1) * (SKETCH // 64)] = np.frombuffer(r["counts"], "<u4")
+    prefix = written(sets.select("id", "set").mapInArrow(_prefixes(often, num, den), "id long, h long"), owner)
+    meet = prefix.groupBy("h").agg(F.min("id").alias("b"), F.max("id").alias("c")).filter("b <> c").select("h", "b")
+    cells = components(prefix.join(meet, "h").select(F.col("id").alias("a"), "b").filter("a <> b").distinct(), owner)
+    members = written(sets.select("id", "size").join(cells, F.col("id") == F.col("node")).select("id", "size", F.col("root").alias("cell")), owner)
     # Blocks by size within a cell, from the counts of each size: no window over a whole cell.
-    per_size = members.groupBy("cell", "size").agg(F.count("*").alias("c"))
-    tally = per_size.groupBy("cell").agg(F.sum("c").alias("total"), F.array_sort(F.collect_list(F.struct("size", "c"))).alias("sizes"))
-    big = tally.filter(F.col("total") > block)
+    tally = members.groupBy("cell", "size").agg(F.count("*").alias("c")).groupBy("cell").agg(F.sum("c").alias("total"), F.array_sort(F.collect_list(F.struct("size", "c"))).alias("sizes"))
     before = F.aggregate(F.filter("sizes", lambda s: s["size"] < F.col("size")), F.lit(0).cast("long"), lambda acc, s: acc + s["c"])
     at = F.coalesce(before, F.lit(0)) + F.pmod(F.xxhash64("id"), F.coalesce(F.element_at(F.map_from_entries("sizes"), F.col("size")), F.lit(1)))
-    placed = members.join(big, "cell", "left").withColumn("k", F.when(F.col("total").isNull(), 0).otherwise(F.floor(at / block)).cast("int")).withColumn("blocks", F.coalesce(F.floor((F.col("total") - 1) / block) + 1, F.lit(1)).cast("int")).select("id", "set", "size", "cell", "k", "blocks")
-    placed = written(placed, owner)
-    bounds = placed.filter("blocks > 1").groupBy("cell", "k").agg(F.min("size").alias("lo"), F.max("size").alias("hi"))
+    placed = members.join(tally.filter(F.col("total") > block), "cell", "left")
+    placed = written(placed.select("id", "size", "cell", F.coalesce(F.floor(at / block), F.lit(0)).cast("int").alias("k"), F.col("total").isNull().alias("alone")), owner)
+    bounds = placed.filter("not alone").groupBy("cell", "k").agg(F.min("size").alias("lo"), F.max("size").alias("hi"))
     x, y = bounds.alias("x"), bounds.alias("y")
     meets = x.join(y, (F.col("x.cell") == F.col("y.cell")) & (F.col("x.k") <= F.col("y.k")) & (F.col("x.hi") * den >= F.col("y.lo") * num)).select(F.col("x.cell").alias("cell"), F.col("x.k").alias("i"), F.col("y.k").alias("j"))
     sides = meets.select("cell", F.col("i").alias("k"), "i", "j", F.when(F.col("i") == F.col("j"), 2).otherwise(0).alias("side")).unionByName(meets.filter("i < j").select("cell", F.col("j").alias("k"), "i", "j", F.lit(1).alias("side")))
-    alone = placed.filter("blocks = 1").select("id", "set", "cell", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(2).alias("side"))
-    tasks = alone.unionByName(placed.filter("blocks > 1").join(sides, ["cell", "k"]).select("id", "set", "cell", "i", "j", "side"))
-    links = tasks.groupBy("cell", "i", "j").applyInArrow(_links(num, den), "a long, b long")
+    alone = placed.filter("alone").select("id", "cell", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(2).alias("side"))
+    tasks = alone.unionByName(placed.filter("not alone").join(sides, ["cell", "k"]).select("id", "cell", "i", "j", "side"))
+    links = tasks.join(sets.select("id", "set"), "id").groupBy("cell", "i", "j").applyInArrow(_links(num, den), "a long, b long")
     found = components(links, owner)
     return light.join(found.select(F.col("node").alias("rep"), "root"), "rep", "left").select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.coalesce("root", "rep").alias("component_id"))

@@ -45,6 +45,12 @@ def op5_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"), url_host(F.col("url")))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), n=4, num=85)
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import label_copies
 
@@ -76,7 +82,7 @@ def op3_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(table(spark, sf_dir, "documents"), held_out, tokenizer_path("piece_bpe_32k.model"), class_col="lang")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_url_reputation, op3_lattice_lm, op4_substring_dedup, op5_wrapper_induction, op7_exact_dedup, op8_adaptive_scan, op9_harmonic_packing, op10_piece_sampling)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_url_reputation, op3_lattice_lm, op4_substring_dedup, op5_wrapper_induction, op6_ngram_join, op7_exact_dedup, op8_adaptive_scan, op9_harmonic_packing, op10_piece_sampling)}
 
 ORACLES = {
     "op7_exact_dedup": """
