@@ -65,3 +65,10 @@ def blocks_for(df: DataFrame, c: str, target_bytes: int, least: int = 1) -> int:
     """How many blocks of about target_bytes the text column c needs; one native pass."""
     total = df.agg(F.sum(F.octet_length(F.coalesce(F.col(c), F.lit("")))).alias("b")).first()["b"] or 0
     return max(least, -(-int(total) // target_bytes))
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str, owner: str, broadcast_ids: int = 1_000_000) -> DataFrame:
+    """The rows of docs whose id is not in gone(_gone); gone is broadcast only when counted to be small."""
+    gone = written(gone.select("_gone").distinct(), owner)
+    side = F.broadcast(gone) if gone.count() <= broadcast_ids else gone
+    return docs.join(side, docs[id_col] == F.col("_gone"), "left_anti")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, without
 
 #: identifier, rows
 Owner = tuple[int, int]
@@ -189,7 +189,7 @@ def label_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def drop_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
+def drop_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: str = "min", owner: str = "exact") -> DataFrame:
     """The rows of docs, all columns, that own their text."""
     gone = label_copies(docs, id_col=id_col, text_col=text_col, keep=keep).filter("not kept").select(F.col(id_col).alias("_gone"))
-    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+    return without(docs, gone, id_col, owner)
