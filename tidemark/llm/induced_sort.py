@@ -15,6 +15,7 @@ tuples that induced them; a running minimum for each character carries it along.
 from __future__ import annotations
 
 import tempfile
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +34,7 @@ class DiskQueue:
     """Tuples (place, common prefix) in order of arrival; segments go to disk beyond the limit."""
 
     def __init__(self, memory: Memory):
-        self.memory, self.segments, self.file = memory, [], None
+        self.memory, self.segments, self.file = memory, deque(), None
 
     def append(self, place: np.ndarray, lcp: np.ndarray) -> None:
         size = 12 * len(place)
@@ -53,13 +54,16 @@ class DiskQueue:
         n = segment[1]
         return np.frombuffer(self.file.read(8 * n), np.int64), np.frombuffer(self.file.read(4 * n), np.int32)
 
-    def pop(self) -> tuple[np.ndarray, np.ndarray]:
-        """The first segment, which leaves the queue."""
-        segment = self.segments.pop(0)
-        out = self._load(segment)
-        if isinstance(segment[0], np.ndarray):
-            self.memory.used -= 12 * len(out[0])
-        return out
+    def pop(self, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+        """The first segments, together about `most` tuples; they leave the queue."""
+        parts, n = [], 0
+        while self.segments and (not n or n < most):
+            segment = self.segments.popleft()
+            parts.append(self._load(segment))
+            n += len(parts[-1][0])
+            if isinstance(segment[0], np.ndarray):
+                self.memory.used -= 12 * len(segment[0])
+        return parts[0] if len(parts) == 1 else (np.concatenate([p for p, _ in parts]), np.concatenate([x for _, x in parts]))
 
     def __iter__(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for s in self.segments:

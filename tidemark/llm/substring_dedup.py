@@ -188,7 +188,7 @@ def _payloads(length: int):
     return run
 
 
-def _sort_shard(length: int, memory: int):
+def _sort_shard(length: int, memory: int, part: int = 3 << 20):
     """A shard's distinct blocks to the runs of their repeated strings."""
     span = pa.struct([("a", pa.int64()), ("b", pa.int64())])
 
@@ -198,15 +198,22 @@ def _sort_shard(length: int, memory: int):
             found.update(zip(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True), b.column(2).to_pylist(), strict=True))
         if not found:
             return
-        hits = repeated_starts(list(found.values()), length, memory)
-        keys, runs = [], []
-        for key, hit in zip(found, hits, strict=True):
-            edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
-            if len(edge):
-                keys.append(key)
-                runs.append([{"a": int(a), "b": int(c) + length - 1} for a, c in edge.reshape(-1, 2)])
-        cols = list(zip(*keys, strict=True)) or [(), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(runs, pa.list_(span))], names=["anchor", "block", "runs"])
+        order, at = sorted(found), 0
+        while at < len(order):
+            # Strings of different anchors never meet, so anchors are sorted a few megabytes at a time.
+            size, to = 0, at
+            while to < len(order) and (size < part or order[to][0] == order[to - 1][0]):
+                size += len(found[order[to]])
+                to += 1
+            keys, runs = [], []
+            for key, hit in zip(order[at:to], repeated_starts([found.pop(k) for k in order[at:to]], length, memory), strict=True):
+                edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
+                if len(edge):
+                    keys.append(key)
+                    runs.append([{"a": int(a), "b": int(c) + length - 1} for a, c in edge.reshape(-1, 2)])
+            cols = list(zip(*keys, strict=True)) or [(), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(runs, pa.list_(span))], names=["anchor", "block", "runs"])
+            at = to
 
     return run
 
