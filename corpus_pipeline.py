@@ -57,10 +57,10 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     prepare(spark)
     release(spark, SCRATCH)
-    cut = remove_repeats(docs, with_text=True, owner=SCRATCH).filter("n_removed > 0").select("row", F.col("kept_text").alias("_kept")).dropDuplicates(["row"])
-    keyed = docs.withColumn("_row", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit(""))))
-    text = F.when(F.col("_kept").isNotNull(), F.col("_kept")).otherwise(F.col("text"))
-    joined = keyed.join(cut, keyed["_row"] == cut["row"], "left")
+    cut = remove_repeats(docs, with_text=True, owner=SCRATCH).filter("n_removed > 0").select(F.col("row").alias("__tm_row"), F.col("kept_text").alias("__tm_kept")).dropDuplicates(["__tm_row"])
+    keyed = docs.withColumn("__tm_key", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit(""))))
+    text = F.when(F.col("__tm_kept").isNotNull(), F.col("__tm_kept")).otherwise(F.col("text"))
+    joined = keyed.join(cut, F.col("__tm_key") == F.col("__tm_row"), "left")
     out = [text.alias(c) if c == "text" else F.length(text).cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     return joined.select(*out)
 

@@ -68,7 +68,7 @@ def blocks_for(df: DataFrame, c: str, target_bytes: int, least: int = 1) -> int:
 
 
 def without(docs: DataFrame, gone: DataFrame, id_col: str, owner: str, broadcast_ids: int = 1_000_000) -> DataFrame:
-    """The rows of docs whose id is not in gone(_gone); gone is broadcast only when counted to be small."""
-    gone = written(gone.select("_gone").distinct(), owner)
+    """The rows of docs whose id is not in gone(_gone), nulls aside; gone is broadcast only when counted to be small."""
+    gone = written(gone.select(F.col("_gone").alias("__tm_gone")).distinct(), owner)
     side = F.broadcast(gone) if gone.count() <= broadcast_ids else gone
-    return docs.join(side, docs[id_col] == F.col("_gone"), "left_anti")
+    return docs.join(side, docs[id_col] == F.col("__tm_gone"), "left_anti")

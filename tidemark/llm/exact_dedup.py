@@ -7,7 +7,8 @@ Each input partition first builds such tries of its own, so a text shuffles at m
 input task, however many copies it has. A trie that outgrows its limit spills its largest subtree to
 an unnamed scratch file of the task and works it off afterwards.
 
-Edge cases: null text counts as empty, empty texts equal one another; rows with equal ids and equal
+Edge cases: null text counts as empty, empty texts equal one another; a null id owns a text only where no
+row with an id has it, and drop_copies never drops a row without an id; rows with equal ids and equal
 texts count separately in the group size; columns other than the id and the text are not read.
 """
 
@@ -170,10 +171,11 @@ def owners(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k
     """One row for each distinct normalised text (A-Z lowered): sha, n_bytes, id (its owner), rows."""
     pick = {"min": min, "max": max}[keep]
     text = ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).cast("binary")
-    base = docs.select(text.alias("text"), F.col(id_col).cast("long").alias("id"), F.lit(1).cast("long").alias("rows"))
+    last = (1 << 63) - 1 if keep == "min" else -(1 << 63)  # stands for a null id
+    base = docs.select(text.alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(last)).alias("id"), F.lit(1).cast("long").alias("rows"))
     local = base.mapInArrow(_trie_pass(pick, trie_bytes, False), "text binary, id long, rows long, n_bytes long, sha string")
     dealt = local.repartition(F.col("n_bytes"), F.col("sha")).select("text", "id", "rows")
-    return dealt.mapInArrow(_trie_pass(pick, trie_bytes, True), "id long, rows long, n_bytes long, sha string")
+    return dealt.mapInArrow(_trie_pass(pick, trie_bytes, True), "id long, rows long, n_bytes long, sha string").withColumn("id", F.nullif(F.col("id"), F.lit(last)))
 
 
 def label_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
@@ -183,9 +185,9 @@ def label_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """
     groups = owners(docs, id_col=id_col, text_col=text_col, keep=keep).filter("rows > 1").select(F.col("sha").alias("text_sha256"), F.col("id").alias("_owner"), F.col("rows").alias("_rows"))
     rows = docs.select(F.col(id_col), F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).cast("binary"), 256).alias("text_sha256"))
-    owner = F.coalesce(F.col("_owner"), F.col(id_col))
+    owner = F.when(F.col("_rows").isNull(), F.col(id_col)).otherwise(F.col("_owner"))
     return rows.join(groups, "text_sha256", "left").select(
-        id_col, owner.alias("keep_id"), F.coalesce(F.col("_rows"), F.lit(1)).cast("long").alias("group_size"), (owner == F.col(id_col)).alias("kept"), "text_sha256"
+        id_col, owner.alias("keep_id"), F.coalesce(F.col("_rows"), F.lit(1)).cast("long").alias("group_size"), owner.eqNullSafe(F.col(id_col)).alias("kept"), "text_sha256"
     )
 
 

@@ -9,7 +9,7 @@ nothing but its key, its text and the parameters, on whatever machine and in wha
 Decoding gives back the text exactly: spaces are the vocabulary's space mark, a literal mark and any
 character without a piece are spelled in UTF-8 bytes, and nothing is normalised.
 
-Edge cases: null text counts as empty and has no pieces; lone surrogates can't occur in Spark's
+Edge cases: null text counts as empty and has no pieces; a null key draws as 0; lone surrogates can't occur in Spark's
 strings. Texts are worked in slices of about a million characters, cut before a space or line feed
 (a run of more than that without either is cut as it is).
 """
@@ -143,7 +143,7 @@ def sample_pieces(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", t
 
         def finish(rows: list[tuple[int, str]]) -> pa.RecordBatch:
             cut = [(r, at, s) for r, (_, text) in enumerate(rows) for at, s in sampler.slices(text)]
-            keys = np.array([rows[r][0] for r, _, _ in cut], np.int64).astype(np.uint64) ^ mix(np.array([seed], np.uint64))
+            keys = np.array([rows[r][0] or 0 for r, _, _ in cut], np.int64).astype(np.uint64) ^ mix(np.array([seed], np.uint64))
             found = sampler.encode([s for _, _, s in cut], keys, np.array([at for _, at, _ in cut], np.int64))
             parts: list[list[np.ndarray]] = [[] for _ in rows]
             for (r, _, _), ids in zip(cut, found, strict=True):
