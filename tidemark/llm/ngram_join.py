@@ -15,7 +15,7 @@ each pair of blocks; sets are blocked by size, and blocks whose sizes can't be s
 
 Edge cases: null text counts as empty; a text without words has an empty set and no link; with fewer
 than n words the whole sequence is its only shingle; ids are taken to be distinct (rows with an
-id that occurs again count under one size and set).
+id that occurs again count under one size and set); rows without an id are no nodes.
 """
 
 from __future__ import annotations
@@ -89,6 +89,13 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays) if arrays else np.zeros(0, np.int64), pa.int64()))
 
 
+def _arrays(col: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and values of a list column, without Python objects."""
+    sizes = np.concatenate([np.diff(c.offsets.to_numpy()) for c in col.chunks]) if col.num_chunks else np.zeros(0, np.int64)
+    values = np.concatenate([c.flatten().to_numpy() for c in col.chunks]) if col.num_chunks else np.zeros(0, np.int64)
+    return np.concatenate([[0], np.cumsum(sizes)]), values
+
+
 def sample_size(size: int, num: int, den: int, more: int = 20) -> int:
     """How many of a set's smallest hashes are compared first: what it may miss and 1/more of it, at least one."""
     return size * (den - num) // den + max(1, -(-size // more))
@@ -116,15 +123,14 @@ def _sets_pass(n: int, num: int, den: int, whole: bool):
 def _pack(t: pa.Table) -> pa.Table:
     """A chunk's distinct sets in one row: smallest id and size of each, and their hashes end to end."""
     ids, sizes, digests = (t[c].to_numpy() for c in ("id", "size", "digest"))
-    sets, chunk = t["set"].to_pylist(), t["chunk"][0].as_py()
+    (cut, hashes), chunk = _arrays(t["set"]), t["chunk"][0].as_py()
     first: dict[tuple[int, int], int] = {}
     for i in np.argsort(ids, kind="stable").tolist():
         first.setdefault((int(digests[i]), int(sizes[i])), i)
     rows = sorted(first.values())
-    flat = [h for i in rows for h in sets[i]]
-    counts = [len(sets[i]) for i in rows]
-    kind = pa.list_(pa.int64())
-    return pa.table({"chunk": pa.array([chunk], pa.int64()), "ids": pa.array([ids[rows].tolist()], kind), "sizes": pa.array([sizes[rows].tolist()], kind), "counts": pa.array([counts], kind), "hashes": pa.array([flat], kind)})
+    counts = (cut[1:] - cut[:-1])[rows]
+    flat = np.concatenate([hashes[cut[i] : cut[i + 1]] for i in rows])
+    return pa.table({"chunk": pa.array([chunk], pa.int64()), "ids": _lists([ids[rows]]), "sizes": _lists([sizes[rows]]), "counts": _lists([counts]), "hashes": _lists([flat])})
 
 
 def _bucketed(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -234,12 +240,12 @@ def _forest(a: np.ndarray, b: np.ndarray, n: int) -> list[tuple[int, int]]:
     return out
 
 
-def overlaps(left: list[np.ndarray], right: list[np.ndarray], budget: int = 1 << 22) -> np.ndarray:
+def overlaps(left: list[np.ndarray], right: list[np.ndarray], budget: int = 1 << 20) -> np.ndarray:
     """Overlap of every left set with every right set: the shared shingles cut into fragments, partial counts summed."""
     n, m = len(left), len(right)
     total = np.zeros(n * m, np.int64)
     lt, rt = np.concatenate(left), np.concatenate(right)
-    ls, rs = np.repeat(np.arange(n), [len(x) for x in left]), np.repeat(np.arange(m), [len(x) for x in right])
+    ls, rs = np.repeat(np.arange(n, dtype=np.int32), [len(x) for x in left]), np.repeat(np.arange(m, dtype=np.int32), [len(x) for x in right])
     lo, ro = np.argsort(lt, kind="stable"), np.argsort(rt, kind="stable")
     lt, ls, rt, rs = lt[lo], ls[lo], rt[ro], rs[ro]
     shared = np.intersect1d(lt, rt)
@@ -257,7 +263,7 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray], budget: int = 1 <<
         times = b[lrow]
         li = np.repeat(ls[lpos], times)
         ri = rs[np.repeat(r0[at:to][lrow], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
-        total += np.bincount(li * m + ri, minlength=n * m)
+        total += np.bincount(li.astype(np.int64) * m + ri, minlength=n * m)
         at = to
     return total.reshape(n, m)
 
@@ -267,7 +273,8 @@ def _links(num: int, den: int):
 
     def run(t: pa.Table) -> pa.Table:
         ids, side = t["id"].to_numpy(), t["side"].to_numpy()
-        sets = [np.asarray(x) for x in t["set"].to_pylist()]
+        cut, values = _arrays(t["set"])
+        sets = [values[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
         order = np.lexsort((ids, side))
         li, ri = [i for i in order if side[i] != 1], [i for i in order if side[i] != 0]  # 2: a block with itself
         edges = []
@@ -287,7 +294,7 @@ def _links(num: int, den: int):
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 80, den: int = 100, block: int = 1024, chunk_bytes: int = 16 << 20, broadcast_ids: int = 2_000_000, owner: str = "ngram") -> DataFrame:
     """id, n_shingles, component_id of each distinct id; sets link at a Jaccard similarity of num / den or more."""
     spark = docs.sparkSession
-    raw = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    raw = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     chunks = blocks_for(raw, "text", chunk_bytes)
     some = written(raw.mapInArrow(_sets_pass(n, num, den, False), "id long, size long, digest long, set array<long>"), f"{owner}-some")
     light = some.groupBy("id").agg(F.min(F.struct("size", "digest")).alias("m")).select("id", "m.size", "m.digest")
