@@ -116,7 +116,7 @@ def embedding(features: DataFrame, seed: int = 0, rounds: int = 300, perplexity:
             y = y + v
         return pd.DataFrame({"dataset_id": [i[0] for i in w.index], "mts_class": [i[1] for i in w.index], "x": y[:, 0], "y": y[:, 1]})
 
-    return features.groupBy(F.lit(0)).applyInPandas(run, "dataset_id string, mts_class string, x double, y double")
+    return features.groupBy(F.lit("all").alias("study")).applyInPandas(run, "dataset_id string, mts_class string, x double, y double")
 
 
 def color_scale(name: Column, labels: Column, low: Column, high: Column) -> Column:
