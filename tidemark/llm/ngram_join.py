@@ -189,6 +189,8 @@ def _able(bits: int, num: int, den: int):
 
 
 SKETCH = 1 << 20
+#: The least that a set counts in a block of WEIGHT * block shingles.
+WEIGHT = 512
 
 
 def _sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,11 +323,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     cells = components(prefix.join(meet, "h").select(F.col("id").alias("a"), "b").filter("a <> b").distinct(), owner)
     members = written(sets.select("id", "size").join(cells, F.col("id") == F.col("node")).select("id", "size", F.col("root").alias("cell")), owner)
     # Blocks by size within a cell, from the counts of each size: no window over a whole cell.
-    tally = members.groupBy("cell", "size").agg(F.count("*").alias("c")).groupBy("cell").agg(F.sum("c").alias("total"), F.array_sort(F.collect_list(F.struct("size", "c"))).alias("sizes"))
-    before = F.aggregate(F.filter("sizes", lambda s: s["size"] < F.col("size")), F.lit(0).cast("long"), lambda acc, s: acc + s["c"])
-    at = F.coalesce(before, F.lit(0)) + F.pmod(F.xxhash64("id"), F.coalesce(F.element_at(F.map_from_entries("sizes"), F.col("size")), F.lit(1)))
-    placed = members.join(tally.filter(F.col("total") > block), "cell", "left")
-    placed = written(placed.select("id", "size", "cell", F.coalesce(F.floor(at / block), F.lit(0)).cast("int").alias("k"), F.col("total").isNull().alias("alone")), owner)
+    # A block is bounded in sets and in shingles: a set weighs its size, and WEIGHT at least.
+    weight = lambda size: F.greatest(size, F.lit(WEIGHT))
+    tally = members.groupBy("cell", "size").agg(F.count("*").alias("c")).groupBy("cell").agg(F.sum(F.col("c") * weight(F.col("size"))).alias("total"), F.array_sort(F.collect_list(F.struct("size", "c"))).alias("sizes"))
+    before = F.aggregate(F.filter("sizes", lambda s: s["size"] < F.col("size")), F.lit(0).cast("long"), lambda acc, s: acc + s["c"] * weight(s["size"]))
+    at = F.coalesce(before, F.lit(0)) + F.pmod(F.xxhash64("id"), F.coalesce(F.element_at(F.map_from_entries("sizes"), F.col("size")), F.lit(1))) * weight(F.col("size"))
+    placed = members.join(tally.filter(F.col("total") > block * WEIGHT), "cell", "left")
+    placed = written(placed.select("id", "size", "cell", F.coalesce(F.floor(at / (block * WEIGHT)), F.lit(0)).cast("int").alias("k"), F.col("total").isNull().alias("alone")), owner)
     bounds = placed.filter("not alone").groupBy("cell", "k").agg(F.min("size").alias("lo"), F.max("size").alias("hi"))
     x, y = bounds.alias("x"), bounds.alias("y")
     meets = x.join(y, (F.col("x.cell") == F.col("y.cell")) & (F.col("x.k") <= F.col("y.k")) & (F.col("x.hi") * den >= F.col("y.lo") * num)).select(F.col("x.cell").alias("cell"), F.col("x.k").alias("i"), F.col("y.k").alias("j"))
