@@ -103,3 +103,9 @@ def test_files_come_back(spark, tmp_path):
     assert {(r.t, r.proc): r.x for r in series.read_npy(spark, str(tmp_path)).collect()} == {(t, p): a[t, p] for t in range(3) for p in range(2)}
     assert series.read_npz_edges(spark, str(tmp_path)).count() == 4
     assert [r[0] for r in series.read_subset(spark, str(tmp_path / "names.txt")).collect()] == ["b", "a"]
+
+
+def test_forward_selection_goes_on_to_all_features(spark):
+    out = QUERIES["feature_select_forward"](spark, SF).orderBy("step").collect()
+    pairs = {r.spi_a + "|" + r.spi_b for r in QUERIES["feat_spi_spi_split"](spark, SF).select("spi_a", "spi_b").distinct().collect()}
+    assert [r.step for r in out] == list(range(min(12, len(pairs)))) and {r.feature for r in out} == pairs

@@ -38,8 +38,6 @@ def pca(features: DataFrame, k: int = 2) -> tuple[DataFrame, list[float]]:
 def estimator(kind: str, classes: int):
     from pyspark.ml import classification as C
 
-    if kind == "rf":
-        return C.RandomForestClassifier(featuresCol="v", labelCol="y", numTrees=50, seed=0)
     if kind == "logistic":
         return C.LogisticRegression(featuresCol="v", labelCol="y", maxIter=100)
     if kind == "svc":
@@ -48,6 +46,48 @@ def estimator(kind: str, classes: int):
     raise ValueError(f"unknown estimator {kind}")
 
 
+def forest_accuracy(x, y, test_x, test_y, trees: int = 300, seed: int = 0) -> float:
+    """Accuracy on the test rows of a random forest: bootstraps, Gini, square root of the features a split, leaves pure or inseparable.
+
+    Test rows go down with each tree as it grows; branches that none of them reaches are not grown.
+    """
+    import numpy as np
+
+    rng, n, width = np.random.default_rng(seed), len(y), x.shape[1]
+    classes = int(max(y.max(), test_y.max())) + 1
+    hot, votes = np.eye(classes)[y], np.zeros((len(test_y), classes))
+    tries = max(1, int(math.sqrt(width)))
+    for _ in range(trees):
+        todo = [(rng.integers(0, n, n), np.arange(len(test_y)))]
+        while todo:
+            rows, test = todo.pop()
+            if not len(test):
+                continue
+            count = np.bincount(y[rows], minlength=classes)
+            best, split = -1.0, None
+            if count.max() < len(rows):
+                for k, f in enumerate(rng.permutation(width)):
+                    if k >= tries and split:
+                        break
+                    v = x[rows, f]
+                    order = np.argsort(v, kind="stable")
+                    v = v[order]
+                    cut = np.flatnonzero(v[1:] > v[:-1])
+                    if not len(cut):
+                        continue
+                    left = np.cumsum(hot[rows[order]], 0)[cut]
+                    gain = (left**2).sum(1) / (cut + 1) + ((count - left) ** 2).sum(1) / (len(rows) - cut - 1)
+                    at = int(gain.argmax())
+                    if gain[at] > best:
+                        best, split = gain[at], (f, (v[cut[at]] + v[cut[at] + 1]) / 2)
+            if split is None:
+                votes[test] += count / len(rows)
+                continue
+            here, there = x[rows, split[0]] <= split[1], test_x[test, split[0]] <= split[1]
+            todo += [(rows[here], test[there]), (rows[~here], test[~there])]
+    return float((votes.argmax(1) == test_y).mean())
+
+
 def folds(x: DataFrame, splits: int) -> tuple[DataFrame, int]:
     """Stratified fold numbers; as many folds as the smallest class has rows, at least 2, at most splits."""
     least = x.groupBy("y").count().agg(F.min("count")).first()[0]
@@ -55,8 +95,13 @@ def folds(x: DataFrame, splits: int) -> tuple[DataFrame, int]:
     return x.withColumn("fold", (F.row_number().over(Window.partitionBy("y").orderBy("dataset_id")) - 1) % k), k
 
 
-def forward_selection(features: DataFrame, target: int, splits: int = 5, kind: str = "logistic", candidates: list[str] | None = None) -> list[tuple[str, float]]:
-    """Feature after feature, the one that raises cross-validated accuracy most (ties: first by name), with that accuracy."""
+def forward_selection(features: DataFrame, target: int = 12, splits: int = 5, kind: str = "rf", candidates: list[str] | None = None) -> list[tuple[str, float]]:
+    """Feature after feature, the one that raises cross-validated accuracy most (ties: first by name), with that accuracy.
+
+    At most target features, or all there are. Forests: every candidate's every fold is a task, and gets
+    the study's matrix (a row a dataset) by broadcast; the other estimators are Spark's.
+    """
+    import numpy as np
     from pyspark.ml.evaluation import MulticlassClassificationEvaluator
     from pyspark.ml.feature import StringIndexer, VectorSlicer
 
@@ -67,13 +112,35 @@ def forward_selection(features: DataFrame, target: int, splits: int = 5, kind: s
     n_classes = x.select("y").distinct().count()
     score = MulticlassClassificationEvaluator(labelCol="y", metricName="accuracy")
     chosen: list[tuple[str, float]] = []
+    spark = x.sparkSession
+    if kind == "rf":
+        got = x.orderBy("dataset_id").select("x", "y", "fold").collect()
+        held = spark.sparkContext.broadcast((np.array([r["x"].toArray() for r in got]), np.array([int(r["y"]) for r in got]), np.array([r["fold"] for r in got])))
+
+    def forests(jobs: list[list[int]]) -> list[list[float]]:
+        """Accuracies by fold for each list of columns."""
+
+        def run(frames):
+            m, y, fold = held.value
+            for pdf in frames:
+                pdf["accuracy"] = [forest_accuracy(m[fold != f][:, list(at)], y[fold != f], m[fold == f][:, list(at)], y[fold == f]) for at, f in zip(pdf["at"], pdf["fold"], strict=True)]
+                yield pdf[["job", "fold", "accuracy"]]
+
+        todo = spark.createDataFrame([(n * k + f, n, f, at) for n, at in enumerate(jobs) for f in range(k)], "id int, job int, fold int, at array<int>")
+        done = {(r["job"], r["fold"]): r["accuracy"] for r in todo.repartitionByRange(len(jobs) * k, "id").mapInPandas(run, "job int, fold int, accuracy double").collect()}
+        return [[done[n, f] for f in range(k)] for n in range(len(jobs))]
+
     left = [n for n in names if candidates is None or n in candidates]
     while left and len(chosen) < target:
         best = ("", -1.0)
-        for name in left:
-            at = [names.index(n) for n, _ in chosen] + [names.index(name)]
-            v = VectorSlicer(inputCol="x", outputCol="v", indices=at).transform(x)
-            acc = [score.evaluate(estimator(kind, n_classes).fit(v.filter(F.col("fold") != f)).transform(v.filter(F.col("fold") == f))) for f in range(k)]
+        sets = [[names.index(n) for n, _ in chosen] + [names.index(name)] for name in left]
+        by_forest = forests(sets) if kind == "rf" else None
+        for c, name in enumerate(left):
+            if by_forest:
+                acc = by_forest[c]
+            else:
+                v = VectorSlicer(inputCol="x", outputCol="v", indices=sets[c]).transform(x)
+                acc = [score.evaluate(estimator(kind, n_classes).fit(v.filter(F.col("fold") != f)).transform(v.filter(F.col("fold") == f))) for f in range(k)]
             if sum(acc) / k > best[1] + 1e-12:
                 best = (name, sum(acc) / k)
         chosen.append(best)

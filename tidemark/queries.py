@@ -198,7 +198,7 @@ query("ks_topk", f"{CL} SELECT class_a, class_b, feature, {R.format('max(abs(fa
 query("ks_kde")(lambda s, d: E.ks_kde(classed(s, d), ["0", "1", "2"], 0.5))
 query("pca_scores")(lambda s, d: learn.pca(classed(s, d))[0])
 query("tsne_scores")(lambda s, d: learn.embedding(classed(s, d)))
-query("feature_select_forward")(lambda s, d: s.createDataFrame([(k, *x) for k, x in enumerate(learn.forward_selection(classed(s, d), 1, 2))], "step int, feature string, accuracy double"))
+query("feature_select_forward")(lambda s, d: s.createDataFrame([(k, *x) for k, x in enumerate(learn.forward_selection(classed(s, d)))], "step int, feature string, accuracy double"))
 
 # ---- generators, grids, strings ---------------------------------------------------------
 
