@@ -249,6 +249,18 @@ def test_toxicity(spark):
     assert toxicity.score(docs.limit(0), net).count() == 0
 
 
+def test_toxicity_reads_long_runs_to_their_end():
+    run = lambda i: "_".join(prose(i, 60).split()) + "_vilestem" * (i % 4 == 0) + "_" + "_".join(prose(1000 + i, 10).split())
+    texts = [run(i) for i in range(240)]
+    net = toxicity.train(texts, np.array([float(i % 4 == 0) for i in range(240)]), toxicity.Settings())
+    score = toxicity.score_texts(net, [run(i) for i in range(400, 480)])
+    assert np.mean((score >= 0.5) == [i % 4 == 0 for i in range(400, 480)]) >= 0.9
+    long, word = toxicity.Words(["字" * 400 + "vilestem" + "文" * 400]), toxicity.Words(["vilestem"])
+    inner = np.intersect1d(toxicity.Words(["qqqvilestemqqq"]).grams, word.grams)
+    assert len(inner) == 6 + 5 + 4 and np.isin(inner, long.grams).all()
+    assert len(long.seq) == 25 and (toxicity.Words(["a" * 40]).seq == [0]).all()
+
+
 def test_gradients_are_right():
     s = toxicity.Settings(window=5, stride=3, hidden=3, width=4)
     w = toxicity.Words(["one two three four five six seven", "two six ten"])

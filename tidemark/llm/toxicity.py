@@ -1,6 +1,7 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, in numpy.
 
-A word is a time step. Its input joins a word embedding with a character embedding, the mean over
+A word is a time step; a run of over 40 characters without white space (text of a script that sets
+none, joined words) is cut into overlapping pieces of 40, a time step each. A step's input joins a word embedding with a character embedding, the mean over
 its character 3- to 5-grams (with word boundaries). A window of words runs through a gated recurrent
 network in both directions; attention weighs the states, and their sum gives the window's logit.
 Every overlapping window of a text is scored, and the text's score is that of its highest window.
@@ -31,6 +32,7 @@ from pyspark.sql import functions as F
 from .textarrays import ascii_lower_points, code_points, prefix_hash, span_hash, words
 
 GRAMS = (3, 4, 5)
+_LONG, _STEP = 40, 32  # longer runs are cut into pieces, each overlapping the next by more than a gram
 _EDGE = 0x110001  # a word's boundary among code points
 
 
@@ -56,12 +58,16 @@ class Words:
         points, bounds = code_points(texts)
         points = ascii_lower_points(points)
         start, end, doc = words(points, bounds)
+        parts = np.maximum(1, -(-(end - start - (_LONG - _STEP)) // _STEP))
+        inner = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        start = np.repeat(start, parts) + inner * _STEP
+        end, doc = np.minimum(start + _LONG, np.repeat(end, parts)), np.repeat(doc, parts)
         h = span_hash(prefix_hash(points), start, end)
         self.hash, first, self.seq = np.unique(h, return_index=True, return_inverse=True)
         self.cut = np.searchsorted(doc, np.arange(len(texts) + 1))
         # Each distinct word once more, with a boundary on either side.
         s, e = start[first], end[first]
-        size = np.minimum(e - s, 40) + 2  # grams of a run of over 40 characters: those of its beginning; the word's own hash is of the whole
+        size = e - s + 2
         off = np.concatenate([[0], np.cumsum(size)])
         flat = np.full(off[-1], _EDGE, np.uint32)
         inner = np.arange(off[-1]) - np.repeat(off[:-1], size)
