@@ -109,3 +109,10 @@ def test_forward_selection_goes_on_to_all_features(spark):
     out = QUERIES["feature_select_forward"](spark, SF).orderBy("step").collect()
     pairs = {r.spi_a + "|" + r.spi_b for r in QUERIES["feat_spi_spi_split"](spark, SF).select("spi_a", "spi_b").distinct().collect()}
     assert [r.step for r in out] == list(range(min(12, len(pairs)))) and {r.feature for r in out} == pairs
+
+
+def test_ks_compares_every_two_classes(spark, duck):
+    a, b = QUERIES["ks_sweep"](spark, SF).toPandas(), duck.sql(ORACLES["ks_sweep"]).df()
+    assert rows(a) == rows(b) and len(a.groupby(["class_a", "class_b"])) == 45
+    kde = QUERIES["ks_kde"](spark, SF)
+    assert kde.select("class_a", "class_b").distinct().count() == 45

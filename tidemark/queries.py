@@ -195,7 +195,18 @@ cdf AS (SELECT *, sum(CAST(in_a AS INTEGER)) OVER r / sum(CAST(in_a AS INTEGER))
 for alt, gap in (("two-sided", "abs(fa - fb)"), ("greater", "fa - fb"), ("less", "fb - fa")):
     query(f"ks_{alt.replace('-', '_')}", f"{CL} SELECT class_a, class_b, feature, {R.format(f'max({gap})')} AS ks, count(*) FILTER (in_a) AS n_a, count(*) FILTER (NOT in_a) AS n_b FROM cdf GROUP BY class_a, class_b, feature")(lambda s, d, a=alt: rounded(E.ks_between(classed(s, d), ["0", "1", "2"], a), "ks"))
 query("ks_topk", f"{CL} SELECT class_a, class_b, feature, {R.format('max(abs(fa - fb))')} AS ks FROM cdf GROUP BY class_a, class_b, feature ORDER BY ks DESC, class_a, class_b, feature LIMIT 25")(lambda s, d: rounded(E.ks_between(classed(s, d), ["0", "1", "2"]), "ks").orderBy(F.desc("ks"), "class_a", "class_b", "feature").limit(25).select("class_a", "class_b", "feature", "ks"))
-query("ks_kde")(lambda s, d: E.ks_kde(classed(s, d), ["0", "1", "2"], 0.5))
+
+
+def every_class(s: SparkSession, d: str, ks: Callable[[DataFrame, list[str]], DataFrame]) -> DataFrame:
+    """A statistic between each two of the classes that the data have, in order of name."""
+    f = classed(s, d)
+    return ks(f, [r[0] for r in f.select("mts_class").distinct().orderBy("mts_class").collect()])  # class names only
+
+
+PC = "pc AS (SELECT a.mts_class AS class_a, b.mts_class AS class_b FROM (SELECT DISTINCT mts_class FROM cl) a JOIN (SELECT DISTINCT mts_class FROM cl) b ON a.mts_class < b.mts_class),"
+SWEEP = "\n".join(PC if line.startswith("pc AS") else line for line in CL.split("\n"))
+query("ks_sweep", f"{SWEEP} SELECT class_a, class_b, feature, {R.format('max(abs(fa - fb))')} AS ks, count(*) FILTER (in_a) AS n_a, count(*) FILTER (NOT in_a) AS n_b FROM cdf GROUP BY class_a, class_b, feature")(lambda s, d: rounded(every_class(s, d, E.ks_between), "ks"))
+query("ks_kde")(lambda s, d: every_class(s, d, lambda f, classes: E.ks_kde(f, classes, 0.5)))
 query("pca_scores")(lambda s, d: learn.pca(classed(s, d))[0])
 query("tsne_scores")(lambda s, d: learn.embedding(classed(s, d)))
 query("feature_select_forward")(lambda s, d: s.createDataFrame([(k, *x) for k, x in enumerate(learn.forward_selection(classed(s, d)))], "step int, feature string, accuracy double"))
