@@ -227,6 +227,16 @@ def test_wrapper_induction(spark):
     assert wrapper_induction.extract(pages.limit(0), url_reputation.url_host(F.col("url"))).count() == 0
 
 
+def extracted(spark, bodies):
+    pages = spark.createDataFrame([(i, "http://h/", b) for i, b in enumerate(bodies)], "page_id long, url string, html string").repartition(3)
+    return {r.page_id: r.text for r in wrapper_induction.extract(pages, url_reputation.url_host(F.col("url"))).collect()}
+
+
+def test_wrapper_of_copies(spark):
+    out = extracted(spark, [f"<nav>n{i}</nav><div><p>Same text</p><p>again</p></div><footer>{i}</footer>" for i in range(8)])
+    assert set(out.values()) == {"Same text\n\nagain"}
+
+
 def test_toxicity(spark):
     r = random.Random(0)
     rows, labels = [], []
