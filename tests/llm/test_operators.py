@@ -237,6 +237,21 @@ def test_wrapper_of_copies(spark):
     assert set(out.values()) == {"Same text\n\nagain"}
 
 
+def test_wrapper_of_several_layouts(spark):
+    out = extracted(spark, [f"<nav>n{i}</nav><div class=a><p>Text {i}</p></div>" for i in range(8)] + ["<nav>x</nav><article><p>" + "Other layout " * 20 + "</p></article>"])
+    assert all(out[i] == f"Text {i}" for i in range(8)) and out[8].startswith("Other layout")
+    out = extracted(spark, [f"<nav>n{i}</nav><article id=post-{i} class='post post-{i}'><p>{'Text ' * (i + 1)}</p></article>" for i in range(8)])
+    assert all(out[i] == ("Text " * (i + 1)).strip() for i in range(8))
+    out = extracted(spark, [f"<nav>n{i}</nav><section id=the-{'abcdefgh'[i]}-story><p>{'Text ' * (i + 1)}</p></section>" for i in range(8)])
+    assert all(out.values())
+
+
+def test_wrapper_aligns_long_lists():
+    kid = lambda label: (label, (), [])
+    xs, ys = [kid("hr")] * 1100 + [kid("article")], [kid(f"p .{'ab'[k % 2]}") for k in range(1100)] + [kid("article")]
+    assert wrapper_induction.aligned(xs, ys, {}) == [(1100, 1100, 1)]
+
+
 def test_toxicity(spark):
     r = random.Random(0)
     rows, labels = [], []
