@@ -8,10 +8,11 @@ _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
+KEPT = 1 << 20
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base ** 0 .. base ** n modulo 2**64; grown by doubling and kept."""
+    """base ** 0 .. base ** n modulo 2**64; grown by doubling and kept up to KEPT of them."""
     have = _powers.get(base)
     if have is None or len(have) <= n:
         size = 1 << max(10, int(n).bit_length())
@@ -21,7 +22,8 @@ def powers(base: int, n: int) -> np.ndarray:
             take = min(filled, size + 1 - filled)
             have[filled : filled + take] = have[:take] * _U(pow(base, filled, 1 << 64))
             filled += take
-        _powers[base] = have
+        if size <= KEPT:
+            _powers[base] = have
     return have
 
 

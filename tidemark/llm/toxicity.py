@@ -1,16 +1,18 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, in numpy.
 
 A word is a time step; a run of over 40 characters without white space (text of a script that sets
-none, joined words) is cut into overlapping pieces of 40, a time step each. A step's input joins a word embedding with a character embedding, the mean over
-its character 3- to 5-grams (with word boundaries). A window of words runs through a gated recurrent
+none, joined words) is cut into overlapping pieces of 40, a time step each. A step's input joins a word
+embedding with a character embedding, the sum over its character 3- to 5-grams (with word boundaries)
+by the root of their number. A window of words runs through a gated recurrent
 network in both directions; attention weighs the states, and their sum gives the window's logit.
 Every overlapping window of a text is scored, and the text's score is that of its highest window.
 
 Training: labels belong to texts, not windows, so each round picks the windows that now score
 highest in each training text and takes gradient steps (Adam, backpropagation through time) on
 those. The first round picks by the words' and grams' log odds, which also start one coordinate of
-their embeddings. The sample of labelled rows is bounded (`max_rows`, half of it toxic at most, both
-parts in order of a hash of the id); scoring has no bound: whole texts, all windows.
+their embeddings. The sample of labelled rows is bounded (`max_rows`, a third of it toxic at most, both
+parts in order of a hash of the id; of these, texts of `max_bytes` together, and none of over a
+sixteenth of that); scoring has no bound: whole texts, all windows, a bounded number of them at a time.
 
 Edge cases: null text counts as empty; a text without words has one empty window and gets the
 network's score for it; labels that are null or neither 0 nor 1 are not learned from; several labels
@@ -26,10 +28,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import prepare
 from .textarrays import ascii_lower_points, code_points, prefix_hash, span_hash, words
+from .workers import lean
 
 GRAMS = (3, 4, 5)
 _LONG, _STEP = 40, 32  # longer runs are cut into pieces, each overlapping the next by more than a gram
@@ -44,6 +48,7 @@ class Settings:
     width: int = 16
     vocabulary: int = 20_000
     max_rows: int = 2_400
+    max_bytes: int = 32 << 20
     rounds: int = 4
     passes: int = 2
     least_steps: int = 300
@@ -227,33 +232,50 @@ def windows(w: Words, s: Settings) -> tuple[np.ndarray, np.ndarray]:
     return pad[np.where(inside, np.minimum(w.cut[doc][:, None] + at, len(pad) - 1), len(pad) - 1)], doc
 
 
-def _odds(h: np.ndarray, toxic: np.ndarray, n_toxic: int, n_clean: int, keep: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """The `keep` hashes whose texts differ most by label, sorted, and their clipped log odds."""
-    keys, inverse = np.unique(h, return_inverse=True)
-    t = np.bincount(inverse, toxic, len(keys))
-    c = np.bincount(inverse, minlength=len(keys)) - t
+def _odds(t: np.ndarray, c: np.ndarray, n_toxic: int, n_clean: int, keep: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of hashes in t toxic and c other texts the `keep` that differ most by label, in order, and their clipped log odds."""
     odds = np.log((t + 0.5) / (n_toxic + 1)) - np.log((c + 0.5) / (n_clean + 1))
     weight = np.where(t + c >= least, np.abs(odds) * np.sqrt(t + c), -1)
     pick = np.sort(np.argsort(-weight, kind="stable")[: min(keep, int((weight > 0).sum()))])
-    return keys[pick], np.clip(odds[pick], -3, 3).astype(np.float32)
+    return pick, np.clip(odds[pick], -3, 3).astype(np.float32)
+
+
+def _gram_counts(w: Words, word: np.ndarray, doc: np.ndarray, y: np.ndarray, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(gram hashes, toxic texts, other texts with each) from (word, text) pairs in order of texts, about `most` grams at a time."""
+    kinds, number = np.unique(w.grams, return_inverse=True)
+    by_word = np.argsort(w.owner, kind="stable")
+    number, cut = number[by_word], np.searchsorted(w.owner[by_word], np.arange(len(w.hash) + 1))
+    size = np.diff(cut)
+    total, toxic = np.zeros(len(kinds)), np.zeros(len(kinds))
+    work = np.cumsum(size[word])
+    lo = 0
+    while lo < len(word):
+        hi = int(np.searchsorted(work, (work[lo - 1] if lo else 0) + most)) + 1
+        hi = int(np.searchsorted(doc, doc[min(hi, len(doc)) - 1], "right"))  # to the end of a text
+        n = size[word[lo:hi]]
+        at = np.repeat(cut[word[lo:hi]] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        once = np.unique((np.repeat(doc[lo:hi], n) - doc[lo]) * len(kinds) + number[at])
+        gram = once % len(kinds)
+        total += np.bincount(gram, minlength=len(kinds))
+        toxic += np.bincount(gram, y[once // len(kinds) + doc[lo]], len(kinds))
+        lo = hi
+    return kinds, toxic, total - toxic
 
 
 def train(texts: list[str], y: np.ndarray, settings: Settings) -> Network:
     w, s = Words(texts), settings
     n = np.diff(w.cut)
     of = np.repeat(np.arange(len(texts)), n)
-    pairs = np.unique(w.seq * len(texts) + of)  # each word once a text
-    word, doc = pairs // len(texts), pairs % len(texts)
-    by_word = np.argsort(w.owner, kind="stable")
-    cut = np.searchsorted(w.owner[by_word], np.arange(len(w.hash) + 1))
-    times = np.diff(cut)[word]
-    gram = w.grams[by_word[np.repeat(cut[word], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]]
+    pairs = np.unique(of * len(w.hash) + w.seq)  # each word once a text, in order of texts
+    doc, word = pairs // len(w.hash), pairs % len(w.hash)
     n_toxic = int(y.sum())
-    word_keys, word_odds = _odds(w.hash[word], y[doc], n_toxic, len(y) - n_toxic, s.vocabulary, 3)
-    gram_doc = np.repeat(doc, times)
-    kinds, g = np.unique(gram, return_inverse=True)
-    once = np.unique(g * len(texts) + gram_doc)
-    gram_keys, gram_odds = _odds(kinds[once // len(texts)], y[once % len(texts)], n_toxic, len(y) - n_toxic, s.vocabulary, 5)
+    toxic = np.bincount(word, y[doc], len(w.hash))
+    pick, word_odds = _odds(toxic, np.bincount(word, minlength=len(w.hash)) - toxic, n_toxic, len(y) - n_toxic, s.vocabulary, 3)
+    word_keys = w.hash[pick]
+    kinds, toxic, clean = _gram_counts(w, word, doc, y)
+    pick, gram_odds = _odds(toxic, clean, n_toxic, len(y) - n_toxic, s.vocabulary, 5)
+    gram_keys = kinds[pick]
+    del pairs, doc, word, kinds, toxic, clean
     net = Network(s, word_keys, gram_keys, word_odds, gram_odds)
     rows = net.rows(w)
     seq, doc = windows(w, s)
@@ -267,7 +289,7 @@ def train(texts: list[str], y: np.ndarray, settings: Settings) -> Network:
     for turn in range(s.rounds):
         if turn:
             x = net.inputs(rows)
-            score = np.concatenate([net.forward(x, seq[i : i + 8192]) for i in range(0, len(seq), 8192)])
+            score = np.concatenate([net.forward(x, seq[i : i + 2048]) for i in range(0, len(seq), 2048)])
         order = np.lexsort((-score, doc))
         first = np.searchsorted(doc[order], np.arange(len(texts)))
         rank = np.arange(len(order)) - first[doc[order]]
@@ -303,7 +325,7 @@ def _subset(rows: tuple, seq: np.ndarray) -> tuple:
     return word[some], number[owner[on]], gram[on], share[some]
 
 
-def score_texts(net: Network, texts: list[str], chars: int = 1_000_000) -> np.ndarray:
+def score_texts(net: Network, texts: list[str], chars: int = 500_000) -> np.ndarray:
     """The highest window's probability for each whole text."""
     out, lo, size = [], 0, 0
     for i in range(len(texts) + 1):
@@ -312,7 +334,7 @@ def score_texts(net: Network, texts: list[str], chars: int = 1_000_000) -> np.nd
                 w = Words(texts[lo:i])
                 x = net.inputs(net.rows(w))
                 seq, doc = windows(w, net.s)
-                logit = np.concatenate([net.forward(x, seq[j : j + 4096]) for j in range(0, len(seq), 4096)])
+                logit = np.concatenate([net.forward(x, seq[j : j + 1024]) for j in range(0, len(seq), 1024)])
                 out.append(np.maximum.reduceat(logit, np.searchsorted(doc, np.arange(i - lo))))
             lo, size = i, 0
         if i < len(texts):
@@ -326,10 +348,16 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, *, id_col: str =
     The bounded sample is trained on in one task, so the driver only holds the network.
     """
     s = settings or Settings()
+    prepare(docs.sparkSession)
     known = labels.filter(F.col(label_col).isin(0, 1) & may_learn).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("double").alias("_y"))
     order = [F.xxhash64("_id"), F.col("_id")]
     sample = known.filter("_y = 1").orderBy(*order).limit(s.max_rows // 3).unionByName(known.filter("_y = 0").orderBy(*order).limit(s.max_rows - s.max_rows // 3))
-    found = docs.select(F.col(id_col).alias("_key"), F.col(text_col).alias("_text")).join(F.broadcast(sample), F.col("_key") == F.col("_id")).select(F.col("_id").cast("long").alias("_id"), F.coalesce(F.col("_text"), F.lit("")).alias("t"), "_y")  # max_rows ids at most
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    short = docs.select(F.col(id_col).alias("_key"), text.alias("t")).filter(F.octet_length("t") <= s.max_bytes // 16)
+    found = short.join(F.broadcast(sample), F.col("_key") == F.col("_id")).select(F.col("_id").cast("long").alias("_id"), "t", "_y")  # max_rows ids at most
+    # The one window of all rows has max_rows ids.
+    held = F.sum(F.octet_length("t") + 1).over(Window.orderBy(F.xxhash64("_id"), "_id", "t").rowsBetween(Window.unboundedPreceding, 0))
+    found = found.withColumn("_held", held).filter(F.col("_held") <= s.max_bytes).drop("_held")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted(r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True))
@@ -337,34 +365,43 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, *, id_col: str =
         net = train([r[1] for r in rows], y, s) if len(y) and y.min() != y.max() else float(y.mean()) if len(y) else 0.0
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], names=["net"])
 
-    got = found.repartition(1).mapInArrow(run, "net binary").collect()
+    got = found.coalesce(1).mapInArrow(lean("toxicity", run), "net binary").collect()
     return pickle.loads(got[0]["net"]) if got else 0.0
 
 
+def _scores(model: Network | float, texts: pa.Array) -> np.ndarray:
+    if isinstance(model, float):
+        return np.full(len(texts), model)
+    out, part, size = [np.zeros(0)], [], 0
+    for t in texts:
+        part.append(t.as_py() or "")
+        size += len(part[-1]) + 50
+        if size > 500_000:
+            out.append(score_texts(model, part))
+            part, size = [], 0
+    return np.concatenate([*out, score_texts(model, part)])
+
+
 def score(docs: DataFrame, net: Network | float, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and score (0 to 1) of each row."""
-    held = docs.sparkSession.sparkContext.broadcast(net)  # bounded by the settings
+    held = prepare(docs.sparkSession).sparkContext.broadcast(net)  # bounded by the settings
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
         for b in batches:
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            p = np.full(len(texts), model) if isinstance(model, float) else score_texts(model, texts)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p, pa.float64())], names=[id_col, "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_scores(model, b.column(1)), pa.float64())], names=[id_col, "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("text")).mapInArrow(run, f"`{id_col}` long, score double")
+    return docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("text")).mapInArrow(lean("toxicity", run), f"`{id_col}` long, score double")
 
 
 def keep_clean(docs: DataFrame, net: Network | float, reject_from: float, *, text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, that score below reject_from; no shuffle."""
-    held = docs.sparkSession.sparkContext.broadcast(net)
+    held = prepare(docs.sparkSession).sparkContext.broadcast(net)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
         for b in batches:
-            texts = [t or "" for t in b.column(at).to_pylist()]
-            p = np.full(len(texts), model) if isinstance(model, float) else score_texts(model, texts)
-            yield b.filter(pa.array(p < reject_from))
+            yield b.filter(pa.array(_scores(model, b.column(at)) < reject_from))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean("toxicity", run), docs.schema)
