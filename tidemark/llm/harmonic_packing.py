@@ -18,9 +18,7 @@ documents.
 
 from __future__ import annotations
 
-import re
 import zlib
-from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -29,73 +27,150 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import prepare
+from .textarrays import code_points, prefix_hash, span_hash
+from .workers import cache, lean, slices
+
 SEQ_BITS = 40
 
 
-#: A run of letters and a run of ASCII marks without apostrophes: the tokenizer splits these there, and lowers the letters.
-_PLAIN = re.compile(r"([a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)")
+_SPACE, _LETTER, _DIGIT, _MARK, _ODD = range(5)
+#: Kinds of the first 256 characters; all others are odd: they need the tokenizer itself.
+_KIND = np.full(257, _ODD, np.uint8)
+_KIND[[9, 10, 11, 12, 13, 32]] = _SPACE
+_KIND[33:127] = _MARK
+_KIND[48:58] = _DIGIT
+_KIND[65:91] = _KIND[97:123] = _LETTER
+_KIND[0xC0:0xD7] = _KIND[0xD8:0xF7] = _KIND[0xF8:0x100] = _LETTER
+
 
+def runs(points: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, odd) of what the tokenizer's own pattern takes for one piece, on lowered text.
 
-class ChunkTokenizer:
-    """Ids of a lower-casing tokenizer that never merges across white space or between letters and
-    marks, with a bounded cache by chunk and by lowered word."""
+    Letters go together, digits alone, marks together, and an apostrophe with s, t, m, d, re, ve or ll
+    after it. A run without white space that holds an odd character is one odd run.
+    """
+    n = len(points)
+    kind = _KIND[np.minimum(points, 256)]
+    kind[:-1][(points[:-1] == 60) & (points[1:] == 124)] = _ODD  # how special tokens begin
+    first = np.zeros(n + 1, bool)
+    first[bounds[bounds < n]] = True
+    start = first[:n] | (kind == _DIGIT)
+    start[1:] |= kind[1:] != kind[:-1]
+    quote = np.flatnonzero((points == 39) & start)
+    quote = quote[quote + 1 < n]
+    quote = quote[(kind[quote + 1] == _LETTER) & ~first[quote + 1]]
+    if len(quote):
+        a = points[quote + 1]
+        one = (a == 115) | (a == 116) | (a == 109) | (a == 100)
+        at = np.minimum(quote + 2, n - 1)
+        b = np.where((quote + 2 < n) & ~first[at], points[at], 0)
+        two = ((a == 114) | (a == 118)) & (b == 101) | (a == 108) & (b == 108)
+        start[quote[one | two] + 1] = False
+        after = np.concatenate([quote[one] + 2, quote[two] + 3])
+        start[after[after < n]] = True
+    if (kind == _ODD).any():
+        solid = kind != _SPACE
+        chunk = solid & (first[:n] | np.append(True, ~solid[:-1]))
+        number = np.cumsum(chunk)
+        odd_chunk = np.zeros(int(number[-1]) + 1, bool)
+        odd_chunk[number[kind == _ODD]] = True
+        odd = odd_chunk[number] & solid
+        start = np.where(odd, chunk, start)
+        start[1:] |= solid[1:] & odd[:-1] & ~odd[1:]
+    else:
+        odd = np.zeros(n, bool)
+    begins = np.flatnonzero(start)
+    ends = np.append(begins[1:], n)
+    solid = kind[begins] != _SPACE
+    begins, ends = begins[solid], ends[solid]
+    return begins, ends, odd[begins]
+
+
+class PieceTokenizer:
+    """Ids of a lower-casing tokenizer that never merges beyond a run of letters or a run of marks.
+
+    Runs are told apart by a 64-bit hash; the ids of each are kept in a bounded table of flat arrays.
+    """
 
-    def __init__(self, path: str, cache: int = 1_500_000):
+    def __init__(self, path: str, room: int = 2_000_000):
         from tokenizers import Tokenizer
 
-        self.tok, self.cache, self.words, self.room = Tokenizer.from_file(path), {}, {"": b""}, cache
-
-    def __call__(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        if "<|" in text or _CONTROL.search(text):  # special tokens' strings; what str.split takes for white space and the tokenizer doesn't
-            return self._encode([text])[0]
-        chunks, cache = text.split(), self.cache
-        try:
-            return b"".join([cache[c] for c in chunks])
-        except KeyError:
-            pass
-        if len(cache) + len(self.words) > self.room:
-            cache.clear()
-            if len(self.words) > self.room // 2:
-                self.words = {"": b""}
-        words, found, odd, need = self.words, [], [], {}
-        for c in set(chunks):
-            if c in cache:
-                continue
-            if m := _PLAIN.fullmatch(c):
-                pair = (m[1].lower(), m[2])
-                found.append((c, pair))
-                need |= {w: None for w in pair if w not in words}
-            else:
-                odd.append(c)
-        need.pop("", None)
-        words.update(zip(need, self._one_each(list(need)), strict=True))
-        cache.update((c, words[w] + words[marks]) for c, (w, marks) in found)
-        cache.update(zip(odd, self._encode(odd), strict=True))
-        return b"".join([cache[c] for c in chunks])
-
-    def _one_each(self, words: list[str]) -> list[bytes]:
-        """Ids of words that the tokenizer takes whole; together in one call, which costs less than one each."""
-        if not words:
-            return []
-        e = self.tok.encode(" ".join(words), add_special_tokens=False)
-        ids, number = array("I", e.ids).tobytes(), np.array(e.word_ids)
-        cut = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), len(number)]
-        if len(cut) != len(words) + 1:  # some word is not one to the tokenizer
-            return self._encode(words)
-        return [ids[4 * a : 4 * b] for a, b in zip(cut, cut[1:], strict=False)]
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)] if texts else []
-
-
-_CONTROL = re.compile("[\x1c-\x1f]")
-_TOKENIZERS: dict[str, ChunkTokenizer] = {}
-
-
-def tokenizer(path: str) -> ChunkTokenizer:
-    """One for each worker process, so that its cache outlives a task."""
-    return _TOKENIZERS.get(path) or _TOKENIZERS.setdefault(path, ChunkTokenizer(path))
+        self.tok, self.room = Tokenizer.from_file(path), room
+        self.ends = np.zeros(self.tok.get_vocab_size(), bool)
+        self.ends[[i for t, i in self.tok.get_vocab().items() if t.endswith("</w>")]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        self.known, self.first, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.flat, self.used = np.zeros(1 << 16, "<u4"), 0
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        points, bounds = code_points(texts)
+        if not len(points):
+            return [b""] * len(texts)
+        capital = (points >= 65) & (points <= 90) | (points >= 0xC0) & (points <= 0xDE) & (points != 0xD7)
+        lowered = points + (capital.astype(np.uint32) << np.uint32(5))
+        start, end, odd = runs(lowered, bounds)
+        h, example, inverse = np.unique(span_hash(prefix_hash(lowered), start, end), return_index=True, return_inverse=True)
+        at = np.searchsorted(self.known, h)
+        fresh = np.ones(len(h), bool)
+        inside = at < len(self.known)
+        fresh[inside] = self.known[at[inside]] != h[inside]
+        if fresh.any():
+            if len(self.known) + int(fresh.sum()) > self.room:
+                self.forget()
+                fresh[:], at = True, np.zeros(len(h), np.int64)
+            pick = example[fresh]
+            self._learn(h[fresh], at[fresh], self._ids(points, lowered, start[pick], end[pick], odd[pick]))
+            at = np.searchsorted(self.known, h)
+        row = at[inverse]
+        n = self.count[row].astype(np.int64)
+        begin = np.cumsum(n) - n
+        ids = self.flat[np.repeat(self.first[row] - begin, n) + np.arange(int(n.sum()))].tobytes()
+        cut = 4 * np.append(begin, n.sum())[np.searchsorted(start, bounds)]
+        return [ids[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+
+    def _learn(self, h: np.ndarray, at: np.ndarray, found: tuple[np.ndarray, np.ndarray]) -> None:
+        ids, n = found
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), "<u4")])
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.known = np.insert(self.known, at, h)
+        self.first = np.insert(self.first, at, self.used + np.cumsum(n) - n)
+        self.count = np.insert(self.count, at, n.astype(np.int32))
+        self.used += len(ids)
+
+    def _ids(self, points: np.ndarray, lowered: np.ndarray, start: np.ndarray, end: np.ndarray, odd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some runs end to end, and how many each has. Plain ones together in one call, which costs less than one each."""
+        size = end - start + 1
+        plain = np.flatnonzero(~odd)
+        off = np.cumsum(size[plain]) - size[plain]
+        joined = np.full(int(size[plain].sum()), 32, np.uint32)
+        body = np.repeat(start[plain] - off, size[plain]) + np.arange(len(joined))
+        solid = np.ones(len(joined), bool)
+        solid[off + size[plain] - 1] = False
+        joined[solid] = lowered[body[solid]]
+        ids = np.array(self.tok.encode_batch_fast([joined.tobytes().decode("utf-32-le")], add_special_tokens=False)[0].ids, "<u4") if len(plain) else np.zeros(0, "<u4")
+        cut = np.append(0, np.flatnonzero(self.ends[ids]) + 1)
+        if len(cut) == len(plain) + 1 and cut[-1] == len(ids) and not odd.any():
+            return ids, np.diff(cut)
+        parts: list = [None] * len(start)
+        if len(cut) == len(plain) + 1 and cut[-1] == len(ids):
+            for i, a, b in zip(plain.tolist(), cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                parts[i] = ids[a:b]
+        left = [i for i, x in enumerate(parts) if x is None]
+        texts = [points[start[i] : end[i]].tobytes().decode("utf-32-le") for i in left]
+        for i, e in zip(left, self.tok.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            parts[i] = np.array(e.ids, "<u4")
+        return np.concatenate(parts), np.array([len(x) for x in parts])
+
+
+def tokenizer(path: str) -> PieceTokenizer:
+    """One for each worker process while it packs, so that its cache outlives a task."""
+    kept = cache("packing")
+    return kept.get(path) or kept.setdefault(path, PieceTokenizer(path))
 
 
 def cut_lengths(n: int, capacity: int, low_classes: int = 16) -> list[int]:
@@ -159,6 +234,7 @@ def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_c
 
     Only one task's open bins, fewer than capacity * classes tokens, are held in memory.
     """
+    prepare(docs.sparkSession)
     names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,9 +254,9 @@ def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_c
             return pa.RecordBatch.from_arrays(arrays, names=[*names, *["token_ids"] * with_ids])
 
         done: list[tuple] = []
-        for b in batches:
-            for ident, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = tok(text.as_py() or "") + end
+        for idents, texts in slices(batches, 500_000):
+            for ident, ids in zip(idents, tok(texts), strict=True):
+                ids += end
                 n, at = len(ids) // 4, 0
                 for length in cut_lengths(n, capacity):
                     done += packer.add((ident, at, ids[4 * at : 4 * (at + length)], n), length)
@@ -193,4 +269,4 @@ def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_c
             yield batch(done)
 
     schema = ", ".join(f"`{n}` long" for n in names) + ", token_ids array<int>" * with_ids
-    return docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("text")).mapInArrow(lean("packing", run), schema)
