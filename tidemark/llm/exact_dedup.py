@@ -8,8 +8,9 @@ input task, however many copies it has. A trie that outgrows its limit spills it
 an unnamed scratch file of the task and works it off afterwards.
 
 Edge cases: null text counts as empty, empty texts equal one another; a null id owns a text only where no
-row with an id has it, and drop_copies never drops a row without an id; rows with equal ids and equal
-texts count separately in the group size; columns other than the id and the text are not read.
+row with an id has it; rows with equal ids and equal texts count separately in the group size, label_copies
+calls each of them kept, and drop_copies keeps one of them; rows with equal ids and other texts are other
+groups; columns other than the id and the text are not read.
 """
 
 from __future__ import annotations
@@ -23,10 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, without
+from .common import ascii_lower, keep_owners, prepare
+from .workers import lean
 
-#: identifier, rows
-Owner = tuple[int, int]
+#: identifier, rows, rows with that identifier
+Owner = tuple[int, int, int]
 
 
 class PatriciaTrie:
@@ -49,7 +51,7 @@ class PatriciaTrie:
         while True:
             if at == len(key):
                 old = node[2]
-                node[2] = owner if old is None else (self.keep(old[0], owner[0]), old[1] + owner[1])
+                node[2] = owner if old is None else self._both(old, owner)
                 return
             kids = node[1]
             if kids is None:
@@ -71,17 +73,21 @@ class PatriciaTrie:
         if self.held > self.limit:
             self._spill()
 
+    def _both(self, a: Owner, b: Owner) -> Owner:
+        first = self.keep(a[0], b[0])
+        return first, a[1] + b[1], sum(x[2] for x in (a, b) if x[0] == first)
+
     @staticmethod
     def _append(f, key: bytes, owner: Owner) -> None:
-        f.write(struct.pack("<qqq", len(key), *owner))
+        f.write(struct.pack("<qqqq", len(key), *owner))
         f.write(key)
 
     @staticmethod
     def _read(f) -> Iterator[tuple[bytes, Owner]]:
         f.seek(0)
-        while head := f.read(24):
-            n, ident, rows = struct.unpack("<qqq", head)
-            yield f.read(n), (ident, rows)
+        while head := f.read(32):
+            n, *owner = struct.unpack("<qqqq", head)
+            yield f.read(n), tuple(owner)
 
     @staticmethod
     def _walk(node: list, path: bytes) -> Iterator[tuple[bytes, Owner]]:
@@ -140,16 +146,16 @@ def _common(label: bytes, key: bytes, at: int) -> int:
 
 
 def _trie_pass(keep, limit: int, final: bool):
-    """Arrow batches of (text, id, rows) to unique ones; the last pass leaves out the texts."""
+    """Arrow batches of (text, id, rows, ties) to unique ones; the last pass leaves out the texts."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = PatriciaTrie(limit, keep)
         for b in batches:
-            for text, ident, rows in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                trie.insert(text.as_py(), (ident, rows))
+            for text, *held in zip(b.column(0), *(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                trie.insert(text.as_py(), tuple(held))
         out, size = [], 0
-        for text, (ident, rows) in trie.drain():
-            out.append((None if final else text, ident, rows, len(text), hashlib.sha256(text).hexdigest()))
+        for text, held in trie.drain():
+            out.append((None if final else text, *held, len(text), hashlib.sha256(text).hexdigest()))
             size += 200 if final else len(text) + 200
             if size > 8 << 20:
                 yield _batch(out, final)
@@ -161,21 +167,22 @@ def _trie_pass(keep, limit: int, final: bool):
 
 
 def _batch(rows: list, final: bool) -> pa.RecordBatch:
-    text, ident, n, size, sha = zip(*rows, strict=True)
-    cols = [pa.array(ident, pa.int64()), pa.array(n, pa.int64()), pa.array(size, pa.int64()), pa.array(sha, pa.string())]
-    names = ["id", "rows", "n_bytes", "sha"]
+    text, *counts, sha = zip(*rows, strict=True)
+    cols = [*(pa.array(x, pa.int64()) for x in counts), pa.array(sha, pa.string())]
+    names = ["id", "rows", "ties", "n_bytes", "sha"]
     return pa.RecordBatch.from_arrays(cols if final else [pa.array(text, pa.binary()), *cols], names=names if final else ["text", *names])
 
 
 def owners(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: str = "min", trie_bytes: int = 96 << 20) -> DataFrame:
-    """One row for each distinct normalised text (A-Z lowered): sha, n_bytes, id (its owner), rows."""
+    """One row for each distinct normalised text (A-Z lowered): sha, n_bytes, id (its owner), rows, ties (rows with that id)."""
+    prepare(docs.sparkSession)
     pick = {"min": min, "max": max}[keep]
     text = ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).cast("binary")
     last = (1 << 63) - 1 if keep == "min" else -(1 << 63)  # stands for a null id
-    base = docs.select(text.alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(last)).alias("id"), F.lit(1).cast("long").alias("rows"))
-    local = base.mapInArrow(_trie_pass(pick, trie_bytes, False), "text binary, id long, rows long, n_bytes long, sha string")
-    dealt = local.repartition(F.col("n_bytes"), F.col("sha")).select("text", "id", "rows")
-    return dealt.mapInArrow(_trie_pass(pick, trie_bytes, True), "id long, rows long, n_bytes long, sha string").withColumn("id", F.nullif(F.col("id"), F.lit(last)))
+    base = docs.select(text.alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(last)).alias("id"), F.lit(1).cast("long").alias("rows"), F.lit(1).cast("long").alias("ties"))
+    local = base.mapInArrow(lean("exact", _trie_pass(pick, trie_bytes, False)), "text binary, id long, rows long, ties long, n_bytes long, sha string")
+    dealt = local.repartition(F.col("n_bytes"), F.col("sha")).select("text", "id", "rows", "ties")
+    return dealt.mapInArrow(lean("exact", _trie_pass(pick, trie_bytes, True)), "id long, rows long, ties long, n_bytes long, sha string").withColumn("id", F.nullif(F.col("id"), F.lit(last)))
 
 
 def label_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
@@ -192,6 +199,8 @@ def label_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: str = "min", owner: str = "exact") -> DataFrame:
-    """The rows of docs, all columns, that own their text."""
-    gone = label_copies(docs, id_col=id_col, text_col=text_col, keep=keep).filter("not kept").select(F.col(id_col).alias("_gone"))
-    return without(docs, gone, id_col, owner)
+    """The rows of docs, all columns, but of equal texts only the one that owns them (of several such rows any one)."""
+    groups = owners(docs, id_col=id_col, text_col=text_col, keep=keep).filter("rows > 1")
+    named = groups.select(F.col("sha").alias("__tm_key"), F.col("sha").alias("__tm_root"), F.col("id").alias("__tm_low"), F.col("ties").alias("__tm_ties"))
+    sha = F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).cast("binary"), 256)
+    return keep_owners(docs, named, sha, id_col, owner)
