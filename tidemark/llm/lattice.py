@@ -42,6 +42,8 @@ class Pieces:
                 plain.append(i)
         self.size, self.plain = n, np.array(plain)
         self.longest = max(len(self.text[i]) for i in plain)
+        self.chars = np.ones(n)
+        self.chars[self.plain] = [len(self.text[i]) for i in plain]
         order = np.argsort(-score[self.plain], kind="stable")
         w = np.full(n, np.nan)
         w[self.plain[order]] = 1.0 / (np.arange(len(plain)) + offset)
@@ -150,6 +152,89 @@ def by_length(points: np.ndarray, start: np.ndarray, end: np.ndarray, prefix: in
             yield part, chars
 
 
+class Linear:
+    """Weights of several models beside one another, for the same recursions without logarithms.
+
+    A piece of k characters weighs exp(log weight + k * RISE), so the marginals of ordinary words stay
+    far from underflow; what comes out too small, or is longer than LONGEST, goes through forward_log.
+    """
+
+    RISE, LONGEST, LEAST = 2.5, 40, 1e-200
+
+    def __init__(self, pieces: Pieces, log_weights: np.ndarray):
+        """log_weights: (models, pieces)"""
+        self.pieces, self.log_weights = pieces, np.atleast_2d(log_weights)
+        with np.errstate(under="ignore"):
+            w = np.exp(self.log_weights + self.RISE * pieces.chars)
+            self.back = np.exp(np.arange(5)[:, None] * self.log_weights[:, pieces.byte_id[0]] + self.RISE)
+        w[:, pieces.byte_id] = 0
+        self.table = np.ascontiguousarray(np.concatenate([w, np.zeros((len(w), 1))], 1).T)  # the last row: no piece
+
+    def weights(self, edges: list[np.ndarray]) -> list[np.ndarray]:
+        """(starts, strings, models) for each piece length."""
+        out = []
+        for k, ids in enumerate(edges, 1):
+            at = ids.T
+            w = self.table[at]
+            if k == 1 and (spelled := at < -1).any():
+                cp = -2 - at[spelled]
+                w[spelled] = self.back[1 + (cp >= 0x80) + (cp >= 0x800) + (cp >= 0x10000)]
+            out.append(w)
+        return out
+
+    def forward(self, w: list[np.ndarray]) -> np.ndarray:
+        length = len(w[0])
+        a = np.zeros((length + 1, *w[0].shape[1:]))
+        a[0] = 1
+        for e in range(1, length + 1):
+            for k in range(1, min(e, len(w)) + 1):
+                a[e] += a[e - k] * w[k - 1][e - k]
+        return a
+
+    def marginals(self, chars: np.ndarray) -> np.ndarray:
+        """(models, strings): the log of the summed probability of all segmentations."""
+        n, length = chars.shape
+        edges = self.pieces.edges(chars)
+        if length > self.LONGEST:
+            return self._slow(edges, n, length)
+        total = self.forward(self.weights(edges))[-1].T
+        with np.errstate(divide="ignore"):
+            out = np.log(total) - self.RISE * length
+        low = np.flatnonzero((total < self.LEAST).any(0))
+        if len(low):
+            out[:, low] = self._slow([x[low] for x in edges], len(low), length)
+        return out
+
+    def _slow(self, edges: list[np.ndarray], n: int, length: int) -> np.ndarray:
+        return np.stack([forward_log(self.pieces.edge_log_weights(edges, x), n, length)[:, -1] for x in self.log_weights])
+
+    def expect(self, chars: np.ndarray, out: np.ndarray) -> None:
+        """Add the expected use of each piece over all segmentations of each string to out; one model."""
+        n, length = chars.shape
+        if length > self.LONGEST:
+            expected_counts(self.pieces, self.log_weights[0], chars, out)
+            return
+        edges = self.pieces.edges(chars)
+        w = [x[:, :, 0] for x in self.weights(edges)]
+        a = self.forward(w)
+        if (low := a[-1] < self.LEAST).any():
+            expected_counts(self.pieces, self.log_weights[0], chars[low], out)
+            chars, edges, w, a = chars[~low], [x[~low] for x in edges], [x[:, ~low] for x in w], a[:, ~low]
+            if not len(chars):
+                return
+        b = np.zeros_like(a)
+        b[length] = 1 / a[-1]
+        for s in range(length - 1, -1, -1):
+            for k in range(1, min(length - s, len(w)) + 1):
+                b[s] += b[s + k] * w[k - 1][s]
+        for k, (ids, x) in enumerate(zip(edges, w, strict=True), 1):
+            ids, post = ids.T, a[: length - k + 1] * x * b[k:]
+            hit = ids >= 0
+            out += np.bincount(ids[hit], post[hit], len(out))
+            if k == 1:
+                out[self.pieces.byte_id] += float(post[ids < -1].sum()) / 256
+
+
 def expected_counts(pieces: Pieces, log_weights: np.ndarray, chars: np.ndarray, out: np.ndarray) -> None:
     """Add the expected use of each piece over all segmentations of each string to out."""
     n, length = chars.shape

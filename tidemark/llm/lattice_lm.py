@@ -14,10 +14,14 @@ piece of the vocabulary and class) and a few totals are.
 
 Training rows may name a class (a language, say). Words and pieces are then also counted by class,
 and a text's probability is the mixture over classes, each weighed by its share of the training
-tokens; the class of the scored text itself is never read.
+tokens; the class of the scored text itself is never read, nor that of any held-out row. In each class
+the masses of all words, of the end symbol and of all pieces sum to one: what discounting takes from
+the words is what the pieces share. A class beyond the `max_classes` - 1 with most training rows shares
+one component with the others; its rows all count.
 
 Edge cases: null text counts as empty; an empty text has the end token only; without training rows
-the base model has N = 0 and V = 0 and the model spells every token. Words may be of any length.
+the base model has N = 0 and V = 0 and the model spells every token. Words may be of any length. Rows
+without an id, and repeated ids, are dealt by their texts; the order of rows is no input.
 """
 
 from __future__ import annotations
@@ -30,18 +34,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks_for, written
-from .lattice import SPACE, Pieces, by_length, expected_counts, forward_log, normalised
+from .common import blocks_for, even_keys, prepare, written
+from .lattice import SPACE, Linear, Pieces, by_length, normalised
 from .textarrays import ascii_lower_points, code_points, prefix_hash, span_hash, words
-
-_LOADED: dict[str, Pieces] = {}
+from .workers import cache, lean_group
 
 
 def _pieces(path: str) -> Pieces:
-    return _LOADED.get(path) or _LOADED.setdefault(path, Pieces(path))
+    kept = cache("lm")
+    return kept.get(path) or kept.setdefault(path, Pieces(path))
+
 
+def _ordered(t: pa.Table, id_col: str) -> pa.Table:
+    """Rows by id and text, so that a shuffle's order is no input."""
+    return t.sort_by([(id_col, "ascending"), ("text", "ascending")])
 
-def _chunks(texts: list[str], chars: int = 1_000_000) -> Iterator[tuple[int, int]]:
+
+def _chunks(texts: list[str], chars: int = 500_000) -> Iterator[tuple[int, int]]:
     lo, size = 0, 0
     for i, t in enumerate(texts):
         size += len(t)
@@ -84,11 +93,12 @@ class _Seen:
         return np.where(self.h[at] == h, self.v[at], default)
 
 
-def _count_block(model_path: str, classes: int):
+def _count_block(model_path: str, classes: int, id_col: str):
     """Rows of kind 0: words with training counts by class; 1: texts (end symbols); 2: types; 3: expected uses of a piece."""
 
     def run(t: pa.Table) -> pa.Table:
         pieces = _pieces(model_path)
+        t = _ordered(t, id_col)
         block, texts = t["block"][0].as_py(), t["text"].to_pylist()
         cls = t["cls"].to_numpy()  # -1: not for training
         seen, found = [_Seen() for _ in range(classes)], []
@@ -108,9 +118,9 @@ def _count_block(model_path: str, classes: int):
                 if not len(pick):
                     continue
                 for _ in range(1 if types[k] else 4):  # a class's first words also set the weights it starts with
-                    add = np.zeros(pieces.size)
-                    for _, chars in by_length(points, start[pick], end[pick], SPACE, cells=1 << 16):
-                        expected_counts(pieces, local[k], chars, add)
+                    add, model = np.zeros(pieces.size), Linear(pieces, local[k])
+                    for _, chars in by_length(points, start[pick], end[pick], SPACE, cells=1 << 15):
+                        model.expect(chars, add)
                     local[k] = normalised(pieces, expected[k] + add)
                 expected[k] += add
                 types[k] += len(pick)
@@ -131,16 +141,26 @@ def _count_block(model_path: str, classes: int):
     return run
 
 
+def masses(totals: dict, by_class: float) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+    """Discount of a word's count; by class the share of tokens written in pieces, pieces of such a token, symbols a token.
+
+    A class's words sum to (1 - spelled) / symbols and its pieces to spelled * per_word / symbols.
+    """
+    one, two, n = totals["n1"], totals["n2"], np.array(totals["by_n"], float)
+    discount = min(max(one / (one + 2 * two) if one else 0.5, 0.05), 0.95)
+    own = np.where(n > 0, np.array(totals["part"], float) / np.maximum(n, 1), 1 / discount)  # a class without words is all spelled
+    rest = totals["v"] / totals["n"] if totals["n"] else 1 / discount
+    spelled = np.clip(discount * (by_class * own + (1 - by_class) * rest), 1e-9, 1)
+    per_word = np.maximum(np.array(totals["pieces_per_word"], float), 1)
+    return discount, spelled, per_word, 1 - spelled + spelled * per_word
+
+
 def _score_block(model_path: str, weights: list[np.ndarray], totals: dict, id_col: str, by_class: float):
     """Scores of a block's texts, given the training counts of its words by class."""
     classes, ends = len(weights), np.array(totals["ends"], float)
     big_n, big_v, by_n = totals["n"], totals["v"], np.array(totals["by_n"], float)
-    one, two = totals["n1"], totals["n2"]
-    discount = min(max(one / (one + 2 * two) if one else 0.5, 0.05), 0.95)
-    spelled = min(max(discount * (big_v - 1) / big_n if big_n else 1.0, 1e-6), 1.0)  # share of tokens written in pieces
-    per_word = max(totals["pieces_per_word"], 1.0)
-    symbols = 1 - spelled + spelled * per_word
-    log_piece = math.log(spelled * per_word / symbols)
+    discount, spelled, per_word, symbols = masses(totals, by_class)
+    log_piece = np.log(spelled * per_word / symbols)
     base_den = big_n + 0.5 * (big_v + 1)
     share = (by_n + 0.5) / (by_n + 0.5).sum()
 
@@ -150,10 +170,10 @@ def _score_block(model_path: str, weights: list[np.ndarray], totals: dict, id_co
         left = np.where(total > 0, np.maximum(total - discount, keep) / np.maximum(total, 1), 0)  # what discounting leaves of a word's count
         whole = by_class * c[:, k] / max(by_n[k], 1) + (1 - by_class) * total / max(big_n, 1)
         with np.errstate(divide="ignore"):
-            return np.logaddexp(np.log(whole * left / symbols), lattice)
+            return np.logaddexp(np.log(whole * left / symbols[k]), lattice)
 
     def run(docs: pa.Table, counts: pa.Table) -> pa.Table:
-        pieces = _pieces(model_path)
+        model, docs = Linear(_pieces(model_path), np.stack(weights) + log_piece[:, None]), _ordered(docs, id_col)
         order = np.argsort(counts["h"].to_numpy(), kind="stable")
         known = counts["h"].to_numpy()[order]
         table = np.stack([counts[f"n{k}"].to_numpy()[order] for k in range(classes)], 1)
@@ -166,11 +186,8 @@ def _score_block(model_path: str, weights: list[np.ndarray], totals: dict, id_co
             new = lattice[0].new(u)
             pick = example[new]
             value = np.empty((classes, len(pick)))
-            for part, chars in by_length(points, start[pick], end[pick], SPACE, cells=1 << 16):
-                edges = pieces.edges(chars)
-                for k in range(classes):
-                    w = [x + log_piece for x in pieces.edge_log_weights(edges, weights[k])]
-                    value[k, part] = forward_log(w, *chars.shape)[:, -1]
+            for part, chars in by_length(points, start[pick], end[pick], SPACE, cells=1 << 15):
+                value[:, part] = model.marginals(chars)
             for k in range(classes):
                 lattice[k].add(u[new], value[k])
             at = np.minimum(np.searchsorted(known, u), max(len(known) - 1, 0))
@@ -194,16 +211,24 @@ def _score_block(model_path: str, weights: list[np.ndarray], totals: dict, id_co
     return run
 
 
-def score_texts(docs: DataFrame, held_out: Column, model_path: str, *, id_col: str = "doc_id", text_col: str = "text", class_col: str | None = None, max_classes: int = 8, by_class: float = 0.9, block_bytes: int = 16 << 20) -> DataFrame:
+def _trimmed(run):
+    def inner(docs: pa.Table, counts: pa.Table) -> pa.Table:
+        return lean_group("lm", lambda t: run(t, counts))(docs)
+
+    return inner
+
+
+def score_texts(docs: DataFrame, held_out: Column, model_path: str, *, id_col: str = "doc_id", text_col: str = "text", class_col: str | None = None, max_classes: int = 16, by_class: float = 0.9, block_bytes: int = 16 << 20) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10) of each whole text.
 
     class_col: the training rows' class; beyond the most frequent max_classes - 1, classes are one.
     by_class: the weight of a class's own word counts beside those of all classes.
     """
+    prepare(docs.sparkSession)
     blocks = blocks_for(docs, text_col, block_bytes)
     names = [None]
     if class_col:
-        top = docs.groupBy(class_col).count().orderBy(F.desc("count"), class_col).limit(max_classes).collect()
+        top = docs.filter(~F.coalesce(held_out, F.lit(False))).groupBy(class_col).count().orderBy(F.desc("count"), class_col).limit(max_classes).collect()
         names = [r[0] for r in top if r[0] is not None][: max_classes - 1] + [None]
     cls = F.lit(len(names) - 1)
     for k, name in enumerate(names[:-1]):
@@ -212,23 +237,26 @@ def score_texts(docs: DataFrame, held_out: Column, model_path: str, *, id_col: s
     base = docs.select(
         F.col(id_col).cast("long").alias(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"), held_out.alias("held_out"),
         F.when(held_out, -1).otherwise(cls).cast("int").alias("cls"),
-        F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("long"), F.lit(0))), F.lit(blocks)).alias("block"),
+        even_keys(docs.sparkSession, blocks, F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))).alias("block"),
     )
-    dealt = base.repartition(blocks, "block")
-    found = written(dealt.groupBy("block").applyInArrow(_count_block(model_path, len(names)), "block long, kind int, h long, " + ", ".join(f"{n} double" for n in sums)), "lm")
+    dealt = base.repartition(min(blocks, 20_000), "block")
+    found = written(dealt.groupBy("block").applyInArrow(lean_group("lm", _count_block(model_path, len(names), id_col)), "block long, kind int, h long, " + ", ".join(f"{n} double" for n in sums)), "lm")
     one_word = Window.partitionBy("h")
     by_word = written(found.filter("kind = 0").select("block", "h", *(F.sum(n).over(one_word).alias(n) for n in sums), (F.min("block").over(one_word) == F.col("block")).alias("first")), "lm")
     c = sum((F.col(n) for n in sums), F.lit(0.0))
     t = by_word.filter("first").agg(F.count(F.when(c > 0, 1)).alias("v"), F.count(F.when(c == 1, 1)).alias("ones"), F.count(F.when(c == 2, 1)).alias("twos"), *(F.coalesce(F.sum(n), F.lit(0.0)).alias(n) for n in sums)).first()
+    parts = by_word.filter("first").filter(c > 0).agg(*(F.coalesce(F.sum(F.col(n) / c), F.lit(0.0)).alias(n) for n in sums)).first()
     s = {r["kind"]: [r[n] for n in sums] for r in found.filter("kind in (1, 2)").groupBy("kind").agg(*(F.sum(n).alias(n) for n in sums)).collect()}
-    ends, types = s.get(1, [0.0] * len(names)), sum(s.get(2, [0]))
+    ends, types = (s.get(kind, [0.0] * len(names)) for kind in (1, 2))
     pieces = _pieces(model_path)
     counts = np.zeros((len(names), pieces.size))
     for r in found.filter("kind = 3").groupBy("h").agg(*(F.sum(n).alias(n) for n in sums)).collect():  # at most one row per piece of the vocabulary
         counts[:, r["h"]] = [r[n] for n in sums]
     by_n = [t[n] + e for n, e in zip(sums, ends, strict=True)]
-    totals = {"n": sum(by_n), "by_n": by_n, "v": t["v"] + (sum(ends) > 0), "n1": t["ones"], "n2": t["twos"], "ends": ends, "pieces_per_word": float(counts.sum() / max(types, 1))}
+    totals = {"n": sum(by_n), "by_n": by_n, "v": t["v"] + (sum(ends) > 0), "n1": t["ones"], "n2": t["twos"], "ends": ends}
+    totals |= {"part": [parts[n] + (e / sum(ends) if sum(ends) else 0) for n, e in zip(sums, ends, strict=True)]}
+    totals |= {"pieces_per_word": [float(own.sum()) / max(k, 1) for own, k in zip(counts, types, strict=True)]}
     weights = [normalised(pieces, 0.98 * own + 0.02 * counts.sum(0) / len(names)) for own in counts]
     schema = f"`{id_col}` long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    words_of = by_word.filter(c > 0).select("block", "h", *sums).repartition(blocks, "block")
-    return dealt.groupBy("block").cogroup(words_of.groupBy("block")).applyInArrow(_score_block(model_path, weights, totals, id_col, by_class), schema)
+    words_of = by_word.filter(c > 0).select("block", "h", *sums).repartition(min(blocks, 20_000), "block")
+    return dealt.groupBy("block").cogroup(words_of.groupBy("block")).applyInArrow(_trimmed(_score_block(model_path, weights, totals, id_col, by_class)), schema)
