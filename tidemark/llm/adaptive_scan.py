@@ -11,8 +11,12 @@ Centroids are fitted on a bounded sample (`sample`), every vector is indexed. Li
 cells of about `cell` vectors by a hash of the id, and the queries that probe a list into groups, so
 a hot list (a vector with very many copies) is many small tasks; its copies are all scanned.
 
-Edge cases: vectors that are null, zero, of another length than the first, or hold null or
-non-finite components take no part; a query's own row (by id) is no candidate; with fewer than k
+There are about as many lists as the square root of the vectors (64 at least where there are enough, and
+at most an eighth of the sample, which could not place more), and a query probes `probe_share` of them.
+
+Edge cases: vectors that are null, zero, of another length than the most frequent one (of equally
+frequent ones the longest), or hold null or non-finite components take no part; a query's own row is
+told by its id, so other rows with that id are no candidates either; with fewer than k
 candidates all are returned; ties go to the smaller id; without vectors the result is empty.
 """
 
@@ -25,7 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import prepare, written
+from .workers import lean, lean_group
 
 
 def _matrix(col: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -106,22 +111,25 @@ def scan(q: np.ndarray, qr: np.ndarray, q_id: int, ids: np.ndarray, x: np.ndarra
     return list(zip(best_ids.tolist(), best.tolist(), strict=True))
 
 
-def search(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 5, lists: int = 64, probes: int = 44, sample: int = 20_000, cell: int = 4096, query_group: int = 512, eps: float = 2.1, block: int = 16, seed: int = 7) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 5, lists: int | None = None, probe_share: float = 0.62, sample: int = 20_000, cell: int = 4096, query_group: int = 512, eps: float = 2.1, block: int = 16, seed: int = 7) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest found for each query row.
 
-    lists: at most so many inverted lists (fewer for few vectors); probes: lists a query reads.
+    lists: inverted lists, if not by the number of vectors; probe_share: share of them that a query reads.
     """
+    prepare(vectors.sparkSession)
     v = F.col(vec_col).cast("array<double>")
     sane = F.col(id_col).isNotNull() & v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < math.inf)) & F.exists(v, lambda e: e != 0)
     base = vectors.filter(sane).select(F.col(id_col).cast("long").alias("id"), v.alias("v"), is_query.alias("q"))
-    total = base.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count")).first()
+    total = base.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).first()
     empty = "query_id long, rank int, vec_id long, score double"
     if total is None:
         return vectors.sparkSession.createDataFrame([], empty)
     dim, n = total["dim"], total["count"]
     base = base.filter(F.size("v") == dim)
-    lists = max(1, min(lists, round(math.sqrt(n))))
-    picked = base.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < max(1, min(1 << 20, math.ceil((1 << 20) * 1.2 * sample / n)))).select("v").limit(sample).collect()  # a bounded sample, for the centroids alone
+    lists = min(lists or max(round(math.sqrt(n)), min(64, n // 8), 1), max(1, sample // 8))
+    probes = max(1, math.ceil(lists * probe_share))
+    near = base.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < max(1, min(1 << 20, math.ceil((1 << 20) * 1.2 * sample / n))))
+    picked = near.orderBy(F.xxhash64("id"), "id", "v").select("v").limit(sample).collect()  # a bounded sample, for the centroids alone
     turn = rotation(dim, seed)
     fit = unit(np.array([r["v"] for r in picked] or [base.first()["v"]])) @ turn
     centroids = kmeans(fit, lists, 8, seed)
@@ -137,7 +145,7 @@ def search(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vec_
             kind = np.concatenate([np.zeros(len(x), bool), np.ones(len(home) - len(x), bool)])
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(who)), b.column(1).take(pa.array(who)), pa.array(home, pa.int64()), pa.array(kind)], names=["id", "v", "list", "q"])
 
-    placed = written(base.mapInArrow(assign, "id long, v array<double>, list long, q boolean"), "ann")
+    placed = written(base.mapInArrow(lean("ann", assign), "id long, v array<double>, list long, q boolean"), "ann")
     sizes = {r["list"]: (r["n"], r["m"]) for r in placed.groupBy("list").agg(F.count(F.when(~F.col("q"), 1)).alias("n"), F.count(F.when(F.col("q"), 1)).alias("m")).collect()}  # at most `lists` rows
     cells = F.create_map(*[F.lit(x) for i, (a, _) in sizes.items() for x in (i, max(1, -(-a // cell)))])
     groups = F.create_map(*[F.lit(x) for i, (_, b) in sizes.items() for x in (i, max(1, -(-b // query_group)))])
@@ -160,6 +168,6 @@ def search(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vec_
         cols = list(zip(*out, strict=True)) or [(), (), ()]
         return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
 
-    found = dealt.groupBy("list", "c", "g").applyInArrow(within, "query_id long, vec_id long, score double")
+    found = dealt.groupBy("list", "c", "g").applyInArrow(lean_group("ann", within), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.select("query_id", rank.cast("int").alias("rank"), "vec_id", "score").filter(F.col("rank") <= k)

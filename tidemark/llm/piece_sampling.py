@@ -26,11 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .lattice import SPACE, Pieces, by_length, forward_log, scramble
+from .common import prepare
 from .textarrays import code_points, mix, prefix_hash, span_hash
+from .workers import cache, lean
 
 #: Stands for a space mark that is in the text itself; beyond Unicode, so no piece has it.
 _LITERAL = 0x110000
-_LOADED: dict[str, "PieceSampler"] = {}
 
 
 class PieceSampler:
@@ -139,7 +140,8 @@ def sample_pieces(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", t
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = f"{model_path}|{temperature}"
-        sampler = _LOADED.get(key) or _LOADED.setdefault(key, PieceSampler(model_path, temperature))
+        kept = cache("pieces")
+        sampler = kept.get(key) or kept.setdefault(key, PieceSampler(model_path, temperature))
 
         def finish(rows: list[tuple[int, str]]) -> pa.RecordBatch:
             cut = [(r, at, s) for r, (_, text) in enumerate(rows) for at, s in sampler.slices(text)]
@@ -170,6 +172,7 @@ def sample_pieces(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", t
         if rows:
             yield finish(rows)
 
+    prepare(docs.sparkSession)
     names = [id_col, "n_chars", "n_pieces", "ids_crc32", "decoded_sha256", "lossless", *["piece_ids"] * with_ids]
     schema = f"`{id_col}` long, n_chars long, n_pieces long, ids_crc32 long, decoded_sha256 string, lossless boolean" + ", piece_ids array<int>" * with_ids
-    return docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("text")).mapInArrow(lean("pieces", run), schema)

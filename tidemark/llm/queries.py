@@ -28,14 +28,14 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .url_reputation import filter_urls
 
-    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("toxic") == 1) | (F.col("quality") == 0)).cast("int").alias("bad"))
-    return filter_urls(table(spark, sf_dir, "pages"), labels, id_col="page_id", url_col="url", rules=RULES)
+    return filter_urls(table(spark, sf_dir, "pages"), id_col="page_id", url_col="url", rules=RULES)
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import remove_repeats
 
-    return remove_repeats(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    cut = remove_repeats(table(spark, sf_dir, "documents"), with_text=True)
+    return cut.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", (F.col("n_bytes") - F.col("n_removed")).alias("n_kept"), (F.col("n_removed") > 0).alias("cut"), F.col("kept_text"))
 
 
 def op5_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,9 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import prepare, written
 from .induced_sort import repeated_starts
 from .textarrays import mix, prefix_hash, span_hash
+from .workers import lean
 
 _PLACE = np.uint64((1 << 24) - 1)
 
@@ -64,7 +65,7 @@ def blocks(values: np.ndarray, bounds: np.ndarray, length: int, k: int) -> tuple
     return r, s, count, p - s, gram[p].view(np.int64), body.view(np.int64)
 
 
-def _slices(texts: list[bytes], length: int, size: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def _slices(texts: list[bytes], length: int, size: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(bytes, bounds, text numbers, places of the pieces): whole short texts together, long ones in overlapping pieces."""
     parts: list[tuple[int, int, bytes]] = []
     held = 0
@@ -188,7 +189,7 @@ def _payloads(length: int):
     return run
 
 
-def _sort_shard(length: int, memory: int, part: int = 3 << 20):
+def _sort_shard(length: int, memory: int, part: int = 3 << 19):
     """A shard's distinct blocks to the runs of their repeated strings."""
     span = pa.struct([("a", pa.int64()), ("b", pa.int64())])
 
@@ -220,20 +221,25 @@ def _sort_shard(length: int, memory: int, part: int = 3 << 20):
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 400, k: int | None = None, with_text: bool = False, sort_memory: int = 256 << 20, owner: str = "repeats") -> DataFrame:
     """row (a hash of id and text), id, n_bytes, n_removed, n_spans, kept_sha256, kept_text (null unless with_text) of each row."""
+    prepare(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     ident = F.col(id_col).cast("long")
     base = docs.select(F.xxhash64(ident, text).alias("row"), ident.alias("id"), text.cast("binary").alias("text"))
-    each = written(base.filter(F.octet_length("text") >= length).select("row", "text").mapInArrow(_anchor_pass(length, k or length // 2), "anchor long, block long, row long, start long, strings long"), owner)
-    again = each.groupBy("anchor").agg(F.count("*").alias("n"), F.min("block").alias("lo"), F.max("block").alias("hi")).filter("n > 1").select(F.col("anchor"), (F.col("lo") != F.col("hi")).alias("mixed"))
-    hits = each.join(again, "anchor").withColumnRenamed("mixed", "open")
+    each = written(base.filter(F.octet_length("text") >= length).select("row", "text").mapInArrow(lean("repeats", _anchor_pass(length, k or length // 2)), "anchor long, block long, row long, start long, strings long"), owner)
+    again = each.groupBy("anchor").agg(F.count("*").alias("n"), F.min("block").alias("lo"), F.max("block").alias("hi")).filter("n > 1").select("anchor", "n", (F.col("lo") != F.col("hi")).alias("mixed"))
+    # An anchor of a passage in very many texts would be one task's; at most 2,000 anchors have a 2,000th of all blocks.
+    least = -(-each.count() // 2000)
+    hot = F.broadcast(again.filter(F.col("n") >= max(least, 100)).drop("n"))
+    cold = each.join(hot, "anchor", "left_anti").join(again.filter(F.col("n") < max(least, 100)).drop("n"), "anchor")
+    hits = each.join(hot, "anchor").unionByName(cold).withColumnRenamed("mixed", "open")
     by_row = hits.groupBy(F.col("row").alias("_row")).agg(F.collect_list(F.struct("anchor", "block", "start", "strings", "open")).alias("found"))  # a text's own blocks
     resolve, schema = _resolve(length, with_text)
-    settled = written(base.join(by_row, base["row"] == by_row["_row"], "left").select("row", "id", "text", "found").mapInArrow(resolve, schema), owner)
+    settled = written(base.join(by_row, base["row"] == by_row["_row"], "left").select("row", "id", "text", "found").mapInArrow(lean("repeats", resolve), schema), owner)
     unsettled = settled.filter(F.col("text").isNotNull())
     open_ = unsettled.select("row", F.explode("found").alias("x")).select("row", "x.*")
     # Whole blocks that occur more than once, counted where they are; then the shards' own comparisons.
     whole = open_.filter("open").groupBy("anchor", "block").agg(F.count("*").alias("n")).filter("n > 1")
-    runs = unsettled.select("text", "found").mapInArrow(_payloads(length), "anchor long, block long, payload binary").repartition("anchor").mapInArrow(_sort_shard(length, sort_memory), "anchor long, block long, runs array<struct<a:long,b:long>>")
+    runs = unsettled.select("text", "found").mapInArrow(lean("repeats", _payloads(length)), "anchor long, block long, payload binary").repartition("anchor").mapInArrow(lean("repeats", _sort_shard(length, sort_memory)), "anchor long, block long, runs array<struct<a:long,b:long>>")
     judged = whole.withColumnRenamed("n", "_n").join(runs, ["anchor", "block"], "full")
     here = open_.filter("open").join(judged, ["anchor", "block"])
     whole_span = F.struct(F.lit(0).cast("long").alias("a"), (F.col("strings") + length - 1).alias("b"))
@@ -249,5 +255,5 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                 rows.append((row, i, t, own))
             yield _finished(rows, with_text)
 
-    late = unsettled.join(spans, unsettled["row"] == spans["_row"], "left").select("row", "id", "text", "found", "s").mapInArrow(finish, _DONE)
+    late = unsettled.join(spans, unsettled["row"] == spans["_row"], "left").select("row", "id", "text", "found", "s").mapInArrow(lean("repeats", finish), _DONE)
     return settled.filter(F.col("text").isNull()).drop("text", "found").unionByName(late)
