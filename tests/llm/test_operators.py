@@ -1,6 +1,7 @@
 """Each operator on small tables: brute force, round trips, and rows with nulls, repeats, ties and clashing names."""
 
 import hashlib
+import math
 import random
 from collections import Counter
 
@@ -45,6 +46,19 @@ def test_exact_dedup(spark):
             assert r.group_size == groups[t] and r.keep_id == best.get(t) and r.kept == (r.doc_id == best.get(t))
     assert exact_dedup.drop_copies(docs).columns == docs.columns
     assert exact_dedup.label_copies(docs.limit(0)).count() == 0
+    assert exact_dedup.drop_copies(docs.limit(0)).count() == 0
+
+
+TWICE = [(1, "alpha"), (2, "ALPHA"), (2, "a wholly different text"), (3, "x"), (3, "x"), (None, "q"), (None, "Q"), (4, "w v u t s r"), (5, "w v u t s r"), (5, "w v u t s r")]
+
+
+def test_copies_go_by_row(spark):
+    docs = spark.createDataFrame(TWICE, "doc_id long, text string")
+    left = lambda df: sorted((r.doc_id or 0, r.text.lower()) for r in df.collect())
+    want = sorted({(i or 0, t.lower()) for i, t in TWICE} - {(2, "alpha"), (5, "w v u t s r")})
+    assert left(exact_dedup.drop_copies(docs)) == want
+    assert left(ngram_join.drop_near_copies(docs)) == want
+    assert left(exact_dedup.drop_copies(docs.filter("doc_id = 5"))) == [(5, "w v u t s r")]
 
 
 def test_trie_spills_and_keeps_all():
@@ -52,9 +66,9 @@ def test_trie_spills_and_keeps_all():
     keys = [bytes(rng.choices(b"ab", k=rng.randrange(0, 12))) for _ in range(2000)]
     trie = exact_dedup.PatriciaTrie(3000, max)
     for i, k in enumerate(keys):
-        trie.insert(k, (i, 1))
+        trie.insert(k, (i, 1, 1))
     assert trie.spilled
-    want = {k: (max(i for i, x in enumerate(keys) if x == k), n) for k, n in Counter(keys).items()}
+    want = {k: (max(i for i, x in enumerate(keys) if x == k), n, 1) for k, n in Counter(keys).items()}
     assert dict(trie.drain()) == want
 
 
@@ -82,10 +96,13 @@ def test_packing(spark):
     assert harmonic_packing.pack(docs.limit(0), WORDS).count() == 0
 
 
-def test_chunks_tokenize_like_the_whole():
-    t = harmonic_packing.ChunkTokenizer(WORDS)
-    for text in ("It's DON'T l'été <|endoftext|> a\x1cb", "A-B c_d 12ab ﬁ İstanbul straße!!", "x\xa0y　z", ""):
-        assert t(text) == t._encode([text])[0]
+def test_runs_tokenize_like_the_whole():
+    t = harmonic_packing.PieceTokenizer(WORDS, room=500)
+    texts = ["It's DON'T l'été <|endoftext|> a\x1cb", "A-B c_d 12ab ﬁ İstanbul straße!!", "x\xa0y　z", "", "''s !'s 'sun they're we'll I'd 'l", "日本語 text。ok, 它's", "É e\u0301x ½ a²b"]
+    r = random.Random(1)
+    texts += ["".join(r.choice("abstmdrevl'S !.<|12 \n\t É日\u0301") for _ in range(r.randrange(40))) for _ in range(400)]
+    want = [np.array(t.tok.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+    assert t(texts) == want and [t([x])[0] for x in texts] == want
 
 
 def test_url_reputation(spark):
@@ -100,6 +117,36 @@ def test_url_reputation(spark):
     assert url_reputation.filter_urls(pages.limit(0), labels, id_col="page_id", url_col="url", rules=RULES).count() == 0
 
 
+def test_beta_tail_is_the_binomial_sum(spark):
+    pairs = [(a, b) for a in (1, 2, 7, 40) for b in (1, 3, 12, 55)]
+    got = spark.createDataFrame([(float(a), float(b)) for a, b in pairs], "a double, b double").select("a", "b", url_reputation.beta_tail(F.col("a"), F.col("b"), 0.3).alias("t")).collect()
+    for r in got:
+        n, a = int(r.a + r.b) - 1, int(r.a)
+        assert r.t == pytest.approx(sum(math.comb(n, k) * 0.3**k * 0.7 ** (n - k) for k in range(a)), abs=1e-9)
+
+
+def test_reputation_blocks_by_the_posterior(spark):
+    """Without a rule: a host of blocked outcomes, its sister without any, and a clean one; tails by numerical sums."""
+    rows = [("bad.evil.co.uk", 1)] * 60 + [("worse.evil.co.uk", 1)] * 40 + [("new.evil.co.uk", None)] * 3 + [("good.com", 0)] * 80 + [("fine.com", 0)] * 50 + [("10.0.0.1", None)]
+    pages = spark.createDataFrame([(i, f"http://{h}/p") for i, (h, _) in enumerate(rows)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(rows)], "page_id long, bad int")
+    out = url_reputation.filter_urls(pages, labels, id_col="page_id", url_col="url", rules=[]).collect()
+    verdict = {r.host: r.verdict for r in out}
+    assert verdict["bad.evil.co.uk"] == verdict["worse.evil.co.uk"] == verdict["new.evil.co.uk"] == "block"
+    assert verdict["good.com"] == verdict["fine.com"] == verdict["10.0.0.1"] == "allow"
+    counts = spark.createDataFrame([(h, y) for h, y in rows], "host string, bad int")
+    for r in url_reputation.reputation(counts).collect():
+        assert r.n == sum(h == r.host and y is not None for h, y in rows) and r.bad == sum(h == r.host and y == 1 for h, y in rows)
+    ruled = url_reputation.filter_urls(pages, id_col="page_id", url_col="url", rules=[("evil.co.uk", "/p", "block")]).collect()
+    assert all(r.host_labelled == (r.rule is not None) * sum(h == r.host for h, _ in rows) for r in ruled)
+
+
+def test_domains_and_suffixes(spark):
+    hosts = {"a.b.co.uk": ("b.co.uk", "co.uk"), "co.uk": ("co.uk", "uk"), "x.example.org": ("example.org", "org"), "org": ("org", "org"), "10.0.0.1": ("10.0.0.1", "10.0.0.1"), "u@h.com:80": ("h.com", "com"), "": ("", "")}
+    df = spark.createDataFrame([(h,) for h in hosts], "h string")
+    assert {r.h: (r.d, r.s) for r in df.select("h", url_reputation.registered_domain(F.col("h")).alias("d"), url_reputation.suffix(F.col("h")).alias("s")).collect()} == hosts
+
+
 def test_piece_sampling(spark):
     docs, rows = odd_docs(spark)
     out = piece_sampling.sample_pieces(docs, PIECES, with_ids=True).collect()
@@ -133,6 +180,75 @@ def test_lattice_sums_all_segmentations():
     assert lattice.backward_log(w, 1, n)[0, 0] == pytest.approx(lattice.forward_log(w, 1, n)[0, -1])
 
 
+def test_linear_recursion_equals_the_log_one():
+    p = lattice.Pieces(PIECES)
+    rng = np.random.default_rng(0)
+    for length in (1, 4, 11, 45):
+        chars = rng.integers(97, 123, (50, length)).astype(np.uint32)
+        chars[0], chars[1, 0] = 0x1F600, 0x65E5
+        w = p.edge_log_weights(p.edges(chars), p.log_weights)
+        got = lattice.Linear(p, np.stack([p.log_weights, p.log_weights - 1])).marginals(chars)
+        assert np.allclose(got[0], lattice.forward_log(w, 50, length)[:, -1], atol=1e-9) and (got[1] < got[0]).all()
+        one, two = np.zeros(p.size), np.zeros(p.size)
+        lattice.Linear(p, p.log_weights).expect(chars, one)
+        lattice.expected_counts(p, p.log_weights, chars, two)
+        assert np.allclose(one, two, atol=1e-8)
+
+
+def lm_by_hand(rows, held, pieces):
+    """Scores by plain counting and forward_log, with the piece weights estimated in one block."""
+    tokens = lambda t: "".join(c.lower() if c.isascii() else c for c in t or "").split()
+    train = [t for (_, t), h in zip(rows, held, strict=True) if not h]
+    c = Counter(w for t in train for w in [*tokens(t), None])
+    n, v = sum(c.values()), len(c)
+    words = [w for w in c if w is not None]
+    counts, weights = np.zeros(pieces.size), pieces.log_weights
+    span = lambda w: np.array([[lattice.SPACE, *map(ord, w)]], np.uint32)
+    for _ in range(4):
+        counts = np.zeros(pieces.size)
+        for w in words:
+            lattice.expected_counts(pieces, weights, span(w), counts)
+        weights = lattice.normalised(pieces, counts)
+    weights = lattice.normalised(pieces, counts)
+    once, twice = (sum(c[w] == k for w in words) for k in (1, 2))
+    discount = min(max(once / (once + 2 * twice) if once else 0.5, 0.05), 0.95)
+    spelled, per_word = discount * v / n, max(counts.sum() / len(words), 1)
+    symbols = 1 - spelled + spelled * per_word
+
+    def log_token(w):
+        spell = -math.inf
+        if w is not None:
+            x = pieces.edge_log_weights(pieces.edges(span(w)), weights + math.log(spelled * per_word / symbols))
+            spell = lattice.forward_log(x, 1, len(w) + 1)[0, -1]
+        return np.logaddexp(math.log((c[w] - discount) / n / symbols) if c[w] else -math.inf, spell)
+
+    mass = sum((k - discount) / n / symbols for k in c.values()) + np.exp(weights).sum() * spelled * per_word / symbols
+    return [sum(log_token(w) for w in [*tokens(t), None]) / math.log(10) for _, t in rows], mass
+
+
+def test_lattice_lm_equals_counting_by_hand(spark):
+    rows = [(i, prose(i, 30 + i)) for i in range(12)] + [(50, "unseen wörds here 字"), (51, ""), (52, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want, mass = lm_by_hand(rows, [i % 4 == 2 for i, _ in rows], lattice.Pieces(PIECES))
+    assert mass == pytest.approx(1, abs=1e-9)
+    for part in (docs, docs.orderBy(F.desc("doc_id")).repartition(5)):
+        got = {r.doc_id: r.score for r in lattice_lm.score_texts(part, F.col("doc_id") % 4 == 2, PIECES).collect()}
+        assert [got[i] for i, _ in rows] == pytest.approx(want, abs=1e-6)
+
+
+def test_lattice_lm_never_reads_held_out_classes(spark):
+    score = lambda lang: sorted((r.doc_id, round(r.score, 9)) for r in lattice_lm.score_texts(spark.createDataFrame([(i, prose(i, 40), "en" if i % 2 else lang if i % 5 == 1 else "fr") for i in range(20)], "doc_id long, text string, lang string"), F.col("doc_id") % 5 == 1, PIECES, class_col="lang").collect())
+    assert score("de") == score("fr")
+
+
+def test_lattice_lm_masses_sum_to_one():
+    totals = {"n": 1000, "by_n": [900, 100], "v": 300, "n1": 150, "n2": 50, "part": [210.0, 90.0], "pieces_per_word": [2.5, 3.0]}
+    discount, spelled, per_word, symbols = lattice_lm.masses(totals, 0.9)
+    for k in range(2):
+        words = 0.9 * (1 - discount * totals["part"][k] / totals["by_n"][k]) + 0.1 * (1 - discount * totals["v"] / totals["n"])
+        assert words / symbols[k] + spelled[k] * per_word[k] / symbols[k] == pytest.approx(1)
+
+
 def test_lattice_lm(spark):
     docs, rows = odd_docs(spark)
     held = F.coalesce(F.col("doc_id") == 7, F.lit(False))
@@ -180,8 +296,8 @@ def test_substring_dedup(spark):
     assert substring_dedup.remove_repeats(docs.limit(0), length=k).count() == 0
 
 
-@pytest.mark.parametrize("block", [1024, 2])
-def test_ngram_join(spark, block):
+@pytest.mark.parametrize("fragment", [1 << 20, 200])
+def test_ngram_join(spark, fragment):
     r = random.Random(3)
     base = prose(5, 120).split()
     rows = [(i, " ".join(w if r.random() > 0.02 else f"w{r.randrange(99)}" for w in base)) for i in range(20)] + [(30, None), (31, ""), (32, "one two"), (33, "ONE two"), (34, prose(9, 80))]
@@ -196,17 +312,39 @@ def test_ngram_join(spark, block):
                 if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]) and root[a] != root[b]:
                     root[a] = root[b] = min(root[a], root[b])
                     changed = True
-    out = {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_join.near_duplicates(docs, n=4, num=85, block=block).collect()}
+    out = {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_join.near_duplicates(docs, n=4, num=85, fragment=fragment).collect()}
     assert out == {i: (len(sets[i]), root[i]) for i in sets}
 
 
+def test_ngram_join_has_a_row_for_each_row(spark):
+    docs = spark.createDataFrame([*TWICE, (9, None), (None, "")], "doc_id long, text string")
+    out = Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(docs, n=4, num=85).collect())
+    want = [(1, 1, 1), (2, 1, 1), (2, 1, 2), (3, 1, 3), (3, 1, 3), (None, 1, None), (None, 1, None), (4, 3, 4), (5, 3, 4), (5, 3, 4), (9, 0, 9), (None, 0, None)]
+    assert out == Counter(want)
+    assert ngram_join.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_adaptive_scan_recall_as_registered(spark):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((3000, 24))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    out = adaptive_scan.search(df, F.col("vec_id") % 50 == 0).collect()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hit = 0
+    for q in range(0, 3000, 50):
+        s = u @ u[q]
+        s[q] = -9
+        hit += len({r.vec_id for r in out if r.query_id == q} & set(np.argsort(-s)[:5].tolist()))
+    assert hit / 300 >= 0.9
+
+
 def test_adaptive_scan(spark):
     rng = np.random.default_rng(0)
     x = rng.standard_normal((300, 16)).astype(np.float32)
     x[10:20] = x[0]
     rows = [(i, v.tolist(), 0) for i, v in enumerate(x)] + [(400, None, 0), (401, [0.0] * 16, 0), (402, [float("nan")] * 16, 0), (403, [None] * 16, 0), (404, [1.0], 0)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, v int")
-    out = adaptive_scan.search(df, F.col("vec_id") % 50 == 0, lists=8, probes=8, cell=50).collect()
+    out = adaptive_scan.search(df, F.col("vec_id") % 50 == 0, lists=8, probe_share=1.0, cell=50).collect()
     u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
     for q in range(0, 300, 50):
         s = np.round(u @ u[q], 12)
