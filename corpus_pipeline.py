@@ -3,8 +3,9 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns
 of documents. What a stage returns is written as Parquet and read again as the next one's docs.
 
-Edge cases follow the operators': null texts count as empty and stay (as empty) unless they are
-copies; extra columns pass through the filtering stages; empty input gives empty output.
+Edge cases follow the operators': null texts count as empty, and one such row stays; of rows that are
+equal in id and text one stays, rows with equal ids and other texts are other documents; extra columns
+pass through the filtering stages; empty input gives empty output.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import prepare, release, table, without, written
+from tidemark.llm.common import prepare, release, table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 #: Documents whose highest window reaches this are rejected.
@@ -43,12 +44,11 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by similarity (five words, 0.8) the one with the smallest doc_id stays."""
-    from tidemark.llm.ngram_join import near_duplicates
+    from tidemark.llm.ngram_join import drop_near_copies
 
     prepare(spark)
     release(spark, SCRATCH)
-    gone = near_duplicates(docs, owner=SCRATCH).filter("component_id <> doc_id").select(F.col("doc_id").alias("_gone"))
-    return without(docs, gone, "doc_id", SCRATCH)
+    return drop_near_copies(docs, owner=SCRATCH)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
