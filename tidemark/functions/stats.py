@@ -49,7 +49,7 @@ def class_dir_name(s: Column) -> Column:
 
 def delta_list(s: Column) -> Column:
     """'1,3,12' to [1, 3, 12]; values under 1 count as 1; null or empty gives [1]."""
-    parts = F.filter(F.transform(F.split(F.coalesce(s, F.lit("")), ","), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(F.coalesce(s, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
     out = F.transform(parts, lambda x: F.greatest(F.lit(1), x.cast("int")))
     return F.when(F.size(out) == 0, F.array(F.lit(1))).otherwise(out)
 
