@@ -28,7 +28,7 @@ def rows(df):
     return sorted([tuple(None if pd.isna(v) else round(v, 6) if isinstance(v, float) else str(v) for v in r) for r in df[sorted(df.columns)].itertuples(index=False)], key=str)
 
 
-@pytest.mark.parametrize("name", ["mts_from_events_dense", "mts_zscore", "mts_robust_scale", "spi_pearson", "spi_spearman", "spi_xcorr_sigonly", "spi_gauss_tlmi", "spi_symbolic_te_k1", "mpi_symmetrise", "mpi_wide", "feat_spi_spi_split", "ks_two_sided", "grid_expand", "slugify", "events_tumbling"])
+@pytest.mark.parametrize("name", ["mts_from_events_dense", "mts_zscore", "mts_robust_scale", "spi_pearson", "spi_spearman", "spi_xcorr_sigonly", "spi_gauss_tlmi", "spi_symbolic_te_k1", "mpi_symmetrise", "mpi_wide", "feat_spi_spi_split", "feat_spi_spi_mixed", "ks_two_sided", "ks_topk", "ks_kde", "class_densities", "two_spi_scatter", "heat_map_ranges", "grid_anti_single_instance", "delta_parse", "market_keys", "market_closes", "gen_wave_1d", "anti_join_resume", "spi_kendall", "grid_expand", "slugify", "events_tumbling"])
 def test_query_equals_sql(spark, duck, name):
     a, b = QUERIES[name](spark, SF).toPandas(), duck.sql(ORACLES[name]).df()
     assert sorted(a.columns) == sorted(b.columns)
@@ -78,6 +78,27 @@ def test_every_generator_gives_its_shape_again():
         generators.generate("wave_2d", 8, 5)
 
 
+def test_generators_take_the_parameters_of_experiment_files():
+    g = generators.generate
+    x = g("varma", 4, 300, 1, phi=0.5, coupling=0.0, ma_phi=0.0, ma_coupling=0.0, noise_std=0.1, topology="ring-unidirectional", zscore=False)
+    assert x.std() == pytest.approx(0.1 / math.sqrt(0.75), rel=0.1)
+    e = np.random.default_rng(1).normal(0.0, 0.1, (400, 4))
+    want = e + 0.3 * np.vstack([np.zeros((1, 4)), e[:-1]])
+    assert np.allclose(g("varma", 4, 300, 1, phi=0.0, coupling=0.0, ma_phi=0.3, ma_coupling=0.0, zscore=False), want[100:])
+    plain, later = g("cml_logistic", 5, 40, 2, zscore=False), g("cml_logistic", 5, 30, 2, respect_transients=True, transients=10, zscore=False)
+    assert np.array_equal(plain[10:], later) and (plain[0] >= 0).all()
+    assert g("exponential_noise", 3, 50, 1).min() >= 0 and abs(g("gaussian_noise", 3, 50, 1).mean()) < 1e-9
+    for kw in ({"K": 1.5}, {"k": 1.5}, {"K": 9.0, "k": 1.5}):
+        assert np.array_equal(g("kuramoto", 5, 20, 3, topology="ring-symmetric", transients=5, **kw), g("kuramoto", 5, 20, 3, coupling_scheme="list", K=1.5, transients=5))
+    for kw in ({"connectivity": "splay"}, {"connectivity": "full"}, {"connectivity": "ring", "k_ring": 2}, {"output": "cos"}, {"output": "phase", "noise_std": 0.2}):
+        assert g("kuramoto", 9, 20, 3, transients=5, **kw).shape == (20, 9)
+    with pytest.raises(ValueError):
+        g("kuramoto", 5, 5, 1, connectivity="star")
+    wave = g("wave_2d", 9, 2, zscore=False)
+    assert wave[0].max() == 1 and np.allclose(wave[1].sum(), wave[0].sum())
+    assert np.allclose(g("mackey_glass", 3, 5, 4, transients=0, zscore=False)[0], np.random.default_rng(4).uniform(0.5, 1.5, (171, 3))[170])
+
+
 def test_grid(spark):
     two = {"defaults": {"M_values": [8, 16], "T_values": [1, 2, 3], "instances": 16}, "mts_classes": [{"name": "A", "generator": "gaussian_noise"}, {"name": "B", "generator": "varma", "base_params": {"phi": 0.1, "x": 2}, "variants": [{"name": "v", "params": {"phi": 0.6}}], "include_base_variant": False}]}
     specs = grid.expand(spark, two)

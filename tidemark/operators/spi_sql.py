@@ -46,7 +46,7 @@ def spearman(mts: DataFrame, squared: bool = False) -> DataFrame:
 def kendall(mts: DataFrame, squared: bool = False) -> DataFrame:
     """Tau-b. The pairs of times of a channel are signed once; two channels then meet on them."""
     a, b = (mts.select("dataset_id", "proc", F.col("t").alias(t), F.col("x").alias(x)) for t, x in (("t1", "x1"), ("t2", "x2")))
-    signs = a.join(b, ["dataset_id", "proc"]).filter("t1 < t2").select("dataset_id", "proc", (F.col("t1") * F.lit(1_000_000).cast("long") + F.col("t2")).alias("t"), F.signum(F.col("x1") - F.col("x2")).alias("s"))
+    signs = a.join(b, ["dataset_id", "proc"]).filter("t1 < t2").select("dataset_id", "proc", F.struct("t1", "t2").alias("t"), F.signum(F.col("x1") - F.col("x2")).alias("s"))
     p = pairs(signs, value="s")
     tau = F.coalesce(F.try_divide(F.sum(F.col("x") * F.col("y")), F.sqrt(F.sum(F.abs("x")) * F.sum(F.abs("y")))), F.lit(0.0))
     return _edges(p, "kendall_sq" if squared else "kendall", tau * tau if squared else tau)

@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .functions import names as study_names
 from .functions import stats
 from .functions.stats import digits
 from .operators import edges as E
-from .operators import learn, spi, spi_sql
+from .operators import learn, spi, spi_sql, views
 from .plans import grid
-from .sources import generators, series
+from .sources import files, generators, series
 from .sources.series import table
 from .streaming import windows
 
@@ -163,7 +164,8 @@ THREE = f"""{EMB}, {PAIRS}, lg AS (SELECT dataset_id, t, proc, lag(x) OVER (PART
 und AS (SELECT dataset_id, 'cov' AS spi, i, j, covar_pop(x, y) AS value FROM pr GROUP BY ALL UNION ALL SELECT dataset_id, 'pdist_euclidean', i, j, sqrt(sum((x - y) * (x - y))) FROM pr GROUP BY ALL),
 ed AS (SELECT * FROM und UNION ALL SELECT dataset_id, spi, j, i, value FROM und UNION ALL SELECT a.dataset_id, 'lag1', a.proc, b.proc, covar_pop(a.x, b.x) FROM lg a JOIN mts b ON a.dataset_id = b.dataset_id AND a.t = b.t AND a.proc <> b.proc WHERE a.x IS NOT NULL GROUP BY a.dataset_id, a.proc, b.proc)"""
 UP, LOW = "CAST(i * 8 - i * (i + 1) / 2 + j - i - 1 AS INTEGER)", "CAST(i * (i - 1) / 2 + j AS INTEGER)"
-query("mpi_symmetrise", f"WITH {THREE} SELECT a.dataset_id, a.spi, a.i, a.j, {R.format('(a.value + b.value) / 2')} AS value FROM ed a JOIN ed b ON a.dataset_id = b.dataset_id AND a.spi = b.spi AND a.i = b.j AND a.j = b.i")(lambda s, d: rounded(E.symmetrise(three(s, d)[0]), "value"))
+MEAN = "avg(value) OVER (PARTITION BY dataset_id, spi, least(i, j), greatest(i, j))"
+query("mpi_symmetrise", f"WITH {THREE} SELECT dataset_id, spi, i, j, {R.format(MEAN)} AS value FROM ed")(lambda s, d: rounded(E.symmetrise(three(s, d)[0]), "value"))
 query("mpi_zero_diag", f"WITH {THREE} SELECT dataset_id, spi, i, j, {R.format('value')} AS value FROM ed UNION ALL SELECT DISTINCT dataset_id, spi, i, i, 0.0 FROM ed")(lambda s, d: rounded(E.with_diagonal(*three(s, d)), "value"))
 query("mpi_wide", f"WITH {THREE} SELECT dataset_id, spi, i, " + ", ".join(f"{R.format(f'max(value) FILTER (j = {j})')} AS \"proc-{j}\"" for j in range(8)) + " FROM ed GROUP BY dataset_id, spi, i")(lambda s, d: rounded(E.wide(three(s, d)[0], 8), *[f"proc-{j}" for j in range(8)]))
 query("edges_upper", f"WITH {THREE} SELECT dataset_id, spi, i, j, {R.format('value')} AS value, {UP} AS k FROM ed WHERE i < j")(lambda s, d: rounded(E.upper(*three(s, d)), "value"))
@@ -187,14 +189,22 @@ def classed(s: SparkSession, d: str) -> DataFrame:
 
 query("feat_spi_spi_split", f"WITH {FEAT} SELECT dataset_id, spi_a, spi_b, {R.format('rho')} AS rho FROM ft")(lambda s, d: rounded(split_features(s, d), "rho"))
 query("feat_raw", f"WITH {VEC} SELECT dataset_id, spi || ':' || k AS edge, {R.format('z')} AS z FROM vec")(lambda s, d: rounded(E.edge_vectors(*three(s, d), ["lag1"]).select("dataset_id", F.concat_ws(":", "spi", "k").alias("edge"), "z"), "z"))
-query("feat_spi_spi_mixed")(lambda s, d: rounded(E.mixed_features(*three(s, d), ["lag1"]), "rho"))
+MIXED = f"""WITH {THREE},
+up AS (SELECT dataset_id, spi, {UP} AS k, value FROM ed WHERE i < j AND spi <> 'lag1'),
+fu AS (SELECT dataset_id, spi, i * 8 + j AS k, value FROM ed UNION ALL SELECT DISTINCT dataset_id, spi, i * 9, 0.0 FROM ed),
+ru AS (SELECT dataset_id, spi, k, rank() OVER (PARTITION BY dataset_id, spi ORDER BY value) + (count(*) OVER (PARTITION BY dataset_id, spi, value) - 1) / 2.0 AS r FROM up),
+rf AS (SELECT dataset_id, spi, k, rank() OVER (PARTITION BY dataset_id, spi ORDER BY value) + (count(*) OVER (PARTITION BY dataset_id, spi, value) - 1) / 2.0 AS r FROM fu),
+pp AS (SELECT a.dataset_id, a.spi AS spi_a, b.spi AS spi_b, a.r AS x, b.r AS y FROM ru a JOIN ru b ON a.dataset_id = b.dataset_id AND a.k = b.k AND a.spi < b.spi
+UNION ALL SELECT a.dataset_id, a.spi, b.spi, a.r, b.r FROM rf a JOIN rf b ON a.dataset_id = b.dataset_id AND a.k = b.k AND a.spi < b.spi WHERE a.spi = 'lag1' OR b.spi = 'lag1')
+SELECT dataset_id, spi_a, spi_b, {R.format("coalesce(covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0), 0)")} AS rho FROM pp GROUP BY dataset_id, spi_a, spi_b"""
+query("feat_spi_spi_mixed", MIXED)(lambda s, d: rounded(E.mixed_features(*three(s, d), ["lag1"]), "rho"))
 CL = f"""WITH {FEAT}, cl AS (SELECT split_part(dataset_id, '_', 1) AS mts_class, spi_a || '|' || spi_b AS feature, round(rho, 4) + 0.0 AS value FROM ft),
-pc AS (SELECT * FROM (VALUES ('0', '1'), ('0', '2'), ('1', '2')) v(class_a, class_b)),
+pc AS (SELECT a.mts_class AS class_a, b.mts_class AS class_b FROM (SELECT DISTINCT mts_class FROM cl) a JOIN (SELECT DISTINCT mts_class FROM cl) b ON a.mts_class < b.mts_class),
 mn AS (SELECT class_a, class_b, feature, value, mts_class = class_a AS in_a FROM cl JOIN pc ON mts_class IN (class_a, class_b)),
 cdf AS (SELECT *, sum(CAST(in_a AS INTEGER)) OVER r / sum(CAST(in_a AS INTEGER)) OVER w AS fa, sum(CAST(NOT in_a AS INTEGER)) OVER r / sum(CAST(NOT in_a AS INTEGER)) OVER w AS fb FROM mn WINDOW r AS (PARTITION BY class_a, class_b, feature ORDER BY value RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), w AS (PARTITION BY class_a, class_b, feature))"""
 for alt, gap in (("two-sided", "abs(fa - fb)"), ("greater", "fa - fb"), ("less", "fb - fa")):
-    query(f"ks_{alt.replace('-', '_')}", f"{CL} SELECT class_a, class_b, feature, {R.format(f'max({gap})')} AS ks, count(*) FILTER (in_a) AS n_a, count(*) FILTER (NOT in_a) AS n_b FROM cdf GROUP BY class_a, class_b, feature")(lambda s, d, a=alt: rounded(E.ks_between(classed(s, d), ["0", "1", "2"], a), "ks"))
-query("ks_topk", f"{CL} SELECT class_a, class_b, feature, {R.format('max(abs(fa - fb))')} AS ks FROM cdf GROUP BY class_a, class_b, feature ORDER BY ks DESC, class_a, class_b, feature LIMIT 25")(lambda s, d: rounded(E.ks_between(classed(s, d), ["0", "1", "2"]), "ks").orderBy(F.desc("ks"), "class_a", "class_b", "feature").limit(25).select("class_a", "class_b", "feature", "ks"))
+    query(f"ks_{alt.replace('-', '_')}", f"{CL} SELECT class_a, class_b, feature, {R.format(f'max({gap})')} AS ks, count(*) FILTER (in_a) AS n_a, count(*) FILTER (NOT in_a) AS n_b FROM cdf GROUP BY class_a, class_b, feature")(lambda s, d, a=alt: rounded(every_class(s, d, lambda f, classes: E.ks_between(f, classes, a)), "ks"))
+query("ks_topk", f"{CL} SELECT class_a, class_b, feature, {R.format('max(abs(fa - fb))')} AS ks FROM cdf GROUP BY class_a, class_b, feature ORDER BY ks DESC, class_a, class_b, feature LIMIT 25")(lambda s, d: rounded(every_class(s, d, E.ks_between), "ks").orderBy(F.desc("ks"), "class_a", "class_b", "feature").limit(25).select("class_a", "class_b", "feature", "ks"))
 
 
 def every_class(s: SparkSession, d: str, ks: Callable[[DataFrame, list[str]], DataFrame]) -> DataFrame:
@@ -203,14 +213,36 @@ def every_class(s: SparkSession, d: str, ks: Callable[[DataFrame, list[str]], Da
     return ks(f, [r[0] for r in f.select("mts_class").distinct().orderBy("mts_class").collect()])  # class names only
 
 
-PC = "pc AS (SELECT a.mts_class AS class_a, b.mts_class AS class_b FROM (SELECT DISTINCT mts_class FROM cl) a JOIN (SELECT DISTINCT mts_class FROM cl) b ON a.mts_class < b.mts_class),"
-SWEEP = "\n".join(PC if line.startswith("pc AS") else line for line in CL.split("\n"))
-query("ks_sweep", f"{SWEEP} SELECT class_a, class_b, feature, {R.format('max(abs(fa - fb))')} AS ks, count(*) FILTER (in_a) AS n_a, count(*) FILTER (NOT in_a) AS n_b FROM cdf GROUP BY class_a, class_b, feature")(lambda s, d: rounded(every_class(s, d, E.ks_between), "ks"))
-query("ks_kde")(lambda s, d: every_class(s, d, lambda f, classes: E.ks_kde(f, classes, 0.5)))
+query("ks_sweep", f"{CL} SELECT class_a, class_b, feature, {R.format('max(abs(fa - fb))')} AS ks, count(*) FILTER (in_a) AS n_a, count(*) FILTER (NOT in_a) AS n_b FROM cdf GROUP BY class_a, class_b, feature")(lambda s, d: rounded(every_class(s, d, E.ks_between), "ks"))
+KDE = f"""{CL},
+st AS (SELECT feature, mts_class, stddev_samp(value) AS sd, min(value) AS lo, max(value) AS hi, count(*) AS n FROM cl GROUP BY ALL),
+tw AS (SELECT a.feature, a.mts_class AS class_a, b.mts_class AS class_b, a.sd AS sa, b.sd AS sb, least(a.lo, b.lo) AS lo, greatest(a.hi, b.hi) AS hi, a.n AS n_a, b.n AS n_b FROM st a JOIN st b ON a.feature = b.feature AND a.mts_class < b.mts_class),
+gr AS (SELECT *, lo + (hi - lo) * k / 511 AS g FROM tw CROSS JOIN (SELECT unnest(range(512)) AS k) WHERE sa > 1e-12 AND sb > 1e-12),
+de AS (SELECT class_a, class_b, gr.feature, k, sum(CASE WHEN mts_class = class_a THEN exp(-0.5 * power((g - value) / (0.5 * sa), 2)) ELSE 0 END) AS da, sum(CASE WHEN mts_class = class_b THEN exp(-0.5 * power((g - value) / (0.5 * sb), 2)) ELSE 0 END) AS db
+FROM gr JOIN cl ON cl.feature = gr.feature AND mts_class IN (class_a, class_b) GROUP BY ALL),
+cu AS (SELECT class_a, class_b, feature, abs(sum(da) OVER r / sum(da) OVER w - sum(db) OVER r / sum(db) OVER w) AS gap FROM de WINDOW r AS (PARTITION BY class_a, class_b, feature ORDER BY k ROWS UNBOUNDED PRECEDING), w AS (PARTITION BY class_a, class_b, feature)),
+sm AS (SELECT class_a, class_b, feature, max(gap) AS ks FROM cu GROUP BY ALL), pl AS (SELECT class_a, class_b, feature, max(abs(fa - fb)) AS ks FROM cdf GROUP BY ALL)
+SELECT class_a, class_b, feature, {R.format("coalesce(sm.ks, pl.ks)")} AS ks, n_a, n_b FROM tw JOIN pl USING (class_a, class_b, feature) LEFT JOIN sm USING (class_a, class_b, feature)"""
+query("ks_kde", KDE)(lambda s, d: rounded(every_class(s, d, lambda f, classes: E.ks_kde(f, classes, 0.5)), "ks"))
+query("class_densities", f"{CL.split(',' + chr(10) + 'pc AS')[0]} SELECT mts_class, feature, CAST(greatest(0, least(19, floor((value + 1.0) / 0.1))) AS INTEGER) AS bin, count(*) AS n FROM cl GROUP BY ALL")(lambda s, d: views.densities(classed(s, d)).drop("share"))
+SCATTER = f"""WITH {THREE}, xy AS (SELECT u.dataset_id, 'ij' AS way, u.i, u.j, u.value AS x, v.value AS y FROM ed u JOIN ed v ON u.dataset_id = v.dataset_id AND u.i = v.i AND u.j = v.j WHERE u.spi = 'cov' AND v.spi = 'lag1' AND u.i < u.j
+UNION ALL SELECT u.dataset_id, 'ji', u.i, u.j, u.value, v.value FROM (SELECT *, {UP} AS k FROM ed WHERE spi = 'cov' AND i < j) u JOIN (SELECT *, {LOW} AS k FROM ed WHERE spi = 'lag1' AND i > j) v ON u.dataset_id = v.dataset_id AND u.k = v.k),
+rk AS (SELECT *, rank() OVER (PARTITION BY dataset_id, way ORDER BY x) + (count(*) OVER (PARTITION BY dataset_id, way, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY dataset_id, way ORDER BY y) + (count(*) OVER (PARTITION BY dataset_id, way, y) - 1) / 2.0 AS ry FROM xy)
+SELECT dataset_id, way, count(*) AS n, {R.format("coalesce(covar_pop(rx, ry) / nullif(stddev_pop(rx) * stddev_pop(ry), 0), 0)")} AS rho FROM rk GROUP BY dataset_id, way"""
+query("two_spi_scatter", SCATTER)(lambda s, d: rounded(views.scatter(*three(s, d), "cov", "lag1", ["lag1"]).groupBy("dataset_id", "way").agg(F.count("*").alias("n"), F.max("rho").alias("rho")), "rho"))
+query("heat_map_ranges", f"WITH {THREE} SELECT dataset_id, spi, {R.format('min(value)')} AS low, {R.format('max(value)')} AS high, CASE WHEN spi LIKE 'cov%' THEN 'diverging' WHEN spi LIKE '%dist%' THEN 'sequential' WHEN min(value) < 0 AND max(value) > 0 THEN 'diverging' ELSE 'sequential' END AS scale FROM ed GROUP BY dataset_id, spi")(lambda s, d: rounded(views.heat_maps(three(s, d)[0]).select("dataset_id", "spi", "low", "high", "scale").distinct(), "low", "high"))
 query("pca_scores")(lambda s, d: learn.pca(classed(s, d))[0])
 query("tsne_scores")(lambda s, d: learn.embedding(classed(s, d)))
 query("feature_select_forward")(lambda s, d: s.createDataFrame([(k, *x) for k, x in enumerate(learn.forward_selection(classed(s, d)))], "step int, feature string, accuracy double"))
 
+def market_closes(s: SparkSession, d: str) -> DataFrame:
+    """Daily sums by event type, as the closes of as many names."""
+    e = table(s, d, "events").filter("value is not null")
+    prices = e.groupBy(F.to_date("ts").alias("day"), F.col("event_type").alias("ticker")).agg(F.round(F.sum("value"), 4).alias("close"))
+    names = files.universe(s, [r[0] for r in e.select("event_type").distinct().collect()])  # the few types
+    return files.market_sample(prices, names, len(names)).select("t", "proc", "x")
+
+
 # ---- generators, grids, strings ---------------------------------------------------------
 
 
@@ -218,13 +250,24 @@ def specs_of(s: SparkSession, names: list[str], m: int, t: int) -> DataFrame:
     return s.createDataFrame([(f"{g}_{k}", g, k, g, m, t, grid.dataset_seed(g, k), "{}") for g in names for k in range(2)], "slug string, mts_class string, instance int, generator string, m int, t int, seed long, params string")
 
 
-for key, names in {"gen_varma": ["varma", "varma_shuffled"], "gen_noise": ["gaussian_noise", "cauchy_noise", "exponential_noise"], "gen_cml": ["cml_logistic"], "gen_wave_1d": ["wave_1d"], "gen_wave_2d": ["wave_2d"], "gen_kuramoto": ["kuramoto", "kuramoto_all_to_all", "kuramoto_bidirectional_list", "kuramoto_grid_four"], "gen_mackey_glass": ["mackey_glass"]}.items():
+for key, names in {"gen_varma": ["varma", "varma_shuffled"], "gen_noise": ["gaussian_noise", "cauchy_noise", "exponential_noise"], "gen_cml": ["cml_logistic"], "gen_wave_2d": ["wave_2d"], "gen_kuramoto": ["kuramoto", "kuramoto_all_to_all", "kuramoto_bidirectional_list", "kuramoto_grid_four"], "gen_mackey_glass": ["mackey_glass"]}.items():
     query(key)(lambda s, d, n=names: generators.series(specs_of(s, n, 9, 100)))
+WAVE = f"""WITH RECURSIVE u0 AS (SELECT [exp(-power(x - 4.5, 2) / 0.405) / exp(-0.25 / 0.405) FOR x IN range(9)] AS u),
+w AS (SELECT 0 AS t, u, u AS p FROM u0 UNION ALL SELECT t + 1, [CASE WHEN t = 0 THEN u[x] + 0.02 * (u[x % 9 + 1] + u[(x + 7) % 9 + 1] - 2 * u[x]) ELSE 2 * u[x] - p[x] + 0.04 * (u[x % 9 + 1] + u[(x + 7) % 9 + 1] - 2 * u[x]) END FOR x IN range(1, 10)], u FROM w WHERE t < 99),
+l AS (SELECT CAST(t AS INTEGER) AS t, CAST(unnest(range(9)) AS INTEGER) AS proc, unnest(u) AS x FROM w)
+SELECT 'wave_1d_' || k AS dataset_id, CAST(k AS INTEGER) AS instance, t, proc, {R.format("(x - avg(x) OVER (PARTITION BY proc, k)) / stddev_pop(x) OVER (PARTITION BY proc, k)")} AS x FROM l CROSS JOIN (VALUES (0), (1)) i(k)"""
+query("gen_wave_1d", WAVE)(lambda s, d: rounded(generators.series(specs_of(s, ["wave_1d"], 9, 100)).drop("mts_class"), "x"))
 GRID = {"defaults": {"M_values": [8, 16], "T_values": [500, 1000, 2000], "instances": 16, "single_instance_M_values": []}, "mts_classes": [{"name": "GaussianNoise", "generator": "gaussian_noise"}, {"name": "VAR(1)", "generator": "varma", "variants": [{"name": "phi 0.6", "params": {"phi": 0.6}}, {"name": "phi 0.9", "params": {"phi": 0.9}}], "include_base_variant": False}]}
 GRID_SQL = "WITH m AS (SELECT * FROM (VALUES (0, 8), (1, 16)) v(mp, m)), t AS (SELECT * FROM (VALUES (0, 500), (1, 1000), (2, 2000)) v(tp, t)), i AS (SELECT unnest(range(16)) AS instance), c AS (SELECT * FROM (VALUES (0, 'GaussianNoise', 0, NULL), (1, 'VAR(1)', 1, 'phi 0.6'), (1, 'VAR(1)', 2, 'phi 0.9')) v(cp, mts_class, vp, variant))"
 query("grid_expand", f"{GRID_SQL} SELECT CAST(row_number() OVER (ORDER BY cp, mp, tp, instance, vp) AS INTEGER) AS index, mts_class, m, t, CAST(instance AS INTEGER) AS instance, variant FROM c CROSS JOIN m CROSS JOIN t CROSS JOIN i")(lambda s, d: grid.expand(s, GRID).select("index", "mts_class", "m", "t", "instance", "variant"))
 query("grid_counts", f"{GRID_SQL} SELECT mts_class, count(*) AS n FROM c CROSS JOIN m CROSS JOIN t CROSS JOIN i GROUP BY mts_class")(lambda s, d: grid.expand(s, GRID).groupBy("mts_class").agg(F.count(F.lit(1)).alias("n")))
-query("grid_anti_single_instance", "SELECT m FROM (VALUES (4), (8), (16), (32)) v(m) WHERE m NOT IN (32, 64)")(lambda s, d: s.createDataFrame([(4,), (8,), (16,), (32,)], "m int").join(s.createDataFrame([(32,), (64,)], "m int"), "m", "left_anti"))
+SINGLE = {"rng_seed": 1, "defaults": {"M_values": [4, 8, 16, 32], "T_values": [100, 200], "instances": [0, 1, 2], "single_instance_M_values": [32, 64], "single_instance_T_values": [1000], "single_instance_instances": [7]}, "mts_classes": [{"name": "A", "generator": "gaussian_noise", "variants": [{"name": "raw", "params": {"zscore": False}}]}]}
+query("grid_anti_single_instance", """WITH c AS (SELECT m, t, i AS instance FROM (VALUES (4), (8), (16), (32)) a(m) CROSS JOIN (VALUES (100), (200)) b(t) CROSS JOIN (VALUES (0), (1), (2)) d(i) WHERE m NOT IN (32, 64) UNION ALL SELECT m, 1000, 7 FROM (VALUES (32), (64)) a(m))
+SELECT m, t, instance, variant, 'A_M' || m || '_T' || t || '_I' || instance || coalesce('_' || variant, '') AS slug FROM c CROSS JOIN (VALUES (NULL), ('raw')) v(variant)""")(lambda s, d: grid.expand(s, SINGLE).select("m", "t", "instance", "variant", "slug"))
+query("delta_parse", "SELECT n_nationkey, CASE WHEN n_nationkey % 5 = 0 THEN '1' ELSE greatest(1, n_nationkey - 3) || ',' || greatest(1, n_regionkey) || ',12' END AS deltas FROM nation")(lambda s, d: table(s, d, "nation").select("n_nationkey", F.array_join(stats.delta_list(F.when(F.col("n_nationkey") % 5 != 0, F.concat((F.col("n_nationkey") - 3).cast("string"), F.lit(" ,"), F.col("n_regionkey").cast("string"), F.lit(",, 12")))), ",").alias("deltas")))
+query("market_keys", "SELECT n_name, replace(replace(replace(replace(lower(n_name || ' & Co-x_y'), '-', ''), '_', ''), ' ', ''), '&', 'and') AS k FROM nation")(lambda s, d: table(s, d, "nation").select("n_name", study_names.market_key(F.concat("n_name", F.lit(" & Co-x_y"))).alias("k")))
+query("market_closes", """WITH p AS (SELECT CAST(ts AS DATE) AS day, upper(event_type) AS ticker, round(sum(value), 4) AS x FROM events WHERE value IS NOT NULL GROUP BY ALL), w AS (SELECT day FROM p GROUP BY day HAVING count(*) = (SELECT count(DISTINCT ticker) FROM p))
+SELECT CAST(row_number() OVER (PARTITION BY ticker ORDER BY day) - 1 AS INTEGER) AS t, CAST(dense_rank() OVER (ORDER BY ticker) - 1 AS INTEGER) AS proc, x FROM p JOIN w USING (day)""")(market_closes)
 NAMES = "(SELECT DISTINCT p_type || ' (' || p_brand || ')' AS s FROM part)"
 query("slugify", f"SELECT s, coalesce(nullif(regexp_replace(regexp_replace(lower(trim(s)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'variant') AS slug FROM {NAMES}")(lambda s, d: table(s, d, "part").select(F.concat("p_type", F.lit(" ("), "p_brand", F.lit(")")).alias("s")).distinct().select("s", stats.slugify(F.col("s")).alias("slug")))
 query("class_dir_name", f"SELECT s, regexp_replace(regexp_replace(s, '[^A-Za-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS dir FROM {NAMES}")(lambda s, d: table(s, d, "part").select(F.concat("p_type", F.lit(" ("), "p_brand", F.lit(")")).alias("s")).distinct().select("s", stats.class_dir_name(F.col("s")).alias("dir")))
@@ -235,7 +278,7 @@ query("color_scale")(lambda s, d: spi.catalogue(s).select("spi", learn.color_sca
 
 query("filter_project", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 100000")(lambda s, d: table(s, d, "orders").filter("o_orderstatus = 'F' and o_totalprice > 100000").select("o_orderkey", "o_totalprice"))
 query("join_lookup", "SELECT n_name, r_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL")(lambda s, d: table(s, d, "customer").join(table(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).groupBy("n_name", "r_name").agg(F.count(F.lit(1)).alias("n")))
-query("anti_join_resume", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")(lambda s, d: table(s, d, "customer").select("c_custkey").join(table(s, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti"))
+query("anti_join_resume", "SELECT c_custkey AS slug FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 250000)")(lambda s, d: series.remaining(table(s, d, "customer").select(F.col("c_custkey").alias("slug")), table(s, d, "orders").filter("o_totalprice > 250000").select(F.col("o_custkey").alias("slug"))))
 query("union_specs", "SELECT s_nationkey AS k, 's' AS side FROM supplier UNION ALL SELECT c_nationkey, 'c' FROM customer")(lambda s, d: table(s, d, "supplier").select(F.col("s_nationkey").alias("k"), F.lit("s").alias("side")).unionByName(table(s, d, "customer").select(F.col("c_nationkey").alias("k"), F.lit("c").alias("side"))))
 query("distinct_sorted", "SELECT DISTINCT upper(p_brand) AS brand FROM part ORDER BY 1")(lambda s, d: table(s, d, "part").select(F.upper("p_brand").alias("brand")).distinct().orderBy("brand"))
 query("percentiles", "SELECT l_returnflag, quantile_cont(l_quantity, 0.001) AS lo, quantile_cont(l_quantity, 0.999) AS hi FROM lineitem GROUP BY 1")(lambda s, d: table(s, d, "lineitem").groupBy("l_returnflag").agg(F.percentile("l_quantity", 0.001).alias("lo"), F.percentile("l_quantity", 0.999).alias("hi")))
