@@ -227,12 +227,15 @@ class Linear:
         for s in range(length - 1, -1, -1):
             for k in range(1, min(length - s, len(w)) + 1):
                 b[s] += b[s + k] * w[k - 1][s]
+        which, often = [], []
         for k, (ids, x) in enumerate(zip(edges, w, strict=True), 1):
             ids, post = ids.T, a[: length - k + 1] * x * b[k:]
             hit = ids >= 0
-            out += np.bincount(ids[hit], post[hit], len(out))
+            which.append(ids[hit])
+            often.append(post[hit])
             if k == 1:
                 out[self.pieces.byte_id] += float(post[ids < -1].sum()) / 256
+        out += np.bincount(np.concatenate(which), np.concatenate(often), len(out))  # once, since out is as long as the vocabulary
 
 
 def expected_counts(pieces: Pieces, log_weights: np.ndarray, chars: np.ndarray, out: np.ndarray) -> None:
