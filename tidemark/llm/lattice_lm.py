@@ -17,7 +17,8 @@ and a text's probability is the mixture over classes, each weighed by its share
 tokens; the class of the scored text itself is never read, nor that of any held-out row. In each class
 the masses of all words, of the end symbol and of all pieces sum to one: what discounting takes from
 the words is what the pieces share. A class beyond the `max_classes` - 1 with most training rows shares
-one component with the others; its rows all count.
+one component with the others and with rows of no class; its rows all count, and without such rows
+there is no such component.
 
 Edge cases: null text counts as empty; an empty text has the end token only; without training rows
 the base model has N = 0 and V = 0 and the model spells every token. Words may be of any length. Rows
@@ -229,10 +230,11 @@ def score_texts(docs: DataFrame, held_out: Column, model_path: str, *, id_col: s
     names = [None]
     if class_col:
         top = docs.filter(~F.coalesce(held_out, F.lit(False))).groupBy(class_col).count().orderBy(F.desc("count"), class_col).limit(max_classes).collect()
-        names = [r[0] for r in top if r[0] is not None][: max_classes - 1] + [None]
+        named = [r[0] for r in top if r[0] is not None][: max_classes - 1]
+        names = named if named and len(named) == len(top) else [*named, None]  # the last takes rows of no other class, if there are any
     cls = F.lit(len(names) - 1)
-    for k, name in enumerate(names[:-1]):
-        cls = F.when(F.col(class_col) == name, k).otherwise(cls)
+    for k, name in enumerate(names):
+        cls = cls if name is None else F.when(F.col(class_col) == name, k).otherwise(cls)
     sums = [f"n{k}" for k in range(len(names))]
     base = docs.select(
         F.col(id_col).cast("long").alias(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"), held_out.alias("held_out"),
