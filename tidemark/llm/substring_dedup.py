@@ -189,7 +189,7 @@ def _payloads(length: int):
     return run
 
 
-def _sort_shard(length: int, memory: int, part: int = 3 << 19):
+def _sort_shard(length: int, memory: int, part: int = 3 << 17):
     """A shard's distinct blocks to the runs of their repeated strings."""
     span = pa.struct([("a", pa.int64()), ("b", pa.int64())])
 
@@ -201,7 +201,7 @@ def _sort_shard(length: int, memory: int, part: int = 3 << 19):
             return
         order, at = sorted(found), 0
         while at < len(order):
-            # Strings of different anchors never meet, so anchors are sorted a few megabytes at a time.
+            # Strings of different anchors never meet, so anchors are sorted some 400 kB at a time, whole ones always.
             size, to = 0, at
             while to < len(order) and (size < part or order[to][0] == order[to - 1][0]):
                 size += len(found[order[to]])
