@@ -137,27 +137,38 @@ def shares(n: np.ndarray, total: int, terms: int) -> np.ndarray:
 
 
 def _compare(top: int):
-    """Chunks with their language's groups to partial distances ('pair') and the chunk's best terms ('term')."""
+    """Chunks with their language's groups to distances ('pair') and best terms ('term'), summed over a task's chunks of a language."""
+
+    def flush(lang, groups, far, best):
+        out = [(s, "pair", o.encode(), int(far[i, j])) for i, (s, _) in enumerate(groups) for j, (o, _) in enumerate(groups) if i != j]
+        out += [(s, "term", t, -v) for (s, _), own in zip(groups, best, strict=True) for v, t in sorted(own)[:top]]
+        cols = list(zip(*out, strict=True)) or [()] * 4
+        return pa.RecordBatch.from_arrays([pa.array([lang] * len(out), pa.string()), pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.int64())], names=["lang", "source", "part", "item", "value"])
 
     def run(batches):
+        lang, groups, far, best = None, [], None, []
         for b in batches:
             for c in b.to_pylist():
+                if c["lang"] != lang:
+                    if lang is not None:
+                        yield flush(lang, groups, far, best)
+                    lang, groups = c["lang"], sorted(((g["source"], g["uses"]) for g in c["groups"]), key=lambda g: g[0].encode())
+                    far, best = np.zeros((len(groups), len(groups)), np.int64), [[] for _ in groups]
                 v, total = len(c["terms"]), c["total_terms"]
-                groups = sorted(((g["source"], g["uses"]) for g in c["groups"]), key=lambda g: g[0].encode())
                 there = dict(zip(c["sources"], np.array(c["vectors"], np.int64).reshape(-1, v), strict=True))
                 none = np.zeros(v, np.int64)
                 n = np.stack([there.get(s, none) for s, _ in groups])
                 p = np.stack([shares(row, uses, total) for row, (_, uses) in zip(n, groups, strict=True)])
                 q = shares(n.sum(0), sum(uses for _, uses in groups), total)
-                out = []
-                for k, (s, _) in enumerate(groups):
-                    far = np.abs(p[k + 1 :] - p[k]).sum(1)
-                    out += [(a, "pair", x.encode(), int(f)) for (o, _), f in zip(groups[k + 1 :], far, strict=True) for a, x in ((s, o), (o, s))]
+                for k in range(len(groups)):
+                    gap = np.abs(p[k + 1 :] - p[k]).sum(1)
+                    far[k, k + 1 :] += gap
+                    far[k + 1 :, k] += gap
                     over = np.flatnonzero((n[k] > 0) & (p[k] > q))
-                    best = over[np.lexsort((over, -(p[k] - q)[over]))[:top]]
-                    out += [(s, "term", c["terms"][i], int(p[k][i] - q[i])) for i in best]
-                cols = list(zip(*out, strict=True)) or [()] * 4
-                yield pa.RecordBatch.from_arrays([pa.array([c["lang"]] * len(out), pa.string()), pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.int64())], names=["lang", "source", "part", "item", "value"])
+                    over = over[np.lexsort((over, -(p[k] - q)[over]))[:top]]
+                    best[k] = sorted(best[k] + [(-int(p[k][i] - q[i]), c["terms"][i]) for i in over])[:top]
+        if lang is not None:
+            yield flush(lang, groups, far, best)
 
     return run
 
