@@ -137,7 +137,8 @@ def shares(n: np.ndarray, total: int, terms: int) -> np.ndarray:
 
 
 def _compare(top: int):
-    """Chunks with their language's groups to distances ('pair') and best terms ('term'), summed over a task's chunks of a language."""
+    """Chunks with their language's groups to distances ('pair') and best terms ('term'), summed over a task's chunks of each language."""
+    most_cells = 1 << 22
 
     def flush(lang, groups, far, best):
         out = [(s, "pair", o.encode(), int(far[i, j])) for i, (s, _) in enumerate(groups) for j, (o, _) in enumerate(groups) if i != j]
@@ -146,14 +147,16 @@ def _compare(top: int):
         return pa.RecordBatch.from_arrays([pa.array([lang] * len(out), pa.string()), pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.int64())], names=["lang", "source", "part", "item", "value"])
 
     def run(batches):
-        lang, groups, far, best = None, [], None, []
+        held = {}
         for b in batches:
             for c in b.to_pylist():
-                if c["lang"] != lang:
-                    if lang is not None:
-                        yield flush(lang, groups, far, best)
-                    lang, groups = c["lang"], sorted(((g["source"], g["uses"]) for g in c["groups"]), key=lambda g: g[0].encode())
-                    far, best = np.zeros((len(groups), len(groups)), np.int64), [[] for _ in groups]
+                if c["lang"] not in held:
+                    if sum(far.size for _, far, _ in held.values()) > most_cells:
+                        yield from (flush(lang, *found) for lang, found in held.items())
+                        held.clear()
+                    groups = sorted(((g["source"], g["uses"]) for g in c["groups"]), key=lambda g: g[0].encode())
+                    held[c["lang"]] = groups, np.zeros((len(groups), len(groups)), np.int64), [[] for _ in groups]
+                groups, far, best = held[c["lang"]]
                 v, total = len(c["terms"]), c["total_terms"]
                 there = dict(zip(c["sources"], np.array(c["vectors"], np.int64).reshape(-1, v), strict=True))
                 none = np.zeros(v, np.int64)
@@ -167,8 +170,7 @@ def _compare(top: int):
                     over = np.flatnonzero((n[k] > 0) & (p[k] > q))
                     over = over[np.lexsort((over, -(p[k] - q)[over]))[:top]]
                     best[k] = sorted(best[k] + [(-int(p[k][i] - q[i]), c["terms"][i]) for i in over])[:top]
-        if lang is not None:
-            yield flush(lang, groups, far, best)
+        yield from (flush(lang, *found) for lang, found in held.items())
 
     return run
 
