@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import average_rank, pearson, zscore
@@ -33,21 +33,48 @@ def wide(edges: DataFrame, m: int) -> DataFrame:
 
 def from_wide(df: DataFrame, m: int) -> DataFrame:
     """The edges of a wide table, diagonal zero."""
-    long = df.unpivot(["dataset_id", "spi", "i"], [f"`proc-{j}`" for j in range(m)], "name", "value")
-    j = F.regexp_extract("name", "([0-9]+)$", 1).cast("int")
-    return long.select("dataset_id", "spi", "i", j.alias("j"), F.when(F.col("i") == j, 0.0).otherwise(F.col("value")).alias("value"))
+    cells = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.col(f"`proc-{j}`").alias("value")) for j in range(m)]))
+    long = df.select("dataset_id", "spi", "i", cells.alias("c")).select("dataset_id", "spi", "i", "c.j", "c.value")
+    return long.withColumn("value", F.when(F.col("i") == F.col("j"), 0.0).otherwise(F.col("value")))
 
 
-def from_vector(v: DataFrame, directed: bool) -> DataFrame:
-    """(dataset_id, spi, m, k, value), row-major without the diagonal (upper triangle only if undirected), to edges."""
-    if directed:
-        i = F.floor(F.col("k") / (F.col("m") - 1)).cast("int")
-        r = (F.col("k") % (F.col("m") - 1)).cast("int")
-        return v.select("dataset_id", "spi", i.alias("i"), (r + (r >= i).cast("int")).alias("j"), "value")
-    m, k = F.col("m").cast("double"), F.col("k")
-    i = F.floor((2 * m - 1 - F.sqrt((2 * m - 1) * (2 * m - 1) - 8 * k)) / 2).cast("int")
-    up = v.withColumn("i", i).withColumn("j", (k - F.col("i") * F.col("m") + F.col("i") * (F.col("i") + 1) / 2 + F.col("i") + 1).cast("int"))
-    return mirrored(up.select("dataset_id", "spi", "i", "j", "value"))
+def to_vectors(edges: DataFrame, sizes: DataFrame, shape: str) -> DataFrame:
+    """(dataset_id, spi, k, value): matrices laid out row by row, as 'directed' (no diagonal), 'upper' (triangle) or 'square'."""
+    if shape == "upper":
+        return upper(edges, sizes).select("dataset_id", "spi", "k", "value")
+    if shape == "square":
+        return full(edges, sizes).select("dataset_id", "spi", "k", "value")
+    i, j = F.col("i"), F.col("j")
+    k = i * (F.col("m") - 1) + j - (j > i).cast("int")
+    return edges.filter("i <> j").join(sizes, "dataset_id").select("dataset_id", "spi", k.cast("int").alias("k"), "value")
+
+
+def rebuild(values: DataFrame, sizes: DataFrame, symmetric: list[str] | None = None) -> DataFrame:
+    """Edges of matrices laid out as vectors(dataset_id, spi, k, value); how, is told by how many values there are.
+
+    Of m processes: m (m - 1) values are all off the diagonal, half as many the upper triangle, m * m the whole matrix,
+    which keeps its diagonal. `symmetric` statistics: the mean of both directions, and a triangle counts both ways;
+    without that its lower half is zero. Any other number of values is an error.
+    """
+    m, k, n = F.col("m").cast("long"), F.col("k").cast("long"), F.count(F.lit(1)).over(Window.partitionBy("dataset_id", "spi"))
+    shape = F.when(n == m * (m - 1), "directed").when(2 * n == m * (m - 1), "upper").when(n == m * m, "square")
+    wrong = F.raise_error(F.concat(F.lit("no matrix can be made of "), "spi", F.lit(" of "), "dataset_id", F.lit(": values "), n.cast("string")))
+    at = values.join(sizes, "dataset_id").withColumn("shape", F.coalesce(shape, wrong.cast("string"))).withColumns({"m": m, "k": k})
+    row, rest = F.floor(k / (m - 1)), k % (m - 1)
+    # The row of the triangle's k-th value: the root of a quadratic, put right where rounding has missed it.
+    root = F.floor((2 * m - 1 - F.sqrt(F.greatest(((2 * m - 1) * (2 * m - 1) - 8 * k).cast("double"), F.lit(0.0)))) / 2)
+    start = lambda i: i * m - i * (i + 1) / 2
+    up = F.when(start(root + 1) <= k, root + 1).when(start(root) > k, root - 1).otherwise(root)
+    i = F.when(F.col("shape") == "directed", row).when(F.col("shape") == "upper", up).otherwise(F.floor(k / m))
+    at = at.withColumn("i", i.cast("int"))
+    j = F.when(F.col("shape") == "directed", rest + (rest >= F.col("i")).cast("int")).when(F.col("shape") == "upper", k - start(F.col("i")) + F.col("i") + 1).otherwise(k % m)
+    at = at.withColumn("j", j.cast("int"))
+    both = F.col("spi").isin(symmetric or [])
+    one = F.struct("i", "j", "value")
+    back = F.struct(F.col("j").alias("i"), F.col("i").alias("j"), F.when(both, F.col("value")).otherwise(0.0).alias("value"))
+    cells = at.select("dataset_id", "spi", "shape", F.explode(F.when(F.col("shape") == "upper", F.array(one, back)).otherwise(F.array(one))).alias("c")).select("dataset_id", "spi", "shape", "c.*")
+    mean = F.avg("value").over(Window.partitionBy("dataset_id", "spi", F.least("i", "j"), F.greatest("i", "j")))
+    return cells.withColumn("value", F.when(both & (F.col("shape") == "directed"), mean).otherwise(F.col("value"))).drop("shape")
 
 
 def upper(edges: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -98,39 +125,48 @@ def mixed_features(edges: DataFrame, sizes: DataFrame, directed: list[str]) -> D
 def ks_between(features: DataFrame, classes: list[str], alternative: str = "two-sided") -> DataFrame:
     """Two-sample Kolmogorov-Smirnov statistic of each feature between each two classes, in the order given.
 
-    features(mts_class, feature, value) to (class_a, class_b, feature, ks, n_a, n_b).
+    features(mts_class, feature, value) to (class_a, class_b, feature, ks, n_a, n_b). A feature's values are counted
+    by class and cumulated once, in one shuffle; every two classes compare these counts.
     """
-    pos = {c: k for k, c in enumerate(classes)}
-    pairs = [(a, b) for a in classes for b in classes if pos[a] < pos[b]]
-    of = F.array(*[F.struct(F.lit(a).alias("class_a"), F.lit(b).alias("class_b")) for a, b in pairs])
-    mine = features.filter(F.col("mts_class").isin(classes)).select("mts_class", "feature", "value", F.explode(F.filter(of, lambda p: (p["class_a"] == F.col("mts_class")) | (p["class_b"] == F.col("mts_class")))).alias("p")).select("feature", "value", "p.*", (F.col("p.class_a") == F.col("mts_class")).alias("in_a"))
-    keys = ["class_a", "class_b", "feature"]
-    run = Window.partitionBy(*keys).orderBy("value").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy(*keys)
-    a, b = F.col("in_a").cast("int"), (~F.col("in_a")).cast("int")
-    fa, fb = F.try_divide(F.sum(a).over(run), F.sum(a).over(whole)), F.try_divide(F.sum(b).over(run), F.sum(b).over(whole))
-    gap = {"two-sided": F.abs(fa - fb), "greater": fa - fb, "less": fb - fa}[alternative]
-    return mine.select(*keys, "in_a", gap.alias("gap")).groupBy(*keys).agg(F.max("gap").alias("ks"), F.count_if("in_a").alias("n_a"), F.count_if(~F.col("in_a")).alias("n_b"))
+    pairs = [(a, b) for a in range(len(classes)) for b in range(a + 1, len(classes))]
+    by = features.filter(F.col("mts_class").isin(classes)).select("mts_class", "feature", "value").repartition("feature")
+    counts = by.groupBy("feature", "value").agg(*[F.count_if(F.col("mts_class") == c).alias(f"n{k}") for k, c in enumerate(classes)])
+    run, whole = Window.partitionBy("feature").orderBy("value"), Window.partitionBy("feature")
+    cdf = counts.select("feature", *[F.try_divide(F.sum(f"n{k}").over(run), F.sum(f"n{k}").over(whole)).alias(f"f{k}") for k in range(len(classes))], *[f"n{k}" for k in range(len(classes))])
+
+    def gap(a: int, b: int) -> Column:
+        d = F.col(f"f{a}") - F.col(f"f{b}")
+        return F.max({"two-sided": F.abs(d), "greater": d, "less": -d}[alternative]).alias(f"k{a}_{b}")
+
+    found = cdf.groupBy("feature").agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in range(len(classes))], *[gap(a, b) for a, b in pairs])
+    one = [F.struct(F.lit(classes[a]).alias("class_a"), F.lit(classes[b]).alias("class_b"), F.col(f"k{a}_{b}").alias("ks"), F.col(f"n{a}").alias("n_a"), F.col(f"n{b}").alias("n_b")) for a, b in pairs]
+    return found.select("feature", F.explode(F.array(*one)).alias("p")).select("p.class_a", "p.class_b", "feature", "p.ks", "p.n_a", "p.n_b").filter("n_a + n_b > 0")
 
 
 def ks_kde(features: DataFrame, classes: list[str], bandwidth: float, points: int = 512) -> DataFrame:
-    """The same between smoothed distributions: Gaussian kernels (factor times the class's standard deviation) on a grid, cumulated and scaled to 1.
+    """ks_sweep at one bandwidth."""
+    return ks_sweep(features, classes, [bandwidth], points).drop("bandwidth")
+
+
+def ks_sweep(features: DataFrame, classes: list[str], bandwidths: list[float], points: int = 512) -> DataFrame:
+    """The same between smoothed distributions: Gaussian kernels (bandwidth times the class's standard deviation) on a grid, cumulated and scaled to 1.
 
-    Where a class is constant or alone the plain statistic stands in.
+    A row a bandwidth, for every two classes and each feature. Where a class is constant or alone the plain statistic stands in.
     """
     pos = {c: k for k, c in enumerate(classes)}
     sums = features.filter(F.col("mts_class").isin(classes)).groupBy("feature", "mts_class").agg(F.collect_list("value").alias("v"), F.stddev_samp("value").alias("sd"))
     a = sums.select("feature", F.col("mts_class").alias("class_a"), F.col("v").alias("va"), F.col("sd").alias("sa"))
     b = sums.select("feature", F.col("mts_class").alias("class_b"), F.col("v").alias("vb"), F.col("sd").alias("sb"))
     order = lambda c: F.element_at(F.create_map(*[F.lit(x) for kv in pos.items() for x in kv]), F.col(c))
-    both = a.join(b, "feature").filter(order("class_a") < order("class_b"))
+    widths = F.explode(F.array(*[F.lit(float(w)) for w in bandwidths]))
+    both = a.join(b, "feature").filter(order("class_a") < order("class_b")).withColumn("bandwidth", widths)
     lo, hi = F.least(F.array_min("va"), F.array_min("vb")), F.greatest(F.array_max("va"), F.array_max("vb"))
     grid = both.filter((F.col("sa") > 1e-12) & (F.col("sb") > 1e-12)).withColumn("g", F.explode(F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda k: lo + (hi - lo) * k / (points - 1))))
-    kernel = lambda v, sd: F.aggregate(v, F.lit(0.0), lambda acc, x: acc + F.exp(-0.5 * F.pow((F.col("g") - x) / (F.lit(bandwidth) * F.col(sd)), 2)))
-    keys = ["class_a", "class_b", "feature"]
+    kernel = lambda v, sd: F.aggregate(v, F.lit(0.0), lambda acc, x: acc + F.exp(-0.5 * F.pow((F.col("g") - x) / (F.col("bandwidth") * F.col(sd)), 2)))
+    keys = ["class_a", "class_b", "feature", "bandwidth"]
     d = grid.select(*keys, "g", kernel("va", "sa").alias("da"), kernel("vb", "sb").alias("db"))
     run, whole = Window.partitionBy(*keys).orderBy("g").rowsBetween(Window.unboundedPreceding, Window.currentRow), Window.partitionBy(*keys)
     gap = F.abs(F.try_divide(F.sum("da").over(run), F.sum("da").over(whole)) - F.try_divide(F.sum("db").over(run), F.sum("db").over(whole)))
     smooth = d.select(*keys, gap.alias("gap")).groupBy(*keys).agg(F.max("gap").alias("smooth"))
-    plain = ks_between(features, classes)
+    plain = ks_between(features, classes).withColumn("bandwidth", widths)
     return plain.join(smooth, keys, "left").select(*keys, F.coalesce("smooth", "ks").alias("ks"), "n_a", "n_b")

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .kernels import KERNELS, evaluate
+from .moments import zscores
+from .planned import planned
 
 
 def catalogue(spark: SparkSession) -> DataFrame:
@@ -28,9 +30,12 @@ def names_of(profile: str | list[str]) -> list[str]:
 def compute(mts: DataFrame, profile: str | list[str], normalise: bool = False) -> DataFrame:
     """edges(dataset_id, spi, i, j, value): all i <> j of directed statistics, i < j of others.
 
-    A dataset is one group: its series are needed together, and its spectra and distances are shared.
+    Statistics with a DataFrame plan take that. For the others a dataset is one group: its series are needed together.
     """
     names = names_of(profile)
+    done, names = planned(zscores(mts) if normalise else mts, names)
+    if not names:
+        return done
 
     def run(t: pa.Table) -> pa.Table:
         ident = t["dataset_id"][0].as_py()
@@ -49,7 +54,8 @@ def compute(mts: DataFrame, profile: str | list[str], normalise: bool = False) -
         s, i, j, v = (np.concatenate(c) for c in zip(*out, strict=True)) if out else ([], [], [], [])
         return pa.table({"dataset_id": pa.array([ident] * len(s), pa.string()), "spi": pa.array(list(s), pa.string()), "i": pa.array(i, pa.int32()), "j": pa.array(j, pa.int32()), "value": pa.array(v, pa.float64())})
 
-    return mts.select("dataset_id", "t", "proc", "x").groupBy("dataset_id").applyInArrow(run, "dataset_id string, spi string, i int, j int, value double")
+    rest = mts.select("dataset_id", "t", "proc", "x").groupBy("dataset_id").applyInArrow(run, "dataset_id string, spi string, i int, j int, value double")
+    return rest if done is None else done.unionByName(rest)
 
 
 def sizes(mts: DataFrame) -> DataFrame:

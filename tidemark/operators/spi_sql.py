@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import average_rank, pearson
+from . import fourier
 
 _PAIR = ("dataset_id", "i", "j")
 
@@ -43,15 +44,6 @@ def spearman(mts: DataFrame, squared: bool = False) -> DataFrame:
     return _edges(pairs(ranked, value="r"), "spearman_sq" if squared else "spearman", r * r if squared else r)
 
 
-def kendall(mts: DataFrame, squared: bool = False) -> DataFrame:
-    """Tau-b. The pairs of times of a channel are signed once; two channels then meet on them."""
-    a, b = (mts.select("dataset_id", "proc", F.col("t").alias(t), F.col("x").alias(x)) for t, x in (("t1", "x1"), ("t2", "x2")))
-    signs = a.join(b, ["dataset_id", "proc"]).filter("t1 < t2").select("dataset_id", "proc", F.struct("t1", "t2").alias("t"), F.signum(F.col("x1") - F.col("x2")).alias("s"))
-    p = pairs(signs, value="s")
-    tau = F.coalesce(F.try_divide(F.sum(F.col("x") * F.col("y")), F.sqrt(F.sum(F.abs("x")) * F.sum(F.abs("y")))), F.lit(0.0))
-    return _edges(p, "kendall_sq" if squared else "kendall", tau * tau if squared else tau)
-
-
 DISTANCES = {
     "euclidean": lambda x, y: F.sqrt(F.sum((x - y) * (x - y))),
     "cityblock": lambda x, y: F.sum(F.abs(x - y)),
@@ -78,11 +70,14 @@ def _z(mts: DataFrame) -> DataFrame:
     return mts.select("dataset_id", "t", "proc", z.alias("x"), F.count(F.lit(1)).over(w).alias("n"))
 
 
-def cross_correlation(mts: DataFrame, statistic: str = "max", squared: bool = False, max_lag: int = 5, sig_only: bool = False) -> DataFrame:
-    """Statistic over lags of the correlation of z-scores, each lag normalised by the whole length.
+def cross_correlation(mts: DataFrame, statistic: str = "max", squared: bool = False, max_lag: int | None = None, sig_only: bool = False) -> DataFrame:
+    """Statistic over lags of the correlation of z-scores, each lag normalised by the whole length: over all lags, or up to max_lag.
 
-    sig_only keeps lags beyond 1.96 / sqrt(n); a pair without any falls back to all lags.
+    sig_only keeps lags beyond 1.96 / sqrt(n); a pair without any falls back to all lags. A few lags of long series are
+    a join of shifted rows; all lags are sums over the arrays of a pair.
     """
+    if max_lag is None:
+        return fourier.cross_correlation(mts, statistic, squared, None, sig_only)
     z = _z(mts)
     a = z.select("dataset_id", F.col("proc").alias("i"), F.col("x"), "n", "t", F.explode(F.sequence(F.lit(-max_lag), F.lit(max_lag))).alias("lag"))
     b = z.select("dataset_id", F.col("proc").alias("j"), F.col("x").alias("y"), F.col("t").alias("t2"))

@@ -14,7 +14,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import spi, spi_sql
+from ..operators import dominance, spi, spi_sql
 from ..operators.kernels import KERNELS
 
 Config = Mapping[str, Any]
@@ -143,7 +143,7 @@ def _closed(cls: str, c: Config) -> tuple[str, Plan] | None:
     if cls == "SpearmanR":
         return f"spearmanr{'-sq' * sq}", partial(spi_sql.spearman, squared=sq)
     if cls == "KendallTau":
-        return f"kendalltau{'-sq' * sq}", partial(spi_sql.kendall, squared=sq)
+        return f"kendalltau{'-sq' * sq}", partial(dominance.kendall, squared=sq)
     if cls == "CrossCorrelation":
         stat, sig = c.get("statistic", "max"), c.get("sigonly", True)
         return f"xcorr{'-sq' * sq}_{stat}_sig-{sig}", partial(spi_sql.cross_correlation, statistic=stat, squared=sq, sig_only=sig)

@@ -10,57 +10,14 @@ from pyspark.sql import functions as F
 from .functions import names as study_names
 from .functions import stats
 from .functions.stats import digits
+from .operators import dominance, learn, spi, spi_sql, views
 from .operators import edges as E
-from .operators import learn, spi, spi_sql, views
 from .plans import grid
+from .registry import EMB, EVENTS, ORACLES, PAIRS, QUERIES, R, emb, ev, pair_sql, query, rounded
 from .sources import files, generators, series
 from .sources.series import table
 from .streaming import windows
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def put(f: Query) -> Query:
-        QUERIES[name] = f
-        if sql:
-            ORACLES[name] = sql
-        return f
-
-    return put
-
-
-def emb(spark: SparkSession, d: str) -> DataFrame:
-    return series.from_embeddings(table(spark, d, "embeddings"))
-
-
-def ev(spark: SparkSession, d: str) -> DataFrame:
-    return series.from_events(table(spark, d, "events"))
-
-
-def rounded(df: DataFrame, *cols: str) -> DataFrame:
-    return df.withColumns({c: digits(F.col(c)) for c in cols})
-
-
-EMB = """
-r0 AS (SELECT label, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS k, count(*) OVER (PARTITION BY label) AS n FROM embeddings),
-r1 AS (SELECT CAST(label AS VARCHAR) AS mts_class, CAST(k // 8 AS INTEGER) AS instance, CAST(k % 8 AS INTEGER) AS proc, embedding FROM r0 WHERE (k // 8 + 1) * 8 <= n),
-mts AS (SELECT mts_class || '_' || instance AS dataset_id, mts_class, instance, CAST(unnest(range(0, len(embedding))) AS INTEGER) AS t, proc, CAST(unnest(embedding) AS DOUBLE) AS x FROM r1)"""
-EVENTS = """
-c0 AS (SELECT CAST(floor((epoch(ts) - epoch(TIMESTAMP '2024-01-01')) / 3600) AS INTEGER) AS t, event_type, sum(value) AS x FROM events GROUP BY ALL),
-ty AS (SELECT event_type, CAST(row_number() OVER (ORDER BY event_type) - 1 AS INTEGER) AS proc FROM (SELECT DISTINCT event_type FROM events)),
-ax AS (SELECT CAST(unnest(range((SELECT min(t) FROM c0), (SELECT max(t) + 1 FROM c0))) AS INTEGER) AS t),
-mts AS (SELECT 'events' AS dataset_id, 'events' AS mts_class, 0 AS instance, ax.t, ty.proc, coalesce(c0.x, 0.0) AS x FROM ax CROSS JOIN ty LEFT JOIN c0 ON c0.t = ax.t AND c0.event_type = ty.event_type)"""
-PAIRS = "pr AS (SELECT a.dataset_id, a.t, a.proc AS i, b.proc AS j, a.x, b.x AS y FROM mts a JOIN mts b ON a.dataset_id = b.dataset_id AND a.t = b.t AND a.proc < b.proc)"
-R = "round({}, 6) + 0.0"
-
-
-def pair_sql(value: str, name: str, base: str = EMB, more: str = "", of: str = "pr") -> str:
-    return f"WITH {base}, {PAIRS}{more} SELECT dataset_id, '{name}' AS spi, i, j, {R.format(value)} AS value FROM {of} GROUP BY dataset_id, i, j"
-
-
 # ---- sources -------------------------------------------------------------------
 
 query("mts_from_embeddings", f"WITH {EMB} SELECT * FROM mts")(emb)
@@ -104,12 +61,12 @@ RANKED = EMB.replace("mts AS (", "m0 AS (") + ", mts AS (SELECT dataset_id, t, p
 spi_query("spi_spearman", pair_sql(NR.format(""), "spearman", RANKED), spi_sql.spearman)
 spi_query("spi_spearman_sq", pair_sql(f"({NR.format('')}) ** 2", "spearman_sq", RANKED), lambda m: spi_sql.spearman(m, True))
 KEND = ", kp AS (SELECT a.dataset_id, a.i, a.j, sign(a.x - b.x) AS sx, sign(a.y - b.y) AS sy FROM pr a JOIN pr b ON a.dataset_id = b.dataset_id AND a.i = b.i AND a.j = b.j AND a.t < b.t)"
-spi_query("spi_kendall", pair_sql("coalesce(sum(sx * sy) / nullif(sqrt(sum(abs(sx)) * sum(abs(sy))), 0), 0)", "kendall", more=KEND, of="kp"), spi_sql.kendall)
+spi_query("spi_kendall", pair_sql("coalesce(sum(sx * sy) / nullif(sqrt(sum(abs(sx)) * sum(abs(sy))), 0), 0)", "kendall", more=KEND, of="kp"), dominance.kendall)
 ZS = EMB.replace("mts AS (", "m0 AS (") + ", mts AS (SELECT dataset_id, t, proc, coalesce((x - avg(x) OVER w) / nullif(stddev_pop(x) OVER w, 0), 0) AS x, count(*) OVER w AS n FROM m0 WINDOW w AS (PARTITION BY dataset_id, proc))"
-XC = f"WITH {ZS}, lg AS (SELECT a.dataset_id, a.proc AS i, b.proc AS j, b.t - a.t AS lag, sum(a.x * b.x) / any_value(a.n) AS c FROM mts a JOIN mts b ON a.dataset_id = b.dataset_id AND a.proc < b.proc AND b.t - a.t BETWEEN -5 AND 5 GROUP BY ALL)"
+XC = f"WITH {ZS}, lg AS (SELECT a.dataset_id, a.proc AS i, b.proc AS j, b.t - a.t AS lag, sum(a.x * b.x) / any_value(a.n) AS c, any_value(a.n) AS n FROM mts a JOIN mts b ON a.dataset_id = b.dataset_id AND a.proc < b.proc GROUP BY ALL)"
 spi_query("spi_xcorr_max", f"{XC} SELECT dataset_id, 'xcorr_max' AS spi, i, j, {R.format('max(c)')} AS value FROM lg GROUP BY dataset_id, i, j", spi_sql.cross_correlation)
 spi_query("spi_xcorr_mean", f"{XC} SELECT dataset_id, 'xcorr_mean' AS spi, i, j, {R.format('avg(c)')} AS value FROM lg GROUP BY dataset_id, i, j", lambda m: spi_sql.cross_correlation(m, "mean"))
-spi_query("spi_xcorr_sigonly", f"{XC} SELECT dataset_id, 'xcorr_mean' AS spi, i, j, {R.format('coalesce(avg(c) FILTER (abs(c) > 1.96 / sqrt(64)), avg(c))')} AS value FROM lg GROUP BY dataset_id, i, j", lambda m: spi_sql.cross_correlation(m, "mean", sig_only=True))
+spi_query("spi_xcorr_sigonly", f"{XC} SELECT dataset_id, 'xcorr_mean' AS spi, i, j, {R.format('coalesce(avg(c) FILTER (abs(c) > 1.96 / sqrt(n)), avg(c))')} AS value FROM lg GROUP BY dataset_id, i, j", lambda m: spi_sql.cross_correlation(m, "mean", sig_only=True))
 DIST = {
     "euclidean": "sqrt(sum((x - y) * (x - y)))", "cityblock": "sum(abs(x - y))", "cosine": "1 - coalesce(sum(x * y) / nullif(sqrt(sum(x * x)) * sqrt(sum(y * y)), 0), 0)", "chebyshev": "max(abs(x - y))",
     "canberra": "sum(coalesce(abs(x - y) / nullif(abs(x) + abs(y), 0), 0))", "braycurtis": "coalesce(sum(abs(x - y)) / nullif(sum(abs(x + y)), 0), 0)",
@@ -213,7 +170,6 @@ def every_class(s: SparkSession, d: str, ks: Callable[[DataFrame, list[str]], Da
     return ks(f, [r[0] for r in f.select("mts_class").distinct().orderBy("mts_class").collect()])  # class names only
 
 
-query("ks_sweep", f"{CL} SELECT class_a, class_b, feature, {R.format('max(abs(fa - fb))')} AS ks, count(*) FILTER (in_a) AS n_a, count(*) FILTER (NOT in_a) AS n_b FROM cdf GROUP BY class_a, class_b, feature")(lambda s, d: rounded(every_class(s, d, E.ks_between), "ks"))
 KDE = f"""{CL},
 st AS (SELECT feature, mts_class, stddev_samp(value) AS sd, min(value) AS lo, max(value) AS hi, count(*) AS n FROM cl GROUP BY ALL),
 tw AS (SELECT a.feature, a.mts_class AS class_a, b.mts_class AS class_b, a.sd AS sa, b.sd AS sb, least(a.lo, b.lo) AS lo, greatest(a.hi, b.hi) AS hi, a.n AS n_a, b.n AS n_b FROM st a JOIN st b ON a.feature = b.feature AND a.mts_class < b.mts_class),
@@ -223,6 +179,10 @@ FROM gr JOIN cl ON cl.feature = gr.feature AND mts_class IN (class_a, class_b) G
 cu AS (SELECT class_a, class_b, feature, abs(sum(da) OVER r / sum(da) OVER w - sum(db) OVER r / sum(db) OVER w) AS gap FROM de WINDOW r AS (PARTITION BY class_a, class_b, feature ORDER BY k ROWS UNBOUNDED PRECEDING), w AS (PARTITION BY class_a, class_b, feature)),
 sm AS (SELECT class_a, class_b, feature, max(gap) AS ks FROM cu GROUP BY ALL), pl AS (SELECT class_a, class_b, feature, max(abs(fa - fb)) AS ks FROM cdf GROUP BY ALL)
 SELECT class_a, class_b, feature, {R.format("coalesce(sm.ks, pl.ks)")} AS ks, n_a, n_b FROM tw JOIN pl USING (class_a, class_b, feature) LEFT JOIN sm USING (class_a, class_b, feature)"""
+WIDTHS = [0.1, 0.2, 0.5]
+SWEEP = KDE.replace("FROM gr JOIN cl ON", ", bw FROM (SELECT *, unnest([0.1, 0.2, 0.5]) AS bw FROM gr) gr JOIN cl ON").replace("0.5 * sa", "bw * sa").replace("0.5 * sb", "bw * sb").replace("SELECT class_a, class_b, feature, abs(", "SELECT class_a, class_b, feature, bw, abs(").replace("PARTITION BY class_a, class_b, feature ORDER BY k ROWS", "PARTITION BY class_a, class_b, feature, bw ORDER BY k ROWS").replace("w AS (PARTITION BY class_a, class_b, feature)),\nsm AS (SELECT class_a, class_b, feature, max(gap)", "w AS (PARTITION BY class_a, class_b, feature, bw)),\nsm AS (SELECT class_a, class_b, feature, bw, max(gap)")
+SWEEP = SWEEP[: SWEEP.rindex("SELECT class_a")] + f"""SELECT class_a, class_b, feature, b.bw AS bandwidth, {R.format("coalesce(sm.ks, pl.ks)")} AS ks, n_a, n_b FROM (SELECT *, unnest([0.1, 0.2, 0.5]) AS bw FROM tw) b JOIN pl USING (class_a, class_b, feature) LEFT JOIN sm USING (class_a, class_b, feature, bw)"""
+query("ks_sweep", SWEEP)(lambda s, d: rounded(every_class(s, d, lambda f, classes: E.ks_sweep(f, classes, WIDTHS)), "ks"))
 query("ks_kde", KDE)(lambda s, d: rounded(every_class(s, d, lambda f, classes: E.ks_kde(f, classes, 0.5)), "ks"))
 query("class_densities", f"{CL.split(',' + chr(10) + 'pc AS')[0]} SELECT mts_class, feature, CAST(greatest(0, least(19, floor((value + 1.0) / 0.1))) AS INTEGER) AS bin, count(*) AS n FROM cl GROUP BY ALL")(lambda s, d: views.densities(classed(s, d)).drop("share"))
 SCATTER = f"""WITH {THREE}, xy AS (SELECT u.dataset_id, 'ij' AS way, u.i, u.j, u.value AS x, v.value AS y FROM ed u JOIN ed v ON u.dataset_id = v.dataset_id AND u.i = v.i AND u.j = v.j WHERE u.spi = 'cov' AND v.spi = 'lag1' AND u.i < u.j
@@ -283,3 +243,5 @@ query("union_specs", "SELECT s_nationkey AS k, 's' AS side FROM supplier UNION A
 query("distinct_sorted", "SELECT DISTINCT upper(p_brand) AS brand FROM part ORDER BY 1")(lambda s, d: table(s, d, "part").select(F.upper("p_brand").alias("brand")).distinct().orderBy("brand"))
 query("percentiles", "SELECT l_returnflag, quantile_cont(l_quantity, 0.001) AS lo, quantile_cont(l_quantity, 0.999) AS hi FROM lineitem GROUP BY 1")(lambda s, d: table(s, d, "lineitem").groupBy("l_returnflag").agg(F.percentile("l_quantity", 0.001).alias("lo"), F.percentile("l_quantity", 0.999).alias("hi")))
 query("events_tumbling", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")(lambda s, d: windows.tumbling(table(s, d, "events")).withColumn("total", F.round("total", 4)).withColumn("window_start", F.col("window_start").cast("timestamp_ntz")))
+
+from . import pair_queries  # noqa: E402, F401  registers its queries beside these
