@@ -59,6 +59,13 @@ def test_subsets_and_limits(spark, study):
     assert files.index_of(spark, str(base), subset=[every[0], "nothing"], silent=True).count() == 6
     assert files.index_of(spark, str(base), limit=2).count() == 2 and files.index_of(spark, str(base), limit=0).count() == 6
     assert files.index_of(spark, str(base), classes=["CML"]).count() == 3
+    last = base / "VAR_1" / "M4_T60_I2" / "spi_mpis.npz"
+    whole = last.read_bytes()
+    last.write_bytes(b"no archive")  # beyond the limit: it is never opened
+    assert files.samples(spark, str(base), limit=2)[1].select("dataset_id").distinct().count() == 2
+    with pytest.raises(Exception, match="npz|archive|pickle|zip"):
+        files.samples(spark, str(base))[1].collect()
+    last.write_bytes(whole)
     with pytest.raises(RuntimeError):
         files.samples(spark, str(base), classes=["none"])
     with pytest.raises(ValueError, match="several"):

@@ -174,3 +174,49 @@ def test_alignments(series, constraint):
     tail = f"_{constraint}" if constraint else ""
     for f, base in ((alignment.dynamic_time_warping, "dtw"), (alignment.soft_dynamic_time_warping, "softdtw"), (alignment.common_subsequence, "lcss")):
         same(z, f(mts, constraint), [base + tail])
+
+
+def test_matrices_are_rebuilt_from_any_layout(spark):
+    from tidemark.operators import edges as E
+
+    rng = np.random.default_rng(4)
+    sizes = spark.createDataFrame([(f"m{m}", m) for m in (2, 3, 5)], "dataset_id string, m int")
+    rows = [(f"m{m}", s, i, j, float(rng.integers(1, 99))) for m in (2, 3, 5) for s in ("a", "b") for i in range(m) for j in range(m)]
+    edges = spark.createDataFrame(rows, "dataset_id string, spi string, i int, j int, value double")
+    value = {r[:4]: r[4] for r in rows}
+    for shape in ("directed", "upper", "square"):
+        v = E.to_vectors(edges, sizes, shape)
+        got = {(r.dataset_id, r.spi, r.i, r.j): r.value for r in E.rebuild(v, sizes).collect()}
+        for (d, s, i, j), x in value.items():
+            want = None if i == j and shape != "square" else 0.0 if shape == "upper" and i > j else x
+            assert got.get((d, s, i, j)) == want, (shape, d, i, j)
+        sym = {(r.dataset_id, r.spi, r.i, r.j): r.value for r in E.rebuild(v, sizes, ["a"]).collect()}
+        for d, s, i, j in (k for k in value if k[2] < k[3]):
+            both = (value[d, s, i, j] + value[d, s, j, i]) / 2
+            want = got[d, s, i, j] if s == "b" or shape != "directed" else both
+            assert sym[d, s, i, j] == want and (s == "b" or shape == "square" or sym[d, s, j, i] == want)
+    with pytest.raises(Exception, match="no matrix"):
+        E.rebuild(E.to_vectors(edges, sizes, "square").filter("k > 0"), sizes).collect()
+
+
+def test_colour_ranges(spark):
+    from tidemark.operators.views import color_ranges
+
+    rows = [("d", s, 0, 1, v) for s, vs in {"spearman": (-0.2, 0.1), "spearman_sq_x": (0.0, 0.1), "cov_x": (-2.0, 1.0), "u": (0.5, 3.0), "s": (-1.0, 4.0), "plv_mean": (0.1, 0.9), "free": (-5.0, 2.0), "below": (-3.0, -1.0), "above": (1.0, 2.0), "gone": (math.nan, math.nan)}.items() for v in vs]
+    edges = spark.createDataFrame(rows, "dataset_id string, spi string, i int, j int, value double")
+    labels = spark.createDataFrame([("u", ["Unsigned"]), ("s", ["signed"])], "spi string, labels array<string>")
+    got = {r.spi: (r.vmin, r.vmax, r.center, r.scale) for r in color_ranges(edges, labels).collect()}
+    up = lambda b: (0.0, b, None, "sequential")
+    even = lambda b: (-b, b, 0.0, "diverging")
+    assert got == {"spearman": even(1.0), "spearman_sq_x": up(0.1), "cov_x": even(2.0), "u": up(3.0), "s": even(4.0), "plv_mean": up(0.9), "free": even(5.0), "below": (-3.0, 0.0, None, "sequential"), "above": up(2.0), "gone": (0.0, 0.0, None, "sequential")}
+
+
+def test_single_precision_makes_ties(spark):
+    from tidemark.operators import edges as E
+
+    near = [1.0, 1.0 + 1e-12, 2.0]
+    rows = [("d", s, i, j, v) for s, vs in (("a", near), ("b", [1.0, 0.5, 3.0])) for (i, j), v in zip(((0, 1), (0, 2), (1, 2)), vs, strict=True)]
+    edges = spark.createDataFrame(rows, "dataset_id string, spi string, i int, j int, value double")
+    sizes = spark.createDataFrame([("d", 3)], "dataset_id string, m int")
+    rho = lambda single: E.spi_features(E.edge_vectors(edges, sizes, [], single)).first().rho
+    assert rho(False) == pytest.approx(0.5) and rho(True) == pytest.approx(math.sqrt(3) / 2)

@@ -92,16 +92,18 @@ def full(edges: DataFrame, sizes: DataFrame) -> DataFrame:
     return edges.join(sizes, "dataset_id").withColumn("k", (F.col("i") * F.col("m") + F.col("j")).cast("int")).drop("m")
 
 
-def edge_vectors(edges: DataFrame, sizes: DataFrame, directed: list[str]) -> DataFrame:
+def edge_vectors(edges: DataFrame, sizes: DataFrame, directed: list[str], single: bool = False) -> DataFrame:
     """(dataset_id, spi, k, z): undirected statistics by their upper triangle; directed ones as spi__ij and spi__ji.
 
     The two triangles pair by ordinal. A constant vector, or one with a value that isn't finite, is all 0.
+    single: z in single precision, so that values closer than that become ties.
     """
     isdir = F.col("spi").isin(directed)
     up = upper(edges, sizes).withColumn("spi", F.when(isdir, F.concat("spi", F.lit("__ij"))).otherwise(F.col("spi")))
     low = lower(edges.filter(isdir)).withColumn("spi", F.concat("spi", F.lit("__ji")))
     v = up.unionByName(low).select("dataset_id", "spi", "k", F.coalesce("value", F.lit(float("nan"))).alias("value"))
-    return v.select("dataset_id", "spi", "k", zscore("value", "dataset_id", "spi").alias("z"))
+    z = zscore("value", "dataset_id", "spi")
+    return v.select("dataset_id", "spi", "k", (z.cast("float") if single else z).alias("z"))
 
 
 def spi_features(vectors: DataFrame) -> DataFrame:

@@ -198,3 +198,36 @@ def color_scale(name: Column, labels: Column, low: Column, high: Column) -> Colu
         .when((low < 0) & (high > 0), F.lit("diverging"))
         .otherwise(F.lit("sequential"))
     )
+
+
+# Parts of names by which plots know correlations and statistics that are never negative.
+CORRELATIONS = ("corr", "spearman", "kendall")
+NEVER_NEGATIVE = ("-sq", "sq_", "pdist", "dcorr", "hsic", "gwtau", "mi_", "mi-", "tlmi", "te_", "te-", "di_", "cce_", "ce_", "je_", "si_", "xcorr-sq", "dcorrx", "bary", "coh", "plv", "pli", "wpli", "dtf", "dcoh", "pdcoh", "gpdcoh", "sgc", "gd", "pec")
+
+
+def color_range(name: Column, labels: Column, low: Column, high: Column) -> Column:
+    """Struct of vmin, vmax, center, scale for a statistic's plot, from its name, its labels (array) and its range.
+
+    Correlations run from -1 to 1; covariances and what is labelled signed lie evenly about 0; what is labelled
+    unsigned, or known by its name never to be negative, starts at 0; others go by the signs that they have.
+    """
+    n, tags = F.lower(name), F.transform(F.coalesce(labels, F.array().cast("array<string>")), F.lower)
+    real = lambda c: F.when(c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")), 0.0).otherwise(c)
+    a, b = real(low), real(high)
+    has = lambda words: n.rlike("|".join(w.replace("-", "[-]") for w in words))
+    zero, none = F.lit(0.0), F.lit(None).cast("double")
+    scale = lambda lo, hi, middle, kind: F.struct(lo.alias("vmin"), hi.alias("vmax"), middle.alias("center"), F.lit(kind).alias("scale"))
+    widest = F.greatest(F.abs(a), F.abs(b))
+    even = lambda m: scale(-m, m, zero, "diverging")
+    upward = scale(zero, F.when(b > 0, b).otherwise(1.0), none, "sequential")
+    signed, unsigned = F.array_contains(tags, "signed"), F.array_contains(tags, "unsigned") | has(NEVER_NEGATIVE)
+    return (
+        F.when(has(CORRELATIONS) & ~n.contains("-sq") & ~n.contains("sq_"), even(F.lit(1.0)))
+        .when(n.startswith("cov") | n.startswith("prec"), even(F.greatest(widest, F.lit(1e-6))))
+        .when(unsigned & ~signed, upward)
+        .when(signed, even(widest))
+        .when(unsigned, upward)
+        .when((a < 0) & (b > 0), even(widest))
+        .when(b <= 0, scale(a, zero, none, "sequential"))
+        .otherwise(scale(zero, b, none, "sequential"))
+    )

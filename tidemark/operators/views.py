@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import average_rank, pearson, zscore
 from .edges import lower, upper
-from .learn import color_scale
+from .learn import color_range, color_scale
 
 
 def finite_only(df: DataFrame, *cols: str) -> DataFrame:
@@ -27,6 +27,13 @@ def heat_maps(edges: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     return out.withColumn("scale", color_scale(F.col("spi"), F.coalesce("labels", F.array().cast("array<string>")), F.col("low"), F.col("high"))).drop("labels")
 
 
+def color_ranges(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """(dataset_id, spi, vmin, vmax, center, scale) of each matrix; labels(spi, labels) of a profile, a row a statistic."""
+    real = F.when(~F.isnan("value") & (F.abs("value") < float("inf")), F.col("value"))
+    spans = edges.groupBy("dataset_id", "spi").agg(F.min(real).alias("low"), F.max(real).alias("high")).join(labels.select("spi", "labels"), "spi", "left")
+    return spans.select("dataset_id", "spi", color_range(F.col("spi"), F.col("labels"), F.col("low"), F.col("high")).alias("c")).select("dataset_id", "spi", "c.*")
+
+
 def scaled_series(mts: DataFrame, robust: bool = False) -> DataFrame:
     """z-scores with bounds -2 and 2; or, for heavy tails, values about the median by the interquartile range, with symmetric bounds from the 0.1 and 99.9 percentiles."""
     if not robust:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 
 from .operators import edges as E
-from .operators import fourier, spi
+from .operators import fourier, spi, views
 from .operators.moments import zscores
 from .registry import EMB, PAIRS, R, emb, ev, query, rounded
 from .registry import EVENTS as EVENT_SERIES
@@ -207,7 +207,7 @@ statistics("spi_soft_dtw", ["softdtw_sakoe_chiba"], alignment_sql({"softdtw_sako
 
 # ---- matrices and vectors --------------------------------------------------------------
 
-from .queries import THREE, three  # noqa: E402  the statistics that the edge queries share
+from .queries import FEAT, THREE, three  # noqa: E402  the statistics that the edge queries share
 
 DIAGONAL = "SELECT DISTINCT dataset_id, spi, i, i AS j, 0.0 AS value FROM ed"
 CELLS = f"SELECT dataset_id, spi, i, j, {R.format('value')} AS value"
@@ -225,3 +225,16 @@ def laid_out(s, d) -> tuple[DataFrame, DataFrame]:
 query("matrix_from_vectors", f"WITH {THREE} {CELLS} FROM (SELECT dataset_id, spi, i, j, CASE WHEN spi = 'cov' AND i > j THEN 0 ELSE value END AS value FROM ed UNION ALL {DIAGONAL} WHERE spi = 'pdist_euclidean')")(lambda s, d: rounded(E.rebuild(*laid_out(s, d)), "value"))
 SYM = "SELECT dataset_id, spi, i, j, avg(value) OVER (PARTITION BY dataset_id, spi, least(i, j), greatest(i, j)) AS value FROM ed"
 query("matrix_symmetric", f"WITH {THREE} {CELLS} FROM ({SYM} UNION ALL {DIAGONAL} WHERE spi = 'pdist_euclidean')")(lambda s, d: rounded(E.rebuild(*laid_out(s, d), ["cov", "lag1", "pdist_euclidean"]), "value"))
+
+# ---- features in single precision, plot data ---------------------------------------------
+
+SINGLE = FEAT.replace("ELSE (value - avg(value) OVER w) / stddev_pop(value) OVER w END AS z", "ELSE CAST((value - avg(value) OVER w) / stddev_pop(value) OVER w AS FLOAT) END AS z")
+query("feat_spi_spi_single", f"WITH {SINGLE} SELECT dataset_id, spi_a, spi_b, {R.format('rho')} AS rho FROM ft")(lambda s, d: rounded(E.spi_features(E.edge_vectors(*three(s, d), ["lag1"], single=True)), "rho"))
+LABELS = [("cov", ["undirected", "signed"]), ("pdist_euclidean", ["undirected", "unsigned"]), ("lag1", ["directed", "signed"])]
+COLORS = f"""WITH {THREE}, sp AS (SELECT dataset_id, spi, min(value) AS a, max(value) AS b FROM ed GROUP BY ALL)
+SELECT dataset_id, spi, {R.format("CASE spi WHEN 'pdist_euclidean' THEN 0 ELSE -greatest(abs(a), abs(b)) END")} AS vmin, {R.format("CASE spi WHEN 'pdist_euclidean' THEN b ELSE greatest(abs(a), abs(b)) END")} AS vmax,
+  CASE spi WHEN 'pdist_euclidean' THEN NULL ELSE 0.0::DOUBLE END AS center, CASE spi WHEN 'pdist_euclidean' THEN 'sequential' ELSE 'diverging' END AS scale FROM sp"""
+query("color_ranges", COLORS)(lambda s, d: rounded(views.color_ranges(three(s, d)[0], s.createDataFrame(LABELS, "spi string, labels array<string>")), "vmin", "vmax"))
+ROBUST = f"""WITH {EVENT_SERIES}, q AS (SELECT proc, quantile_cont(x, [0.25, 0.5, 0.75]) AS q FROM mts GROUP BY proc), z AS (SELECT t, mts.proc, coalesce((x - q[2]) / nullif(q[3] - q[1], 0), 0) AS x FROM mts JOIN q ON q.proc = mts.proc)
+SELECT t, proc, {R.format('x')} AS x, {R.format('(SELECT greatest(abs(quantile_cont(x, 0.001)), abs(quantile_cont(x, 0.999))) FROM z)')} AS bound FROM z"""
+query("mts_scaled_view", ROBUST)(lambda s, d: rounded(views.scaled_series(ev(s, d), robust=True).select("t", "proc", "x", "bound"), "x", "bound"))

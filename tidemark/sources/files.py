@@ -133,12 +133,17 @@ def samples(spark: SparkSession, base: str, **options) -> tuple[DataFrame, DataF
     if len(kinds) > 1:
         raise ValueError("datasets differ in the order or the directions of their statistics")
     wanted = index.select("path", F.col("label").alias("mts_class"), F.concat_ws("_", "class_dir", "dataset_slug").alias("dataset_id"), F.posexplode("spis").alias("pos", "s")).select("path", "mts_class", "dataset_id", "pos", F.col("s.name").alias("spi"), F.col("s.directed").alias("directed"))
-    return index, read_matrices(spark, base).join(wanted, ["path", "spi"]).select("dataset_id", "mts_class", "spi", "directed", "pos", "i", "j", "value")
+    # With a limit the archives of the few datasets picked are all that is opened.
+    picked = [r["path"] for r in index.select("path").collect()] if options.get("limit") else None
+    return index, read_matrices(spark, base, paths=picked).join(wanted, ["path", "spi"]).select("dataset_id", "mts_class", "spi", "directed", "pos", "i", "j", "value")
 
 
-def read_matrices(spark: SparkSession, base: str, square: str = "raise") -> DataFrame:
-    """(path, spi, i, j, value) of all archives; a matrix that isn't square is an error, or with square='skip' left out."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.npz").load(base).select("path", "content")
+def read_matrices(spark: SparkSession, base: str, square: str = "raise", paths: list[str] | None = None) -> DataFrame:
+    """(path, spi, i, j, value) of all archives; a matrix that isn't square is an error, or with square='skip' left out.
+
+    paths: folders under base; only their archives are listed and read.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.npz").load(base if paths is None else paths).select("path", "content")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
