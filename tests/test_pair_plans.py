@@ -220,3 +220,21 @@ def test_single_precision_makes_ties(spark):
     sizes = spark.createDataFrame([("d", 3)], "dataset_id string, m int")
     rho = lambda single: E.spi_features(E.edge_vectors(edges, sizes, [], single)).first().rho
     assert rho(False) == pytest.approx(0.5) and rho(True) == pytest.approx(math.sqrt(3) / 2)
+
+
+def test_principal_axes_without_wide_rows(spark):
+    from tidemark.operators import learn
+
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((40, 30)) @ rng.standard_normal((30, 30)) + 3 * rng.standard_normal((40, 1)) * np.linspace(1, 2, 30)
+    x[:, 7] = 2.0  # constant
+    rows = [(f"d{i}", "c", f"f{j:02}", float(x[i, j])) for i in range(40) for j in range(30)]
+    scores, shares = learn.pca(spark.createDataFrame(rows, "dataset_id string, mts_class string, feature string, value double"), 2)
+    z = (x - x.mean(0)) / np.where(x.std(0) < 1e-12, 1, x.std(0))
+    values, axes = np.linalg.eigh(z.T @ z)
+    assert shares == pytest.approx((values[::-1][:2] / values.sum()).tolist(), rel=1e-8)
+    got = {r.dataset_id: (r.pc1, r.pc2) for r in scores.collect()}
+    for c in range(2):
+        a = axes[:, -1 - c] * np.sign(axes[np.abs(axes[:, -1 - c]).argmax(), -1 - c])
+        assert np.allclose([got[f"d{i}"][c] for i in range(40)], z @ a, atol=1e-4)
+    assert learn.pca(spark.createDataFrame(rows[:0], "dataset_id string, mts_class string, feature string, value double"))[1] == []

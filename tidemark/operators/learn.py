@@ -21,18 +21,59 @@ def vectors(features: DataFrame) -> tuple[DataFrame, list[str]]:
     return VectorAssembler(inputCols=[f"f{k}" for k in range(len(names))], outputCol="x").transform(wide).select("dataset_id", "mts_class", "x"), names
 
 
+def standardised(features: DataFrame) -> DataFrame:
+    """(dataset_id, mts_class, feature, z) of long features; a dataset without a feature has its mean, 0, and no row."""
+    return features.select("dataset_id", "mts_class", "feature", zscore("value", "feature").alias("z"))
+
+
+def principal_axes(z: DataFrame, k: int, extra: int = 8, rounds: int = 60, tolerance: float = 1e-12):
+    """(feature names, loadings (features, k), shares of variance) of standardised long rows, by subspace iteration.
+
+    No wide row and no feature-by-feature table is made: a round sends each row's share of its dataset's scores
+    through a window over the dataset, and sums the rows by feature. Only loadings (features times k + extra numbers)
+    come to the driver; they are broadcast while they are few, and joined otherwise.
+    """
+    import numpy as np
+
+    spark = z.sparkSession
+    names = [r["feature"] for r in z.select("feature").distinct().orderBy("feature").collect()]  # a catalogue's pairs
+    if not names:
+        return [], np.zeros((0, 0)), []
+    total = z.agg(F.sum(F.col("z") * F.col("z"))).first()[0] or 0.0
+    width = min(len(names), k + extra)
+    rows = z.repartition("dataset_id").persist()
+    w = np.linalg.qr(np.random.default_rng(0).standard_normal((len(names), width)))[0]
+    at, values = {n: i for i, n in enumerate(names)}, np.zeros(width)
+    for _ in range(rounds):
+        load = spark.createDataFrame([(n, *map(float, w[i])) for n, i in at.items()], "feature string, " + ", ".join(f"w{c} double" for c in range(width)))
+        load = F.broadcast(load) if len(names) * width <= 1_000_000 else load
+        by = Window.partitionBy("dataset_id")
+        moved = rows.join(load, "feature").select("feature", "z", *[F.sum(F.col("z") * F.col(f"w{c}")).over(by).alias(f"t{c}") for c in range(width)])
+        got = moved.groupBy("feature").agg(*[F.sum(F.col("z") * F.col(f"t{c}")).alias(f"v{c}") for c in range(width)]).collect()
+        v = np.zeros_like(w)
+        for r in got:
+            v[at[r["feature"]]] = [r[f"v{c}"] for c in range(width)]
+        new, turn = np.linalg.eigh((w.T @ v + v.T @ w) / 2)
+        new, turn = new[::-1], turn[:, ::-1]
+        done = np.abs(new[:k] - values[:k]).max() <= tolerance * max(new[0], 1e-300)
+        values, best = new, w @ turn
+        if done or width == len(names):
+            break
+        w = np.linalg.qr(v @ turn)[0]
+    rows.unpersist()
+    best = best[:, :k] * np.sign(best[np.abs(best[:, :k]).argmax(0), np.arange(min(k, width))])
+    return names, best, [float(e / total) if total else 0.0 for e in values[:k]]
+
+
 def pca(features: DataFrame, k: int = 2) -> tuple[DataFrame, list[float]]:
     """Scores (dataset_id, mts_class, pc1..), signs fixed by the largest loading, and the explained shares of variance."""
-    import numpy as np
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import vector_to_array
-
-    x, _ = vectors(features)
-    model = PCA(k=k, inputCol="x", outputCol="s").fit(x)
-    loads = model.pc.toArray()
-    signs = [math.copysign(1, loads[np.abs(loads[:, c]).argmax(), c]) for c in range(k)]
-    s = vector_to_array("s")
-    return model.transform(x).select("dataset_id", "mts_class", *[(s[c] * signs[c]).alias(f"pc{c + 1}") for c in range(k)]), list(model.explainedVariance.toArray())
+    z = standardised(features)
+    names, loads, shares = principal_axes(z, k)
+    k = loads.shape[1]
+    load = z.sparkSession.createDataFrame([(n, *map(float, row)) for n, row in zip(names, loads, strict=True)], "feature string" + "".join(f", w{c} double" for c in range(k)))
+    load = F.broadcast(load) if len(names) * k <= 1_000_000 else load
+    scores = z.join(load, "feature").groupBy("dataset_id", "mts_class").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col("z") * F.col(f"w{c}")).alias(f"pc{c + 1}") for c in range(k)])
+    return scores.drop("n"), shares
 
 
 def estimator(kind: str, classes: int):

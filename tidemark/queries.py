@@ -191,7 +191,18 @@ rk AS (SELECT *, rank() OVER (PARTITION BY dataset_id, way ORDER BY x) + (count(
 SELECT dataset_id, way, count(*) AS n, {R.format("coalesce(covar_pop(rx, ry) / nullif(stddev_pop(rx) * stddev_pop(ry), 0), 0)")} AS rho FROM rk GROUP BY dataset_id, way"""
 query("two_spi_scatter", SCATTER)(lambda s, d: rounded(views.scatter(*three(s, d), "cov", "lag1", ["lag1"]).groupBy("dataset_id", "way").agg(F.count("*").alias("n"), F.max("rho").alias("rho")), "rho"))
 query("heat_map_ranges", f"WITH {THREE} SELECT dataset_id, spi, {R.format('min(value)')} AS low, {R.format('max(value)')} AS high, CASE WHEN spi LIKE 'cov%' THEN 'diverging' WHEN spi LIKE '%dist%' THEN 'sequential' WHEN min(value) < 0 AND max(value) > 0 THEN 'diverging' ELSE 'sequential' END AS scale FROM ed GROUP BY dataset_id, spi")(lambda s, d: rounded(views.heat_maps(three(s, d)[0]).select("dataset_id", "spi", "low", "high", "scale").distinct(), "low", "high"))
-query("pca_scores")(lambda s, d: learn.pca(classed(s, d))[0])
+AXES = f"""{CL.replace("WITH ", "WITH RECURSIVE ", 1)},
+zz AS (SELECT dataset_id, split_part(dataset_id, '_', 1) AS mts_class, spi_a || '|' || spi_b AS feature, round(rho, 4) + 0.0 AS v FROM ft),
+zs AS (SELECT dataset_id, mts_class, feature, CASE WHEN stddev_pop(v) OVER w < 1e-12 THEN 0 ELSE (v - avg(v) OVER w) / stddev_pop(v) OVER w END AS z FROM zz WINDOW w AS (PARTITION BY feature)),
+co AS (SELECT a.feature AS fa, b.feature AS fb, sum(a.z * b.z) AS c FROM zs a JOIN zs b USING (dataset_id) GROUP BY ALL),
+cr AS (SELECT fa, list(c ORDER BY fb) AS r FROM co GROUP BY fa), cm AS (SELECT list(r ORDER BY fa) AS m, list(fa ORDER BY fa) AS f FROM cr),
+p1 AS (SELECT 0 AS k, m, list_transform(range(len(f)), lambda i: 1.0::DOUBLE + 0.3 * i) AS v, 0.0::DOUBLE AS l FROM cm UNION ALL SELECT k + 1, m, list_transform(m, lambda r: list_dot_product(r, v) / sqrt(list_sum(list_transform(m, lambda q: list_dot_product(q, v) ** 2)))), sqrt(list_sum(list_transform(m, lambda q: list_dot_product(q, v) ** 2))) FROM p1 WHERE k < 3000),
+a1 AS (SELECT m, v, l FROM p1 WHERE k = 3000),
+p2 AS (SELECT 0 AS k, list_transform(range(len(v)), lambda i: list_transform(range(len(v)), lambda j: m[i + 1][j + 1] - l * v[i + 1] * v[j + 1])) AS m, list_transform(range(len(v)), lambda i: 1.0::DOUBLE + 0.3 * i) AS v, 0.0::DOUBLE AS l FROM a1 UNION ALL SELECT k + 1, m, list_transform(m, lambda r: list_dot_product(r, v) / sqrt(list_sum(list_transform(m, lambda q: list_dot_product(q, v) ** 2)))), sqrt(list_sum(list_transform(m, lambda q: list_dot_product(q, v) ** 2))) FROM p2 WHERE k < 3000),
+ax AS (SELECT 1 AS c, v, l FROM a1 UNION ALL SELECT 2, v, l FROM p2 WHERE k = 3000),
+lo AS (SELECT c, l, unnest(f) AS feature, unnest(list_transform(v, lambda e: e * sign(CASE WHEN list_max(v) >= -list_min(v) THEN 1 ELSE -1 END))) AS w FROM ax, cm)"""
+query("pca_scores", f"{AXES} SELECT dataset_id, mts_class, {R.format('sum(z * w) FILTER (c = 1)')} AS pc1, {R.format('sum(z * w) FILTER (c = 2)')} AS pc2 FROM zs JOIN lo USING (feature) GROUP BY dataset_id, mts_class")(lambda s, d: rounded(learn.pca(classed(s, d))[0], "pc1", "pc2"))
+query("pca_shares", f"{AXES} SELECT c AS component, {R.format('max(l) / (SELECT sum(z * z) FROM zs)')} AS share FROM lo GROUP BY c")(lambda s, d: rounded(s.createDataFrame(list(enumerate(learn.pca(classed(s, d))[1], 1)), "component int, share double"), "share"))
 query("tsne_scores")(lambda s, d: learn.embedding(classed(s, d)))
 query("feature_select_forward")(lambda s, d: s.createDataFrame([(k, *x) for k, x in enumerate(learn.forward_selection(classed(s, d)))], "step int, feature string, accuracy double"))
 
