@@ -15,9 +15,10 @@ There are about as many lists as the square root of the vectors (64 at least whe
 at most an eighth of the sample, which could not place more), and a query probes `probe_share` of them.
 
 Edge cases: vectors that are null, zero, of another length than the most frequent one (of equally
-frequent ones the longest), or hold null or non-finite components take no part; a query's own row is
-told by its id, so other rows with that id are no candidates either; with fewer than k
-candidates all are returned; ties go to the smaller id; without vectors the result is empty.
+frequent ones the longest), or hold null or non-finite components take no part; rows are told apart by place, so
+other rows with a query's id are candidates, and each row of a repeated query id has its own ranks; with fewer than
+k candidates all are returned; ties go to the smaller id; components of any size are safe, as vectors are scaled
+by powers of two before they are squared; without vectors the result is empty.
 """
 
 from __future__ import annotations
@@ -45,6 +46,11 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
+def balanced(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of two, so that squares neither overflow nor vanish; cosines stay the same to the last bit."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1]) if len(x) else x
+
+
 def rotation(dim: int, seed: int) -> np.ndarray:
     q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((dim, dim)))
     return q * np.sign(np.diag(r))
@@ -76,11 +82,11 @@ def nearest(x: np.ndarray, centroids: np.ndarray, n: int, step: int = 4096) -> n
 
 
 def cosine(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Exact cosines of one vector with the rows of x; equal rows give equal values."""
+    """Exact cosines of one balanced vector with the balanced rows of x; equal rows give equal values."""
     return (x * q).sum(1) / (math.sqrt((q * q).sum()) * np.sqrt((x * x).sum(1)))
 
 
-def scan(q: np.ndarray, qr: np.ndarray, q_id: int, ids: np.ndarray, x: np.ndarray, columns: list[np.ndarray], k: int, eps: float) -> list[tuple[int, float]]:
+def scan(q: np.ndarray, qr: np.ndarray, q_row: int, rows: np.ndarray, ids: np.ndarray, x: np.ndarray, columns: list[np.ndarray], k: int, eps: float) -> list[tuple[int, float]]:
     """The k best of a cell for one query. columns: the rotated unit vectors in column blocks; rows in order of id."""
     dim = len(qr)
     best_ids, best, threshold = np.zeros(0, np.int64), np.zeros(0), math.inf
@@ -99,7 +105,7 @@ def scan(q: np.ndarray, qr: np.ndarray, q_id: int, ids: np.ndarray, x: np.ndarra
                 alive, partial = alive[keep], partial[keep]
                 if not len(alive):
                     break
-        alive = alive[ids[alive] != q_id]
+        alive = alive[rows[alive] != q_row]
         if len(alive):
             score = np.concatenate([best, cosine(q, x[alive])])
             found = np.concatenate([best_ids, ids[alive]])
@@ -119,7 +125,7 @@ def search(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vec_
     prepare(vectors.sparkSession)
     v = F.col(vec_col).cast("array<double>")
     sane = F.col(id_col).isNotNull() & v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < math.inf)) & F.exists(v, lambda e: e != 0)
-    base = vectors.filter(sane).select(F.col(id_col).cast("long").alias("id"), v.alias("v"), is_query.alias("q"))
+    base = vectors.filter(sane).select(F.col(id_col).cast("long").alias("id"), v.alias("v"), is_query.alias("q"), F.monotonically_increasing_id().alias("row"))
     total = base.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).first()
     empty = "query_id long, rank int, vec_id long, score double"
     if total is None:
@@ -143,9 +149,9 @@ def search(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vec_
             who = np.concatenate([rows, np.repeat(rows[q], near.shape[1])])
             home = np.concatenate([near[:, 0], near[q].ravel()])
             kind = np.concatenate([np.zeros(len(x), bool), np.ones(len(home) - len(x), bool)])
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(who)), b.column(1).take(pa.array(who)), pa.array(home, pa.int64()), pa.array(kind)], names=["id", "v", "list", "q"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(who)), b.column(1).take(pa.array(who)), pa.array(home, pa.int64()), pa.array(kind), b.column(3).take(pa.array(who))], names=["id", "v", "list", "q", "row"])
 
-    placed = written(base.mapInArrow(lean("ann", assign), "id long, v array<double>, list long, q boolean"), "ann")
+    placed = written(base.mapInArrow(lean("ann", assign), "id long, v array<double>, list long, q boolean, row long"), "ann")
     sizes = {r["list"]: (r["n"], r["m"]) for r in placed.groupBy("list").agg(F.count(F.when(~F.col("q"), 1)).alias("n"), F.count(F.when(F.col("q"), 1)).alias("m")).collect()}  # at most `lists` rows
     cells = F.create_map(*[F.lit(x) for i, (a, _) in sizes.items() for x in (i, max(1, -(-a // cell)))])
     groups = F.create_map(*[F.lit(x) for i, (_, b) in sizes.items() for x in (i, max(1, -(-b // query_group)))])
@@ -154,20 +160,20 @@ def search(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vec_
     home = F.when(F.col("q"), F.transform(F.sequence(F.lit(0), n_cells - 1), lambda c: F.struct(c.alias("c"), F.pmod(F.xxhash64("id"), n_groups).cast("int").alias("g")))).otherwise(
         F.transform(F.sequence(F.lit(0), n_groups - 1), lambda g: F.struct(F.pmod(F.xxhash64("id"), n_cells).cast("int").alias("c"), g.alias("g")))
     )
-    dealt = placed.select("id", "v", "q", "list", F.explode(home).alias("at")).select("id", "v", "q", "list", "at.c", "at.g")
+    dealt = placed.select("id", "v", "q", "list", "row", F.explode(home).alias("at")).select("id", "v", "q", "list", "row", "at.c", "at.g")
 
     def within(t: pa.Table) -> pa.Table:
         q = np.array(t["q"].to_pylist(), bool)
-        ids, x = t["id"].to_numpy(), _matrix(t["v"])
-        order = np.lexsort((ids, q))
-        ids, x, q = ids[order], x[order], q[order]
+        ids, rows, x = t["id"].to_numpy(), t["row"].to_numpy(), balanced(_matrix(t["v"]))
+        order = np.lexsort((rows, ids, q))
+        ids, rows, x, q = ids[order], rows[order], x[order], q[order]
         n_rows = int((~q).sum())
         r = unit(x) @ turn if len(x) else x
         own = [np.ascontiguousarray(r[:n_rows, d : d + block]) for d in range(0, dim, block)]
-        out = [(int(ids[i]), j, s) for i in range(n_rows, len(ids)) for j, s in scan(x[i], r[i], ids[i], ids[:n_rows], x[:n_rows], own, k, eps)]
-        cols = list(zip(*out, strict=True)) or [(), (), ()]
-        return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
+        out = [(int(ids[i]), int(rows[i]), j, s) for i in range(n_rows, len(ids)) for j, s in scan(x[i], r[i], rows[i], rows[:n_rows], ids[:n_rows], x[:n_rows], own, k, eps)]
+        cols = list(zip(*out, strict=True)) or [(), (), (), ()]
+        return pa.table({"query_id": pa.array(cols[0], pa.int64()), "row": pa.array(cols[1], pa.int64()), "vec_id": pa.array(cols[2], pa.int64()), "score": pa.array(cols[3], pa.float64())})
 
-    found = dealt.groupBy("list", "c", "g").applyInArrow(lean_group("ann", within), "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = dealt.groupBy("list", "c", "g").applyInArrow(lean_group("ann", within), "query_id long, row long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "vec_id"))
     return found.select("query_id", rank.cast("int").alias("rank"), "vec_id", "score").filter(F.col("rank") <= k)
