@@ -61,6 +61,10 @@ def test_a_study_by_commands(spark, study, tmp_path):
     assert main(["features", "--base", out, "--output", str(tmp_path / "f.npz")], spark) == [path] and os.path.getmtime(path) == stamp
 
     (tmp_path / "two.txt").write_text("# kept\npdist_euclidean\ncov_EmpiricalCovariance\n")
+    raw = main(["features", "--base", out, "--output", str(tmp_path / "f.npz"), "--space", "spi"], spark)[0]
+    with np.load(raw) as z:
+        assert raw.endswith("f_spi.npz") and z["X"].shape[0] == len(z["mts_class"]) and abs(float(z["X"].mean())) < 1e-6
+        assert [k for s, k in z["pairs"] if s == z["pairs"][0][0]][:3] == ["000000", "000001", "000002"]
     short = main(["features", "--base", out, "--output", str(tmp_path / "f.npz"), "--spi-subset", str(tmp_path / "two.txt")], spark)[0]
     assert short.endswith("f_split_two.npz") and np.load(short)["X"].shape == (6, 1)
 

@@ -37,7 +37,7 @@ def parser() -> argparse.ArgumentParser:
     made = commands.add_parser("features", help="matrices of dataset folders to a feature file")
     add(made, "--base", required=True)
     add(made, "--output", required=True)
-    add(made, "--space", choices=["split", "mixed"], default="split", help="directed statistics as two triangles, or as whole matrices")
+    add(made, "--space", choices=["split", "mixed", "spi"], default="split", help="directed statistics as two triangles, or as whole matrices; or the edges themselves, without comparing statistics")
     add(made, "--mts-classes", help="folders, by commas; all without it")
     add(made, "--spi-subset", help="text file of statistics, one a line")
     add(made, "--skip-missing", action="store_true", help="leave out statistics that a dataset lacks")
@@ -105,11 +105,16 @@ def _run(spark: SparkSession, a: argparse.Namespace) -> list[str]:
 
 
 def features_of(edges: DataFrame, space: str) -> DataFrame:
-    """(dataset_id, mts_class, spi_a, spi_b, rho) of samples' edges."""
+    """(dataset_id, mts_class, spi_a, spi_b, rho) of samples' edges; in the space 'spi' spi_b is a place in spi_a's vector and rho its value."""
     sizes = edges.groupBy("dataset_id").agg((F.max("i") + 1).alias("m"))
     off = edges.filter("i <> j").select("dataset_id", "spi", "i", "j", "value")
     directed = [r["spi"] for r in edges.filter("directed").select("spi").distinct().collect()]  # of the catalogue
-    f = E.spi_features(E.edge_vectors(off, sizes, directed)) if space == "split" else E.mixed_features(off, sizes, directed)
+    if space == "spi":
+        if sizes.select("m").distinct().limit(2).count() > 1:
+            raise ValueError("datasets of different sizes have no edges in common")
+        f = E.raw_features(off, sizes, directed).select("dataset_id", F.col("spi").alias("spi_a"), F.format_string("%06d", "k").alias("spi_b"), F.col("z").cast("double").alias("rho"))
+    else:
+        f = E.spi_features(E.edge_vectors(off, sizes, directed)) if space == "split" else E.mixed_features(off, sizes, directed)
     return f.join(edges.select("dataset_id", "mts_class").distinct(), "dataset_id")
 
 

@@ -124,6 +124,18 @@ def mixed_features(edges: DataFrame, sizes: DataFrame, directed: list[str]) -> D
     return both.unionByName(spi_features(z(all_)).filter(isdir("spi_a") | isdir("spi_b")))
 
 
+def raw_features(edges: DataFrame, sizes: DataFrame, directed: list[str]) -> DataFrame:
+    """(dataset_id, spi, k, z): the edges themselves as features, standardised in single precision.
+
+    Undirected statistics give their upper triangle, directed ones the whole matrix row by row with its zero diagonal.
+    """
+    isdir = F.col("spi").isin(directed)
+    tri = upper(edges.filter(~isdir), sizes).select("dataset_id", "spi", "k", "value")
+    all_ = full(with_diagonal(edges.filter(isdir), sizes), sizes).select("dataset_id", "spi", "k", "value")
+    v = tri.unionByName(all_).withColumn("value", F.coalesce("value", F.lit(float("nan"))))
+    return v.select("dataset_id", "spi", "k", zscore("value", "dataset_id", "spi").cast("float").alias("z"))
+
+
 def ks_between(features: DataFrame, classes: list[str], alternative: str = "two-sided") -> DataFrame:
     """Two-sample Kolmogorov-Smirnov statistic of each feature between each two classes, in the order given.
 

@@ -80,9 +80,9 @@ def estimator(kind: str, classes: int):
     from pyspark.ml import classification as C
 
     if kind == "logistic":
-        return C.LogisticRegression(featuresCol="v", labelCol="y", maxIter=100)
+        return C.LogisticRegression(featuresCol="v", labelCol="y", maxIter=2000)
     if kind == "svc":
-        svc = C.LinearSVC(featuresCol="v", labelCol="y", maxIter=100)
+        svc = C.LinearSVC(featuresCol="v", labelCol="y", maxIter=5000)
         return svc if classes <= 2 else C.OneVsRest(classifier=svc, featuresCol="v", labelCol="y")
     raise ValueError(f"unknown estimator {kind}")
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from .functions.stats import digits
 from .operators import edges as E
 from .operators import fourier, spi, views
 from .operators.moments import zscores
@@ -238,3 +240,6 @@ query("color_ranges", COLORS)(lambda s, d: rounded(views.color_ranges(three(s, d
 ROBUST = f"""WITH {EVENT_SERIES}, q AS (SELECT proc, quantile_cont(x, [0.25, 0.5, 0.75]) AS q FROM mts GROUP BY proc), z AS (SELECT t, mts.proc, coalesce((x - q[2]) / nullif(q[3] - q[1], 0), 0) AS x FROM mts JOIN q ON q.proc = mts.proc)
 SELECT t, proc, {R.format('x')} AS x, {R.format('(SELECT greatest(abs(quantile_cont(x, 0.001)), abs(quantile_cont(x, 0.999))) FROM z)')} AS bound FROM z"""
 query("mts_scaled_view", ROBUST)(lambda s, d: rounded(views.scaled_series(ev(s, d), robust=True).select("t", "proc", "x", "bound"), "x", "bound"))
+RAW = f"""WITH {THREE}, rv AS (SELECT dataset_id, spi, CAST(i * 8 - i * (i + 1) / 2 + j - i - 1 AS INTEGER) AS k, value FROM ed WHERE spi <> 'lag1' AND i < j UNION ALL SELECT dataset_id, spi, i * 8 + j, value FROM ed WHERE spi = 'lag1' UNION ALL SELECT DISTINCT dataset_id, spi, i * 9, 0.0 FROM ed WHERE spi = 'lag1')
+SELECT dataset_id, spi, k, {R.format('CAST(CAST((value - avg(value) OVER w) / stddev_pop(value) OVER w AS FLOAT) AS DOUBLE)')} AS z FROM rv WINDOW w AS (PARTITION BY dataset_id, spi)"""
+query("feat_raw_whole", RAW)(lambda s, d: E.raw_features(*three(s, d), ["lag1"]).withColumn("z", digits(F.col("z").cast("double"))))
