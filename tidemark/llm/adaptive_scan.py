@@ -81,12 +81,16 @@ def nearest(x: np.ndarray, centroids: np.ndarray, n: int, step: int = 4096) -> n
     return out
 
 
-def cosine(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+def norms(x: np.ndarray) -> np.ndarray:
+    return np.sqrt((x * x).sum(1))
+
+
+def cosine(q: np.ndarray, x: np.ndarray, x_norms: np.ndarray) -> np.ndarray:
     """Exact cosines of one balanced vector with the balanced rows of x; equal rows give equal values."""
-    return (x * q).sum(1) / (math.sqrt((q * q).sum()) * np.sqrt((x * x).sum(1)))
+    return (x * q).sum(1) / (math.sqrt((q * q).sum()) * x_norms)
 
 
-def scan(q: np.ndarray, qr: np.ndarray, q_row: int, rows: np.ndarray, ids: np.ndarray, x: np.ndarray, columns: list[np.ndarray], k: int, eps: float) -> list[tuple[int, float]]:
+def scan(q: np.ndarray, qr: np.ndarray, q_row: int, rows: np.ndarray, ids: np.ndarray, x: np.ndarray, x_norms: np.ndarray, columns: list[np.ndarray], k: int, eps: float) -> list[tuple[int, float]]:
     """The k best of a cell for one query. columns: the rotated unit vectors in column blocks; rows in order of id."""
     dim = len(qr)
     best_ids, best, threshold = np.zeros(0, np.int64), np.zeros(0), math.inf
@@ -95,19 +99,19 @@ def scan(q: np.ndarray, qr: np.ndarray, q_row: int, rows: np.ndarray, ids: np.nd
         hi = min(len(ids), lo + (64 if lo == 0 else 1024))
         alive = np.arange(lo, hi)
         partial, d = np.zeros(hi - lo), 0
-        for block in columns:
+        for block in columns if threshold < math.inf else ():  # before there are k, none can be abandoned
             width = block.shape[1]
             gap = block[alive] - qr[d : d + width]
             partial = partial + (gap * gap).sum(1)
             d += width
-            if d < dim and threshold < math.inf:
+            if d < dim:
                 keep = partial * (dim / d) <= threshold * (1 + eps / math.sqrt(d)) ** 2 + 1e-12
                 alive, partial = alive[keep], partial[keep]
                 if not len(alive):
                     break
         alive = alive[rows[alive] != q_row]
         if len(alive):
-            score = np.concatenate([best, cosine(q, x[alive])])
+            score = np.concatenate([best, cosine(q, x[alive], x_norms[alive])])
             found = np.concatenate([best_ids, ids[alive]])
             order = np.lexsort((found, -score))[:k]
             best_ids, best = found[order], score[order]
@@ -169,8 +173,9 @@ def search(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vec_
         ids, rows, x, q = ids[order], rows[order], x[order], q[order]
         n_rows = int((~q).sum())
         r = unit(x) @ turn if len(x) else x
+        lengths = norms(x[:n_rows])
         own = [np.ascontiguousarray(r[:n_rows, d : d + block]) for d in range(0, dim, block)]
-        out = [(int(ids[i]), int(rows[i]), j, s) for i in range(n_rows, len(ids)) for j, s in scan(x[i], r[i], rows[i], rows[:n_rows], ids[:n_rows], x[:n_rows], own, k, eps)]
+        out = [(int(ids[i]), int(rows[i]), j, s) for i in range(n_rows, len(ids)) for j, s in scan(x[i], r[i], rows[i], rows[:n_rows], ids[:n_rows], x[:n_rows], lengths, own, k, eps)]
         cols = list(zip(*out, strict=True)) or [(), (), (), ()]
         return pa.table({"query_id": pa.array(cols[0], pa.int64()), "row": pa.array(cols[1], pa.int64()), "vec_id": pa.array(cols[2], pa.int64()), "score": pa.array(cols[3], pa.float64())})
 
