@@ -31,6 +31,7 @@ def compute(mts: DataFrame, profile: str | list[str], normalise: bool = False) -
     """edges(dataset_id, spi, i, j, value): all i <> j of directed statistics, i < j of others.
 
     Statistics with a DataFrame plan take that. For the others a dataset is one group: its series are needed together.
+    Groups are few bytes and much work, so they are dealt to all shuffle partitions and not to as few as their bytes fill.
     """
     names = names_of(profile)
     done, names = planned(zscores(mts) if normalise else mts, names)
@@ -54,7 +55,8 @@ def compute(mts: DataFrame, profile: str | list[str], normalise: bool = False) -
         s, i, j, v = (np.concatenate(c) for c in zip(*out, strict=True)) if out else ([], [], [], [])
         return pa.table({"dataset_id": pa.array([ident] * len(s), pa.string()), "spi": pa.array(list(s), pa.string()), "i": pa.array(i, pa.int32()), "j": pa.array(j, pa.int32()), "value": pa.array(v, pa.float64())})
 
-    rest = mts.select("dataset_id", "t", "proc", "x").groupBy("dataset_id").applyInArrow(run, "dataset_id string, spi string, i int, j int, value double")
+    parts = int(mts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rest = mts.select("dataset_id", "t", "proc", "x").repartition(parts, "dataset_id").groupBy("dataset_id").applyInArrow(run, "dataset_id string, spi string, i int, j int, value double")
     return rest if done is None else done.unionByName(rest)
 
 
