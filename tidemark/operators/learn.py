@@ -90,42 +90,72 @@ def estimator(kind: str, classes: int):
 def forest_accuracy(x, y, test_x, test_y, trees: int = 300, seed: int = 0) -> float:
     """Accuracy on the test rows of a random forest: bootstraps, Gini, square root of the features a split, leaves pure or inseparable.
 
-    Test rows go down with each tree as it grows; branches that none of them reaches are not grown.
+    A tree grows level by level, all nodes of a level in the same few array operations. Test rows go down with it;
+    branches that none of them reaches are not grown.
     """
     import numpy as np
 
-    rng, n, width = np.random.default_rng(seed), len(y), x.shape[1]
+    n, width = len(y), x.shape[1]
     classes = int(max(y.max(), test_y.max())) + 1
-    hot, votes = np.eye(classes)[y], np.zeros((len(test_y), classes))
-    tries = max(1, int(math.sqrt(width)))
-    for _ in range(trees):
-        todo = [(rng.integers(0, n, n), np.arange(len(test_y)))]
-        while todo:
-            rows, test = todo.pop()
-            if not len(test):
-                continue
-            count = np.bincount(y[rows], minlength=classes)
-            best, split = -1.0, None
-            if count.max() < len(rows):
-                for k, f in enumerate(rng.permutation(width)):
-                    if k >= tries and split:
-                        break
-                    v = x[rows, f]
-                    order = np.argsort(v, kind="stable")
-                    v = v[order]
-                    cut = np.flatnonzero(v[1:] > v[:-1])
-                    if not len(cut):
-                        continue
-                    left = np.cumsum(hot[rows[order]], 0)[cut]
-                    gain = (left**2).sum(1) / (cut + 1) + ((count - left) ** 2).sum(1) / (len(rows) - cut - 1)
-                    at = int(gain.argmax())
-                    if gain[at] > best:
-                        best, split = gain[at], (f, (v[cut[at]] + v[cut[at] + 1]) / 2)
-            if split is None:
-                votes[test] += count / len(rows)
-                continue
-            here, there = x[rows, split[0]] <= split[1], test_x[test, split[0]] <= split[1]
-            todo += [(rows[here], test[there]), (rows[~here], test[~there])]
+    votes, tries = np.zeros((len(test_y), classes)), max(1, int(math.sqrt(width)))
+    ranks = np.stack([np.unique(x[:, f], return_inverse=True)[1].ravel() for f in range(width)], 1)
+    distinct = int(ranks.max()) + 1
+    for tree in range(trees):
+        rng = np.random.default_rng([seed, tree])
+        weight = np.bincount(rng.integers(0, n, n), minlength=n)
+        rows, test = np.flatnonzero(weight), np.arange(len(test_y))
+        node, test_node = np.zeros(len(rows), int), np.zeros(len(test_y), int)
+        while len(test):
+            nodes = int(test_node.max()) + 1
+            count = np.bincount(node * classes + y[rows], weight[rows], nodes * classes).reshape(nodes, classes)
+            size = count.sum(1)
+            turn = rng.random((nodes, width)).argsort(1)
+            best, feature, cut = np.full(nodes, -1.0), np.full(nodes, -1), np.zeros(nodes)
+            mixed = count.max(1) < size
+            for k in range(width):
+                seek = mixed if k < tries else mixed & (feature < 0)
+                at = np.flatnonzero(seek[node])
+                if not len(at):
+                    break
+                f = turn[node[at], k]
+                key = node[at] * distinct + ranks[rows[at], f]
+                order = at[np.argsort(key)]
+                key = np.sort(key)
+                of, r, f = node[order], rows[order], turn[node[order], k]
+                hot = np.zeros((len(r), classes))
+                hot[np.arange(len(r)), y[r]] = weight[r]
+                left = hot.cumsum(0)
+                first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+                base = np.zeros((nodes, classes))
+                base[of[first]] = left[first] - hot[first]
+                ends = np.flatnonzero((of[1:] == of[:-1]) & (key[1:] != key[:-1]))
+                if not len(ends):
+                    continue
+                at_node = of[ends]
+                left = left[ends] - base[at_node]
+                right, total = count[at_node] - left, left.sum(1)
+                gain = (left * left).sum(1) / total + (right * right).sum(1) / (size[at_node] - total)
+                start = np.flatnonzero(np.r_[True, at_node[1:] != at_node[:-1]])
+                top = np.maximum.reduceat(gain, start)
+                here = at_node[start]
+                where = np.flatnonzero(gain == np.repeat(top, np.diff(np.r_[start, len(gain)])))
+                where = where[np.r_[True, at_node[where][1:] != at_node[where][:-1]]]
+                better = top > best[here]
+                here, e, top = here[better], ends[where[better]], top[better]
+                best[here], feature[here] = top, f[e]
+                cut[here] = (x[r[e], f[e]] + x[r[e + 1], f[e]]) / 2
+            done = feature[test_node] < 0
+            votes[test[done]] += (count / size[:, None])[test_node[done]]
+            test, test_node = test[~done], test_node[~done]
+            test_node = 2 * test_node + (test_x[test, feature[test_node]] > cut[test_node])
+            on = feature[node] >= 0
+            rows, node = rows[on], node[on]
+            node = 2 * node + (x[rows, feature[node]] > cut[node])
+            reached, test_node = np.unique(test_node, return_inverse=True)
+            number = np.full(2 * nodes, -1)
+            number[reached] = np.arange(len(reached))
+            node, test_node = number[node], test_node.ravel()
+            rows, node = rows[node >= 0], node[node >= 0]
     return float((votes.argmax(1) == test_y).mean())
 
 
@@ -190,41 +220,81 @@ def forward_selection(features: DataFrame, target: int = 12, splits: int = 5, ki
     return chosen
 
 
-def embedding(features: DataFrame, seed: int = 0, rounds: int = 300, perplexity: float = 10.0) -> DataFrame:
-    """Two-dimensional t-SNE of datasets, in one grouped call: datasets of a study, not rows of a corpus."""
-    import pandas as pd
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        w = pdf.pivot_table(index=["dataset_id", "mts_class"], columns="feature", values="value").fillna(0)
-        x = w.to_numpy()
-        x = (x - x.mean(0)) / np.where(x.std(0) < 1e-12, 1, x.std(0))
-        d = ((x[:, None] - x[None]) ** 2).sum(2)
-        n = len(x)
-        p = np.zeros((n, n))
-        for i in range(n):
-            lo, hi, b = 0.0, np.inf, 1.0
-            for _ in range(50):
-                q = np.exp(-d[i] * b)
-                q[i] = 0
-                q /= max(q.sum(), 1e-300)
-                h = -(q * np.log(np.maximum(q, 1e-300))).sum()
-                lo, hi = (b, hi) if h > np.log(min(perplexity, max((n - 1) / 3, 1.01))) else (lo, b)
-                b = b * 2 if hi == np.inf else (lo + hi) / 2
-            p[i] = q
-        p = np.maximum((p + p.T) / (2 * n), 1e-12)
-        rng = np.random.default_rng(seed)
-        y, v = rng.standard_normal((n, 2)) * 1e-2, np.zeros((n, 2))
-        for r in range(rounds):
-            k = 1 / (1 + ((y[:, None] - y[None]) ** 2).sum(2))
-            np.fill_diagonal(k, 0)
-            g = (p * (4 if r < 100 else 1) - k / k.sum()) * k
-            v = (0.5 if r < 100 else 0.8) * v - 50 * (g.sum(1)[:, None] * y - g @ y)
-            y = y + v
-        return pd.DataFrame({"dataset_id": [i[0] for i in w.index], "mts_class": [i[1] for i in w.index], "x": y[:, 0], "y": y[:, 1]})
-
-    return features.groupBy(F.lit("all").alias("study")).applyInPandas(run, "dataset_id string, mts_class string, x double, y double")
+def neighbourhoods(x, rows, perplexity: float, rounds: int = 50):
+    """(precision, sum of kernels) of the rows' Gaussian neighbourhoods of that perplexity among all of x."""
+    import numpy as np
+
+    n = len(x)
+    d = ((x[rows] ** 2).sum(1)[:, None] + (x**2).sum(1) - 2 * x[rows] @ x.T).clip(0)
+    own = np.arange(len(rows)), rows
+    goal = np.log(min(perplexity, max((n - 1) / 3, 1.01)))
+    lo, hi, b = np.zeros(len(rows)), np.full(len(rows), np.inf), np.ones(len(rows))
+    for _ in range(rounds):
+        q = np.exp(-d * b[:, None])
+        q[own] = 0
+        used, total = b, q.sum(1).clip(1e-300)
+        wide = np.log(total) + b * np.einsum("ij,ij->i", q, d) / total > goal
+        lo, hi = np.where(wide, b, lo), np.where(wide, hi, b)
+        b = np.where(np.isinf(hi), b * 2, (lo + np.where(np.isinf(hi), 0, hi)) / 2)
+    return used, total
+
+
+def forces(x, y, width, total, rows, columns: int = 4096):
+    """Of the rows, summed over all others: attraction (2 columns), repulsion before scaling (2), and kernels (1)."""
+    import numpy as np
+
+    n, out = len(x), np.zeros((len(rows), 5))
+    xr, yr = x[rows], y[rows]
+    for start in range(0, n, columns):
+        at = np.arange(start, min(start + columns, n))
+        xc, yc = x[at], y[at]
+        d = ((xr**2).sum(1)[:, None] + (xc**2).sum(1) - 2 * xr @ xc.T).clip(0)
+        p = np.exp(-d * width[rows][:, None]) / total[rows][:, None] + np.exp(-d * width[at]) / total[at]
+        p = np.maximum(p / (2 * n), 1e-12)
+        k = 1 / (1 + (yr[:, :1] - yc[:, 0]) ** 2 + (yr[:, 1:] - yc[:, 1]) ** 2)
+        k[rows[:, None] == at] = 0
+        p *= k
+        out[:, 4] += k.sum(1)
+        k *= k
+        out[:, :2] += p.sum(1)[:, None] * yr - p @ yc
+        out[:, 2:4] += k.sum(1)[:, None] * yr - k @ yc
+    return out
+
+
+def embedding(features: DataFrame, seed: int = 0, rounds: int = 300, perplexity: float = 10.0, block: int = 128) -> DataFrame:
+    """Two-dimensional t-SNE of datasets, exact: every round is a job in which a task takes blocks of rows against all others.
+
+    No table of all pairs is held: distances are taken again each round, in pieces of a block by 4,096. Each task has the
+    study's matrix (a row a dataset, a column a feature) and the places; the work is the square of the datasets.
+    """
+    import numpy as np
+
+    spark = features.sparkSession
+    means = features.groupBy("dataset_id", "mts_class", "feature").agg(F.avg("value").alias("value"))
+    names = [r[0] for r in means.select("feature").distinct().orderBy("feature").collect()]  # a catalogue's pairs
+    wide = means.groupBy("dataset_id", "mts_class").pivot("feature", names).agg(F.first("value")).toPandas().sort_values(["dataset_id", "mts_class"])
+    x = wide[names].fillna(0).to_numpy(float)
+    n = len(x)
+    if not n:
+        return spark.createDataFrame([], "dataset_id string, mts_class string, x double, y double")
+    x = (x - x.mean(0)) / np.where(x.std(0) < 1e-12, 1, x.std(0))
+    starts = range(0, n, block)
+    todo = spark.sparkContext.parallelize(starts, min(len(starts), 4 * spark.sparkContext.defaultParallelism))
+    held = spark.sparkContext.broadcast(x)
+    rows = lambda s: np.arange(s, min(s + block, n))
+    width, total = (np.concatenate(c) for c in zip(*todo.map(lambda s: neighbourhoods(held.value, rows(s), perplexity)).collect(), strict=True))
+    around = spark.sparkContext.broadcast((width, total))
+    y, v = np.random.default_rng(seed).standard_normal((n, 2)) * 1e-2, np.zeros((n, 2))
+    for r in range(rounds):
+        places = spark.sparkContext.broadcast(y)
+        f = np.concatenate(todo.map(lambda s, at=places: forces(held.value, at.value, *around.value, rows(s))).collect())
+        places.destroy()
+        v = (0.5 if r < 100 else 0.8) * v - 50 * ((4 if r < 100 else 1) * f[:, :2] - f[:, 2:4] / f[:, 4].sum().clip(1e-300))
+        y = y + v
+    held.destroy()
+    around.destroy()
+    found = wide[["dataset_id", "mts_class"]].assign(x=y[:, 0], y=y[:, 1])
+    return spark.createDataFrame(found, "dataset_id string, mts_class string, x double, y double")
 
 
 def color_scale(name: Column, labels: Column, low: Column, high: Column) -> Column:
