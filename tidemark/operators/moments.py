@@ -12,6 +12,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .meeting import together
+
 _PAIR = ("dataset_id", "i", "j")
 _LN2PIE = math.log(2 * math.pi * math.e)
 #: Added to each variance, so that what is told exactly has a finite entropy.
@@ -31,8 +33,8 @@ def lag_pairs(mts: DataFrame, lags: int, directed: bool = True) -> DataFrame:
     """(dataset_id, i, j, u, x0.., y0..): both channels now and up to `lags` steps ago (null before the start)."""
     w = Window.partitionBy("dataset_id", "proc").orderBy("u")
     v = zscores(mts).select("dataset_id", "t", "u", "proc", *[F.lag("x", k).over(w).alias(f"v{k}") for k in range(lags + 1)])
-    side = lambda p, c, *more: v.select("dataset_id", "t", F.col("proc").alias(p), *[F.col(f"v{k}").alias(f"{c}{k}") for k in range(lags + 1)], *more)
-    return side("i", "x", "u").join(side("j", "y"), ["dataset_id", "t"]).filter("i <> j" if directed else "i < j")
+    side = lambda c: {f"v{k}": f"{c}{k}" for k in range(lags + 1)}
+    return together(v, side("x") | {"u": "u"}, side("y"), directed)
 
 
 def moments(pairs: DataFrame, sets: dict[str, tuple[int, list[str]]]) -> DataFrame:

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .meeting import together
 from .moments import eliminated, residuals, zscores
 
 _PAIR = ("dataset_id", "i", "j")
@@ -20,8 +21,7 @@ def _edges(df: DataFrame, name: str, value: Column) -> DataFrame:
 
 def meet(channels: DataFrame, directed: bool = True, *more: str) -> DataFrame:
     """(dataset_id, t, i, j, x, y) of channels(dataset_id, t, proc, x); `more` columns come from i's side."""
-    a = channels.select("dataset_id", "t", F.col("proc").alias("i"), "x", *more)
-    return a.join(channels.select("dataset_id", "t", F.col("proc").alias("j"), F.col("x").alias("y")), ["dataset_id", "t"]).filter("i <> j" if directed else "i < j")
+    return together(channels, {c: c for c in ("x", *more)}, {"x": "y"}, directed)
 
 
 def scaled(mts: DataFrame) -> DataFrame:

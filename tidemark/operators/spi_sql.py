@@ -9,15 +9,14 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import average_rank, pearson
 from . import fourier
+from .meeting import together
 
 _PAIR = ("dataset_id", "i", "j")
 
 
 def pairs(mts: DataFrame, directed: bool = False, value: str = "x") -> DataFrame:
     """(dataset_id, t, i, j, x, y) for i < j, or all i <> j."""
-    a = mts.select("dataset_id", "t", F.col("proc").alias("i"), F.col(value).alias("x"))
-    b = mts.select("dataset_id", "t", F.col("proc").alias("j"), F.col(value).alias("y"))
-    return a.join(b, ["dataset_id", "t"]).filter("i <> j" if directed else "i < j")
+    return together(mts, {value: "x"}, {value: "y"}, directed)
 
 
 def _edges(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -120,10 +119,10 @@ def lagged(mts: DataFrame, lag: int = 1) -> DataFrame:
 
 def lagged_mutual_information(mts: DataFrame, lag: int = 1) -> DataFrame:
     """Directed: the past of i with the present of j."""
-    a = lagged(mts, lag).select("dataset_id", "t", F.col("proc").alias("i"), "x")
-    b = mts.select("dataset_id", "t", F.col("proc").alias("j"), F.col("x").alias("y"))
+    w = Window.partitionBy("dataset_id", "proc").orderBy("t")
+    both = together(mts.select("dataset_id", "t", "proc", "x", F.lag("x", lag).over(w).alias("past")), {"past": "x"}, {"x": "y"}, True)
     r = F.coalesce(pearson("x", "y"), F.lit(0.0))
-    return _edges(a.join(b, ["dataset_id", "t"]).filter("i <> j"), "tlmi_gaussian", -0.5 * F.ln(1 - r * r))
+    return _edges(both.filter("x is not null"), "tlmi_gaussian", -0.5 * F.ln(1 - r * r))
 
 
 def symbolic_transfer_entropy(mts: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from .functions import stats
 from .functions.stats import digits
 from .operators import dominance, learn, spi, spi_sql, views
 from .operators import edges as E
+from .operators.meeting import together
 from .plans import grid
 from .registry import EMB, EVENTS, ORACLES, PAIRS, QUERIES, R, emb, ev, pair_sql, query, rounded
 from .sources import files, generators, series
@@ -110,11 +111,15 @@ query("spi_catalogue")(lambda s, d: spi.catalogue(s))
 def three(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Covariance, Euclidean distance, and a directed lag-1 covariance."""
     m = emb(s, d)
-    w = Window.partitionBy("dataset_id", "proc").orderBy("t")
-    past = m.withColumn("x", F.lag("x").over(w)).filter("x is not null").select("dataset_id", "t", F.col("proc").alias("i"), "x")
-    lag = past.join(m.select("dataset_id", "t", F.col("proc").alias("j"), F.col("x").alias("y")), ["dataset_id", "t"]).filter("i <> j").groupBy("dataset_id", "i", "j").agg(F.covar_pop("x", "y").alias("value"))
-    both = E.mirrored(spi_sql.covariance(m).unionByName(spi_sql.distance(m, "euclidean")))
-    return both.unionByName(lag.select("dataset_id", F.lit("lag1").alias("spi"), "i", "j", "value")), spi.sizes(m)
+    past = F.lag("x").over(Window.partitionBy("dataset_id", "proc").orderBy("t")).alias("past")
+    met = together(m.select("dataset_id", "t", "proc", "x", past), {"x": "x", "past": "past"}, {"x": "y"}, True)
+    # A null past drops out of the lagged covariance; the other two are taken of i < j, once.
+    x, y, up = F.col("x"), F.col("y"), F.col("i") < F.col("j")
+    made = met.groupBy("dataset_id", "i", "j").agg(F.covar_pop("past", "y").alias("lag1"), F.covar_pop(F.when(up, x), F.when(up, y)).alias("cov"), F.sqrt(F.sum(F.when(up, (x - y) * (x - y)))).alias("pdist_euclidean"))
+    cell = lambda n, i, j: F.struct(F.lit(n).alias("spi"), F.col(i).alias("i"), F.col(j).alias("j"), F.col(n).alias("value"))
+    both = [cell(n, *way) for n in ("cov", "pdist_euclidean") for way in (("i", "j"), ("j", "i"))]
+    cells = F.explode(F.when(up, F.array(*both, cell("lag1", "i", "j"))).otherwise(F.array(cell("lag1", "i", "j"))))
+    return made.select("dataset_id", cells.alias("c")).select("dataset_id", "c.*"), spi.sizes(m)
 
 
 THREE = f"""{EMB}, {PAIRS}, lg AS (SELECT dataset_id, t, proc, lag(x) OVER (PARTITION BY dataset_id, proc ORDER BY t) AS x FROM mts),
