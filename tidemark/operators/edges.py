@@ -115,11 +115,17 @@ def spi_features(vectors: DataFrame) -> DataFrame:
 
 
 def mixed_features(edges: DataFrame, sizes: DataFrame, directed: list[str]) -> DataFrame:
-    """Upper triangles where both statistics are undirected, else both full matrices with their diagonal."""
+    """Upper triangles where both statistics are undirected, else both full matrices with their diagonal.
+
+    A vector with a value that isn't finite is all 0.
+    """
     isdir = lambda c: F.col(c).isin(directed)
     tri = upper(edges, sizes).select("dataset_id", "spi", "k", F.coalesce("value", F.lit(float("nan"))).alias("value"))
     all_ = full(with_diagonal(edges, sizes), sizes).select("dataset_id", "spi", "k", F.coalesce("value", F.lit(float("nan"))).alias("value"))
-    z = lambda v: v.select("dataset_id", "spi", "k", zscore("value", "dataset_id", "spi").alias("z"))
+    # Values themselves are ranked: standardised, some that differ by little would become ties.
+    by = Window.partitionBy("dataset_id", "spi")
+    bad = F.max(F.isnan("value") | (F.abs("value") == float("inf"))).over(by)
+    z = lambda v: v.select("dataset_id", "spi", "k", F.when(bad, 0.0).otherwise(F.col("value")).alias("z"))
     both = spi_features(z(tri)).filter(~isdir("spi_a") & ~isdir("spi_b"))
     return both.unionByName(spi_features(z(all_)).filter(isdir("spi_a") | isdir("spi_b")))
 
