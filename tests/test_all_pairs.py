@@ -107,3 +107,14 @@ def test_robust_covariance_is_that_of_one_start_after_the_other_and_made_once(mo
 def test_datasets_are_dealt_to_all_partitions(spark):
     mts = spark.createDataFrame([(f"d{k}", t, p, math.sin(k + t * (p + 1))) for k in range(40) for t in range(12) for p in range(2)], "dataset_id string, t int, proc int, x double")
     assert spi.compute(mts, ["hhg"]).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_alignments_are_dealt_to_all_partitions(spark):
+    from tidemark.operators import alignment
+
+    mts = spark.createDataFrame([(f"d{k}", t, p, math.sin(k + t * (p + 1))) for k in range(20) for t in range(9) for p in range(3)], "dataset_id string, t int, proc int, x double")
+    edges = alignment.dynamic_time_warping(mts)
+    assert edges.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    got = {(r.dataset_id, r.i, r.j): r.value for r in edges.collect()}
+    z = [[[math.sin(k + t * (p + 1)) for t in range(9)] for p in range(3)] for k in range(20)]
+    assert len(got) == 60 and all(abs(got[f"d{k}", i, j] - K.dtw(np.array(z[k][i]), np.array(z[k][j]))) < 1e-12 for k in range(20) for i in range(3) for j in range(i + 1, 3))
