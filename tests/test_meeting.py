@@ -29,3 +29,14 @@ def test_mixed_features_rank_values_as_they_are(spark):
     rho = E.mixed_features(edges, spark.createDataFrame([("a", 4)], "dataset_id string, m int"), ["lag"]).first().rho
     rank = lambda m: np.array([(m < x).sum() + ((m == x).sum() + 1) / 2 for x in m.ravel()])
     assert abs(rho - np.corrcoef(rank(v), rank(w))[0, 1]) < 1e-12
+
+
+def test_smoothed_gaps_count_equal_values_once_and_deal_the_work(spark):
+    rows = [(c, "f", float(v)) for c, vs in (("a", [0, 0, 0, 1, 2]), ("b", [0, 2, 2, 3])) for v in vs]
+    out = E.ks_sweep(spark.createDataFrame(rows, "mts_class string, feature string, value double"), ["a", "b"], [0.5])
+    assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
+    a, b = (np.array([v for c, _, v in rows if c == k]) for k in "ab")
+    g = np.linspace(0, 3, 512)[:, None]
+    da, db = (np.exp(-0.5 * ((g - v) / (0.5 * v.std(ddof=1))) ** 2).sum(1).cumsum() for v in (a, b))
+    got = out.first()
+    assert abs(got.ks - np.abs(da / da[-1] - db / db[-1]).max()) < 1e-9 and (got.n_a, got.n_b) == (5, 4)

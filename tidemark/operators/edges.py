@@ -174,16 +174,20 @@ def ks_sweep(features: DataFrame, classes: list[str], bandwidths: list[float], p
     A row a bandwidth, for every two classes and each feature. Where a class is constant or alone the plain statistic stands in.
     """
     pos = {c: k for k, c in enumerate(classes)}
-    sums = features.filter(F.col("mts_class").isin(classes)).groupBy("feature", "mts_class").agg(F.collect_list("value").alias("v"), F.stddev_samp("value").alias("sd"))
+    by = features.filter(F.col("mts_class").isin(classes))
+    # Equal values are one, with their number: of rounded values there are only so many.
+    told = by.groupBy("feature", "mts_class", "value").agg(F.count(F.lit(1)).alias("n")).groupBy("feature", "mts_class").agg(F.collect_list(F.struct("value", "n")).alias("v"))
+    sums = told.join(by.groupBy("feature", "mts_class").agg(F.stddev_samp("value").alias("sd")), ["feature", "mts_class"])
     a = sums.select("feature", F.col("mts_class").alias("class_a"), F.col("v").alias("va"), F.col("sd").alias("sa"))
     b = sums.select("feature", F.col("mts_class").alias("class_b"), F.col("v").alias("vb"), F.col("sd").alias("sb"))
     order = lambda c: F.element_at(F.create_map(*[F.lit(x) for kv in pos.items() for x in kv]), F.col(c))
     widths = F.explode(F.array(*[F.lit(float(w)) for w in bandwidths]))
     both = a.join(b, "feature").filter(order("class_a") < order("class_b")).withColumn("bandwidth", widths)
-    lo, hi = F.least(F.array_min("va"), F.array_min("vb")), F.greatest(F.array_max("va"), F.array_max("vb"))
-    grid = both.filter((F.col("sa") > 1e-12) & (F.col("sb") > 1e-12)).withColumn("g", F.explode(F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda k: lo + (hi - lo) * k / (points - 1))))
-    kernel = lambda v, sd: F.aggregate(v, F.lit(0.0), lambda acc, x: acc + F.exp(-0.5 * F.pow((F.col("g") - x) / (F.col("bandwidth") * F.col(sd)), 2)))
     keys = ["class_a", "class_b", "feature", "bandwidth"]
+    both = both.repartition(int(features.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)  # few rows and much work
+    lo, hi = F.least(F.array_min("va")["value"], F.array_min("vb")["value"]), F.greatest(F.array_max("va")["value"], F.array_max("vb")["value"])
+    grid = both.filter((F.col("sa") > 1e-12) & (F.col("sb") > 1e-12)).withColumn("g", F.explode(F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda k: lo + (hi - lo) * k / (points - 1))))
+    kernel = lambda v, sd: F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x["n"] * F.exp(-0.5 * F.pow((F.col("g") - x["value"]) / (F.col("bandwidth") * F.col(sd)), 2)))
     d = grid.select(*keys, "g", kernel("va", "sa").alias("da"), kernel("vb", "sb").alias("db"))
     run, whole = Window.partitionBy(*keys).orderBy("g").rowsBetween(Window.unboundedPreceding, Window.currentRow), Window.partitionBy(*keys)
     gap = F.abs(F.try_divide(F.sum("da").over(run), F.sum("da").over(whole)) - F.try_divide(F.sum("db").over(run), F.sum("db").over(whole)))
