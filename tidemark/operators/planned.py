@@ -39,8 +39,7 @@ PLANS: list[tuple[str, Callable[[DataFrame, list[str]], DataFrame]]] = [
     (rf"({'|'.join(fourier.MEASURES)})_(mean|max){_BAND}", _spectral(fourier.measures)),
     (rf"psi{_BAND}", _spectral(fourier.phase_slopes)),
     (rf"gd{_BAND}", _spectral(fourier.group_delays)),
-    (r"dcorr(_biased)?", _each(lambda mts, n: dominance.distance_correlation(mts, n.endswith("_biased")))),
-    (r"dcorrx_maxlag-[0-9]+", _each(lambda mts, n: dominance.lagged_distance_correlation(mts, int(n.rpartition("-")[2])))),
+    (r"dcorr(_biased)?|dcorrx_maxlag-[0-9]+", dominance.distance_statistics),
     (r"(cce|di|si)_gaussian|xme_gaussian_k[0-9]+|te_gaussian_k[0-9]+_l[0-9]+", moments.gaussian_information),
     (r"prec_(EmpiricalCovariance|ShrunkCovariance|OAS|LedoitWolf)", lambda mts, names: moments.precision(mts, [n[5:] for n in names])),
     (r"reci", _each(lambda mts, _: regression.regression_error(mts))),
