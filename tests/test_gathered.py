@@ -2,7 +2,8 @@
 
 import numpy as np
 import pytest
-from tidemark.operators import dominance, gathered
+from tidemark.operators import dominance, gathered, spi
+from tidemark.operators import kernels as K
 
 SCHEMA = "dataset_id string, t int, proc int, x double"
 
@@ -67,3 +68,19 @@ def test_uneven_datasets_take_the_times_that_both_channels_have(spark):
             a, b = (np.sign(v[:, None] - v[None]) for v in pairs(i, j, 0))
             assert kendall["u", "kendall", i, j] == pytest.approx((a * b).sum() / np.sqrt(np.abs(a).sum() * np.abs(b).sum()), abs=1e-12)
             assert lagged["u", "dcorrx_maxlag-1", i, j] == pytest.approx(max(unbiased(*pairs(i, j, k)) for k in (0, 1)), abs=1e-9)
+
+
+def test_descent_takes_many_datasets_at_each_step(whole, spark):
+    z = np.random.default_rng(6).standard_normal((7, 4, 30)).cumsum(-1)
+    z[2, 1] = 5.0
+    assert np.allclose(K.gradient_descent(z), [K.gradient_descent(one) for one in z], rtol=0, atol=1e-12)
+    mts = whole.unionByName(spark.createDataFrame([("u", 0, 0, 1.0), ("u", 1, 0, None), ("u", 0, 1, 3.0), ("u", 2, 1, 4.0)], SCHEMA))
+    got = spi.compute(mts, ["lmfit_SGDRegressor"])
+    assert "FlatMapGroupsInArrow" not in got._jdf.queryExecution().executedPlan().toString()  # a call a dataset
+    got = {(r.dataset_id, r.i, r.j): r.value for r in got.collect()}
+    for d, rows in mts.toPandas().groupby("dataset_id"):
+        wide = rows.pivot(index="proc", columns="t", values="x").fillna(0.0).to_numpy()
+        want = K.gradient_descent(wide)
+        for i, j in zip(*np.nonzero(~np.eye(len(wide), dtype=bool)), strict=True):
+            assert got.pop((d, int(i), int(j))) == pytest.approx(want[i, j], abs=1e-12)
+    assert not got

@@ -46,6 +46,7 @@ PLANS: list[tuple[str, Callable[[DataFrame, list[str]], DataFrame]]] = [
     (r"igci", _each(lambda mts, _: regression.value_slopes(mts))),
     (r"cds", _each(lambda mts, _: regression.conditional_distributions(mts))),
     (r"lmfit_(Ridge|Lasso|ElasticNet|BayesianRidge)", _models),
+    (r"lmfit_SGDRegressor", lambda mts, _: regression.stochastic_descent(mts)),
     (r"coint_aeg.*", regression.cointegration),
     (r"dtw(_.*)?", _aligned(alignment.dynamic_time_warping)),
     (r"softdtw(_.*)?", _aligned(alignment.soft_dynamic_time_warping)),

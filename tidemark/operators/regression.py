@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .gathered import edges_of
+from .kernels import gradient_descent
 from .meeting import together
 from .moments import eliminated, residuals, zscores
 
@@ -96,6 +99,11 @@ def linear_models(mts: DataFrame, models: list[str]) -> DataFrame:
     return s.withColumn("w", cells).select("dataset_id", "w.spi", "i", "j", ((yy - 2 * b * c + b * b * F.col("xx")) / n).alias("value"))
 
 
+def stochastic_descent(mts: DataFrame) -> DataFrame:
+    """Directed: the same error after stochastic gradient descent, a step a time and all pairs of many datasets at each step."""
+    return edges_of(mts, {"lmfit_SGDRegressor": True}, lambda z: {"lmfit_SGDRegressor": gradient_descent(np.nan_to_num(z))})
+
+
 def engle_granger(mts: DataFrame, name: str, lags: int = 1, trend: bool = False, criterion: str | None = None) -> DataFrame:
     """Dickey-Fuller t of the residual of j on i (and time), with `lags` past differences, i < j.
 
