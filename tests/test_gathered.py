@@ -84,3 +84,14 @@ def test_descent_takes_many_datasets_at_each_step(whole, spark):
         for i, j in zip(*np.nonzero(~np.eye(len(wide), dtype=bool)), strict=True):
             assert got.pop((d, int(i), int(j))) == pytest.approx(want[i, j], abs=1e-12)
     assert not got
+
+
+def test_evidence_is_maximised_for_many_pairs_at_each_round(whole):
+    plan = spi.compute(whole, ["lmfit_BayesianRidge"])
+    assert "lambdafunction" not in plan._jdf.queryExecution().optimizedPlan().toString()  # 50 rounds a row
+    got = {(r.dataset_id, r.i, r.j): r.value for r in plan.collect()}
+    for d, rows in whole.toPandas().groupby("dataset_id"):
+        z = rows.pivot(index="proc", columns="t", values="x").to_numpy()
+        for i, j in zip(*np.nonzero(~np.eye(len(z), dtype=bool)), strict=True):
+            assert got.pop((d, int(i), int(j))) == pytest.approx(K.linear_model(z[i], z[j], "BayesianRidge"), abs=1e-9)
+    assert not got

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,27 +75,32 @@ def conditional_distributions(mts: DataFrame, bins: int = 8, reach: float = 2.5)
     return _edges(grid.join(found, [*_PAIR], "left"), "cds", F.coalesce("v", F.lit(0.0)) / bins)
 
 
+def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the weight after 50 rounds of evidence maximisation, of all pairs of a batch at each round."""
+    for s in batches:
+        n, c, xx, yy = (s.column(k).fill_null(np.nan).to_numpy(zero_copy_only=False) for k in ("n", "c", "xx", "yy"))
+        size = np.where(xx == 0, 1.0, xx)
+        a, l, b = np.ones(len(n)), np.ones(len(n)), np.zeros(len(n))
+        for _ in range(50):  # the weight, then the precisions of noise and weight
+            v = 1 / (l + a * size)
+            b = a * v * c
+            g = 1 - l * v
+            a, l = (n - g) / np.maximum(yy - 2 * b * c + b * b * xx, 1e-12), g / np.maximum(b * b, 1e-12)
+        yield pa.RecordBatch.from_arrays([*s.columns, pa.array(b, mask=np.isnan(b))], names=[*s.schema.names, "evidence"])
+
+
 def linear_models(mts: DataFrame, models: list[str]) -> DataFrame:
     """Directed: mean squared error of j on i, both standardised, by Ridge, Lasso, ElasticNet or BayesianRidge: lmfit_<model>."""
     s = meet(zscores(mts)).groupBy(*_PAIR).agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(F.col("x") * F.col("y")).alias("c"), F.sum(F.col("x") * F.col("x")).alias("xx"), F.sum(F.col("y") * F.col("y")).alias("yy"))
     n, c, yy = F.col("n"), F.col("c"), F.col("yy")
     xx = F.when(F.col("xx") == 0, 1.0).otherwise(F.col("xx"))
     soft = lambda l1, l2: F.signum(c) * F.greatest(F.abs(c) / n - l1, F.lit(0.0)) / (xx / n + l2)
-    kind = "struct<a:double,l:double,b:double>"
-
-    def evidence(acc: Column, _: Column) -> Column:
-        """A round of evidence maximisation: weight, then the precisions of weight and noise."""
-        v = 1 / (acc["l"] + acc["a"] * xx)
-        b = acc["a"] * v * c
-        g = 1 - acc["l"] * v
-        rest = yy - 2 * b * c + b * b * F.col("xx")
-        return F.struct(((n - g) / F.greatest(rest, F.lit(1e-12))).alias("a"), (g / F.greatest(b * b, F.lit(1e-12))).alias("l"), b.alias("b")).cast(kind)
-
-    start = F.struct(F.lit(1.0).alias("a"), F.lit(1.0).alias("l"), F.lit(0.0).alias("b")).cast(kind)
     weight = {
         "Ridge": c / (xx + 1), "Lasso": soft(1.0, 0.0), "ElasticNet": soft(0.5, 0.5),
-        "BayesianRidge": F.aggregate(F.sequence(F.lit(1), F.lit(50)), start, evidence, lambda acc: acc["b"]),
+        "BayesianRidge": F.col("evidence"),
     }
+    if "BayesianRidge" in models:
+        s = s.select("dataset_id", F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), "n", "c", "xx", "yy").mapInArrow(_evidence, "dataset_id string, i int, j int, n double, c double, xx double, yy double, evidence double")
     cells = F.explode(F.array(*[F.struct(F.lit(f"lmfit_{m}").alias("spi"), weight[m].alias("b")) for m in models]))
     b = F.col("w.b")
     return s.withColumn("w", cells).select("dataset_id", "w.spi", "i", "j", ((yy - 2 * b * c + b * b * F.col("xx")) / n).alias("value"))
