@@ -1,6 +1,7 @@
 """Cases that pages and vectors met in review: article text beside and inside the main slot, extreme and repeated vectors."""
 
 import math
+import random
 
 from pyspark.sql import functions as F
 
@@ -39,3 +40,16 @@ def test_search_of_extreme_and_repeated_vectors(spark):
     want = [(0, 1.0), (1, 1.0), (2, math.sqrt(0.5)), (3, 1 / math.sqrt(5)), (4, -math.sqrt(0.5))]
     for k, (v, s) in enumerate(want, 1):
         assert all(r.vec_id == v and abs(r.score - s) < 1e-15 for r in out if r.rank == k)
+
+
+def test_long_child_lists_align_as_short_ones_do():
+    rng = random.Random(1)
+    tree = lambda deep: (rng.choice("abcd"), tuple(tree(deep - 1) for _ in range(rng.randrange(3))) if deep else (), [])
+    for _ in range(60):
+        xs, ys = ([tree(2) for _ in range(rng.randrange(1, 40))] for _ in range(2))
+        assert wrapper_induction._aligned_in_blocks(xs, ys) == wrapper_induction.aligned(xs, ys, {})
+    # Over a million cells; a label that is there once is first on one side and last on the other.
+    leaf = lambda c: (c, (), [])
+    some = [leaf(c) for c in "ab" * 510]
+    found = wrapper_induction.aligned([leaf("once"), *some], [*some, leaf("once")], {})
+    assert found == [(k + 1, k, 1) for k in range(1020)]

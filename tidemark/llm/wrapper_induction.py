@@ -18,22 +18,22 @@ Edge cases: null or empty html gives empty text; pages without a host share one
 only page, or under five different ones, have too little to compare with, so only the names of elements
 count; markup cut off at
 the end is read as far as it goes; elements nested deeper than 200 count as part of the 200th; child
-lists whose alignment table would pass a million cells are aligned by labels that are there once, and
-what lies between, if still too long, greedily in order. A host may have several layouts, each with its
+lists whose alignment table would pass a million cells are aligned by the same table, block by block. A host may have several layouts, each with its
 main slot; a page with text in none of the slots keeps all blocks outside the furniture.
 """
 
 from __future__ import annotations
 
-import bisect
 import hashlib
 import html as html_lib
 import json
+import math
 import re
 import zlib
-from collections import Counter, OrderedDict
+from collections import OrderedDict
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -196,7 +196,7 @@ def aligned(xs, ys, memo: dict) -> list[tuple[int, int, int]]:
     """Matched child pairs (i, j, weight), in order, of the largest total weight."""
     n, m = len(xs), len(ys)
     if n * m > 1_000_000:
-        return _aligned_long(xs, ys, memo)
+        return _aligned_in_blocks(xs, ys)
     w = [[match(x, y, memo) for y in ys] for x in xs]
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
@@ -215,39 +215,69 @@ def aligned(xs, ys, memo: dict) -> list[tuple[int, int, int]]:
     return out
 
 
-def _aligned_long(xs, ys, memo: dict) -> list[tuple[int, int, int]]:
-    """Labels that are there once on both sides are matched first, as many as keep order; then what lies between two of them."""
-    at: dict[str, list[int]] = {}
-    for i, x in enumerate(xs):
-        at.setdefault(_label(x), []).append(i)
-    times = Counter(_label(y) for y in ys)
-    single = [(at[_label(y)][0], j) for j, y in enumerate(ys) if times[_label(y)] == 1 and len(at.get(_label(y), ())) == 1]
-    tops: list[int] = []
-    ends: list[int] = []
-    back: list[int] = []
-    for k, (i, _) in enumerate(single):  # longest increasing subsequence
-        r = bisect.bisect_left(tops, i)
-        back.append(ends[r - 1] if r else -1)
-        tops[r : r + 1], ends[r : r + 1] = [i], [k]
-    anchors, k = [], ends[-1] if ends else -1
-    while k >= 0:
-        anchors.append(single[k])
-        k = back[k]
+class _Weights:
+    """Rows of the weights of xs against ys, a row at a time; children of one shape weigh the same, so shapes are matched once."""
+
+    def __init__(self, xs, ys):
+        self.xs, self.ys, self.numbers = xs, ys, {}
+        self.x, y = ([self.number(t) for t in side] for side in (xs, ys))
+        self.kinds, first, self.y = np.unique(np.array(y), return_index=True, return_inverse=True)
+        self.by_label: dict[str, list[int]] = {}
+        for k, at in enumerate(first):
+            self.by_label.setdefault(_label(ys[at]), []).append(k)
+        self.first, self.kept = first, OrderedDict()
+
+    def number(self, tree) -> int:
+        """Of the tree's shape: labels and their order, no texts."""
+        key = (_label(tree), *[self.number(t) for t in _kids(tree)])
+        return self.numbers.setdefault(key, len(self.numbers))
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        kind = self.x[i]
+        if kind not in self.kept:
+            row, memo = np.zeros(len(self.kinds), np.int64), {}
+            for k in self.by_label.get(_label(self.xs[i]), ()):
+                row[k] = match(self.xs[i], self.ys[self.first[k]], memo)
+            self.kept[kind] = row
+            if len(self.kept) * len(row) > 1_000_000 and len(self.kept) > 1:
+                self.kept.popitem(last=False)
+        return self.kept[kind][self.y]
+
+
+def _aligned_in_blocks(xs, ys) -> list[tuple[int, int, int]]:
+    """The same pairs as the whole table gives: every block's first row is kept, and blocks are made again as the path comes to them."""
+    n, m = len(xs), len(ys)
+    w, size = _Weights(xs, ys), math.isqrt(n) + 1
+
+    def above(i: int, below: np.ndarray) -> np.ndarray:
+        """Row i of the table from row i + 1."""
+        at = w[i]
+        row = below.copy()
+        row[:-1] = np.maximum(row[:-1], np.where(at > 0, below[1:] + at, 0))
+        return np.maximum.accumulate(row[::-1])[::-1]
+
+    row, kept = np.zeros(m + 1, np.int64), {n: np.zeros(m + 1, np.int64)}
+    for i in range(n - 1, -1, -1):
+        row = above(i, row)
+        if i % size == 0:
+            kept[i] = row
     out, i, j = [], 0, 0
-    for x, y in [*anchors[::-1], (len(xs), len(ys))]:
-        if (x - i) * (y - j) <= 1_000_000:
-            out += [(i + p, j + q, w) for p, q, w in aligned(xs[i:x], ys[j:y], memo)] if x > i and y > j else []
-        else:
-            low = i
-            for q in range(j, y):
-                places = at.get(_label(ys[q]), [])
-                r = bisect.bisect_left(places, low)
-                if r < len(places) and places[r] < x:
-                    out.append((places[r], q, match(xs[places[r]], ys[q], memo)))
-                    low = places[r] + 1
-        if x < len(xs):
-            out.append((x, y, match(xs[x], ys[y], memo)))
-        i, j = x + 1, y + 1
+    while i < n and j < m:
+        start, end = i - i % size, min(n, i - i % size + size)
+        best = {end: kept[end]}
+        for k in range(end - 1, start - 1, -1):
+            best[k] = above(k, best[k + 1])
+        while i < end and j < m:
+            at = w[i]
+            while j < m:
+                if at[j] and best[i][j] == best[i + 1][j + 1] + at[j]:
+                    out.append((i, j, int(at[j])))
+                    i, j = i + 1, j + 1
+                    break
+                if best[i][j] == best[i + 1][j]:
+                    i += 1
+                    break
+                j += 1
     return out
 
 
