@@ -3,6 +3,7 @@
 import math
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tidemark.llm import adaptive_scan, url_reputation, wrapper_induction
@@ -53,3 +54,15 @@ def test_long_child_lists_align_as_short_ones_do():
     some = [leaf(c) for c in "ab" * 510]
     found = wrapper_induction.aligned([leaf("once"), *some], [*some, leaf("once")], {})
     assert found == [(k + 1, k, 1) for k in range(1020)]
+
+
+def test_first_words_look_their_pieces_up_once(monkeypatch):
+    from tidemark.llm import lattice, lattice_lm, queries
+
+    path, asked = queries.tokenizer_path("piece_bpe_32k.model"), []
+    edges = lattice.Pieces.edges
+    monkeypatch.setattr(lattice.Pieces, "edges", lambda self, chars: asked.append(len(chars)) or edges(self, chars))
+    text = "some plain words and a few others, é and 中 too"
+    t = pa.table({"doc_id": [1], "text": [text], "block": [0], "cls": pa.array([0], pa.int32())})
+    lattice_lm._count_block(path, 1, "doc_id")(t)
+    assert sum(asked) == len(set(text.split()))

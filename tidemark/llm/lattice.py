@@ -77,17 +77,21 @@ class Pieces:
                 side = 1 - side
             else:
                 raise ValueError("the vocabulary does not fit its table")
+        for t, own in zip(table, ids, strict=True):  # an empty place holds what is never looked for there: 0 is at 0 only
+            t[0] = t[0] if own[0] >= 0 else 1
         self.mults = tuple(map(_U, m))
         self.keys, self.ids = [np.array(t, _U) for t in table], [np.array(t, np.int32) for t in ids]
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Piece ids of rolling hashes, -1 without one."""
-        out = np.full(h.shape, -1, np.int32)
+        out, flat = np.full(h.size, -1, np.int32), h.ravel()
         for m, keys, ids in zip(self.mults, self.keys, self.ids, strict=True):
-            at = ((h * m) >> self.shift).astype(np.intp)
-            hit = (keys[at] == h) & (ids[at] >= 0)
-            out[hit] = ids[at[hit]]
-        return out
+            at = flat * m
+            at >>= self.shift
+            at = at.view(np.int64)
+            hit = np.flatnonzero(keys.take(at) == flat)
+            out[hit] = ids.take(at.take(hit))
+        return out.reshape(h.shape)
 
     def edges(self, chars: np.ndarray) -> list[np.ndarray]:
         """For k = 1.. the ids (n, L - k + 1) of pieces covering s..s+k-1; single characters always have an edge (id or -2 - character)."""
@@ -208,13 +212,13 @@ class Linear:
     def _slow(self, edges: list[np.ndarray], n: int, length: int) -> np.ndarray:
         return np.stack([forward_log(self.pieces.edge_log_weights(edges, x), n, length)[:, -1] for x in self.log_weights])
 
-    def expect(self, chars: np.ndarray, out: np.ndarray) -> None:
-        """Add the expected use of each piece over all segmentations of each string to out; one model."""
+    def expect(self, chars: np.ndarray, out: np.ndarray, edges: list[np.ndarray] | None = None) -> None:
+        """Add the expected use of each piece over all segmentations of each string to out; one model. edges: those of chars, if known."""
         n, length = chars.shape
         if length > self.LONGEST:
             expected_counts(self.pieces, self.log_weights[0], chars, out)
             return
-        edges = self.pieces.edges(chars)
+        edges = self.pieces.edges(chars) if edges is None else edges
         w = [x[:, :, 0] for x in self.weights(edges)]
         a = self.forward(w)
         if (low := a[-1] < self.LEAST).any():

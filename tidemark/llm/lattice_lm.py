@@ -118,10 +118,14 @@ def _count_block(model_path: str, classes: int, id_col: str):
                 pick = example[fresh]
                 if not len(pick):
                     continue
-                for _ in range(1 if types[k] else 4):  # a class's first words also set the weights it starts with
+                rounds = 1 if types[k] else 4  # a class's first words also set the weights it starts with
+                words_ = (chars for _, chars in by_length(points, start[pick], end[pick], SPACE, cells=1 << 15))
+                # Pieces are looked up once for all rounds.
+                looked = [(chars, pieces.edges(chars) if chars.shape[1] <= Linear.LONGEST else None) for chars in words_] if rounds > 1 else ((chars, None) for chars in words_)
+                for _ in range(rounds):
                     add, model = np.zeros(pieces.size), Linear(pieces, local[k])
-                    for _, chars in by_length(points, start[pick], end[pick], SPACE, cells=1 << 15):
-                        model.expect(chars, add)
+                    for chars, edges in looked:
+                        model.expect(chars, add, edges)
                     local[k] = normalised(pieces, expected[k] + add)
                 expected[k] += add
                 types[k] += len(pick)
