@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import adaptive_scan, exact_dedup, harmonic_packing, induced_sort, lattice, lattice_lm, ngram_join, piece_sampling, substring_dedup, toxicity, url_reputation, wrapper_induction
+from tidemark.llm import adaptive_scan, common, exact_dedup, harmonic_packing, induced_sort, lattice, lattice_lm, ngram_join, piece_sampling, substring_dedup, toxicity, url_reputation, wrapper_induction
 from tidemark.llm.queries import RULES, tokenizer_path
 
 PIECES, WORDS = tokenizer_path("piece_bpe_32k.model"), tokenizer_path("word_bpe_49k.json")
@@ -296,6 +296,22 @@ def test_substring_dedup(spark):
     assert substring_dedup.remove_repeats(docs.limit(0), length=k).count() == 0
 
 
+def test_substring_dedup_writes_and_shuffles_texts_once_at_most(spark):
+    docs = spark.createDataFrame([(i, prose(i, 60) + prose(i % 7 + 100, 60) + prose(i, 60)) for i in range(40)], "doc_id long, text string")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = substring_dedup.remove_repeats(docs, length=100, with_text=True, owner="once")
+        assert sum(r.n_removed > 0 for r in out.collect()) == 40
+        plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    # Scratch tables hold numbers alone; what is read a second time comes from the same shuffle.
+    assert all(f.dataType.typeName() == "long" or f.name == "open" for p in common._SCRATCH["once"] for f in spark.read.parquet(p).schema.fields)
+    assert "once-blocks" not in common._SCRATCH
+    assert "ReusedExchange" in plan
+
+
 @pytest.mark.parametrize("fragment", [1 << 20, 200])
 def test_ngram_join(spark, fragment):
     r = random.Random(3)
