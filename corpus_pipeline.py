@@ -20,6 +20,8 @@ from tidemark.llm.common import prepare, release, table, written
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 #: Documents whose highest window reaches this are rejected.
 REJECT_FROM = 0.5
+#: Passages of so many words are removed where they occur again, beside the operator's 400-byte strings.
+PASSAGE_WORDS = 51
 SCRATCH = "pipeline"
 
 
@@ -52,12 +54,12 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Remove each byte of a 400-byte string that also starts elsewhere; documents stay, shorter."""
+    """Remove each byte of a 400-byte string, or of a passage of over 50 words, that also starts elsewhere; documents stay, shorter."""
     from tidemark.llm.substring_dedup import remove_repeats
 
     prepare(spark)
     release(spark, SCRATCH)
-    cut = remove_repeats(docs, with_text=True, owner=SCRATCH).filter("n_removed > 0").select(F.col("row").alias("__tm_row"), F.col("kept_text").alias("__tm_kept")).dropDuplicates(["__tm_row"])
+    cut = remove_repeats(docs, words=PASSAGE_WORDS, with_text=True, owner=SCRATCH).filter("n_removed > 0").select(F.col("row").alias("__tm_row"), F.col("kept_text").alias("__tm_kept")).dropDuplicates(["__tm_row"])
     keyed = docs.withColumn("__tm_key", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit(""))))
     text = F.when(F.col("__tm_kept").isNotNull(), F.col("__tm_kept")).otherwise(F.col("text"))
     joined = keyed.join(cut, F.col("__tm_key") == F.col("__tm_row"), "left")

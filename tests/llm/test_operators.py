@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -296,6 +297,49 @@ def test_substring_dedup(spark):
     assert substring_dedup.remove_repeats(docs.limit(0), length=k).count() == 0
 
 
+def test_substring_dedup_by_words(spark):
+    docs, rows = odd_docs(spark)
+    extra = [(20, prose(1, 30).replace(" ", " \n")), (21, "é " * 40 + prose(11, 12)), (22, prose(11, 12)), (23, prose(12, 11)), (24, prose(12, 11) + " end"), (25, prose(13, 20) + " X " + prose(13, 20))]
+    rows, docs = rows + extra, docs.unionByName(spark.createDataFrame([(i, t, "en", 1, "r") for i, t in extra], DOCS))
+    n, k = 12, 200
+    c, d = Counter(), Counter()
+    split = lambda b: [(m.group(), m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0d]+", b)]
+    for _, t in rows:
+        b = (t or "").encode()
+        d.update(b[i : i + k] for i in range(len(b) - k + 1))
+        w = split(b)
+        c.update(tuple(x[0] for x in w[i : i + n]) for i in range(len(w) - n + 1))
+    want = Counter()
+    for i, t in rows:
+        b = (t or "").encode()
+        hit, w = np.zeros(len(b), bool), split(b)
+        for s in range(len(b) - k + 1):
+            if d[b[s : s + k]] > 1:
+                hit[s : s + k] = True
+        for s in range(len(w) - n + 1):
+            if c[tuple(x[0] for x in w[s : s + n])] > 1:
+                hit[w[s][1] : w[s + n - 1][2]] = True
+        want[(i, len(b), int(hit.sum()), int((np.diff(np.concatenate([[0], hit.astype(int)])) == 1).sum()), hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~hit])).hexdigest())] += 1
+    out = substring_dedup.remove_repeats(docs, length=k, words=n, with_text=True).collect()
+    assert Counter((r.id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out) == want
+    assert substring_dedup.remove_repeats(docs.limit(0), length=k, words=n).count() == 0
+
+
+def test_words_of_long_texts_are_read_in_slices():
+    texts = [prose(3, 400).encode(), b"", b"a" * 900 + b" b", prose(4, 3).encode()]
+    for size in (50, 300, 1 << 19):
+        got = {}
+        for first, h, start, end, bounds in substring_dedup.word_places(texts, size):
+            for j in range(len(bounds) - 1):
+                got[first + j] = [(int(x), int(a), int(b)) for x, a, b in zip(*(v[bounds[j] : bounds[j + 1]] for v in (h, start, end)), strict=True)]
+        assert [[t[a:b] for _, a, b in got[i]] for i, t in enumerate(texts)] == [t.split() for t in texts]
+        assert len({x for v in got.values() for x, _, _ in v}) == len({w for t in texts for w in t.split()})
+        for part in (20, 1 << 17):
+            held = [(number[i], place[i], h[bounds[i] : bounds[i + 1]]) for h, bounds, number, place in substring_dedup._word_slices(texts, 5, part) for i in range(len(number))]
+            for i, t in enumerate(texts):
+                assert sorted({int(p) + s for n, p, h in held if n == i for s in range(len(h) - 4)}) == list(range(max(0, len(t.split()) - 4)))
+
+
 def test_substring_dedup_writes_and_shuffles_texts_once_at_most(spark):
     docs = spark.createDataFrame([(i, prose(i, 60) + prose(i % 7 + 100, 60) + prose(i, 60)) for i in range(40)], "doc_id long, text string")
     was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")

@@ -24,3 +24,16 @@ def test_stages(spark, tmp_path):
     assert counts["toxicity"] == sorted(d[0] for d in docs)
     assert set(counts["toxicity"]) - set(counts["exact dedup"]) == {100, 103}
     assert set(counts["exact dedup"]) - set(counts["n-gram Jaccard join"]) == {101}
+
+
+def test_passages_of_over_50_words_go_though_shorter_than_400_bytes(spark, tmp_path):
+    passage = prose(500, 60)
+    passage = " ".join(w[:4] for w in passage.split())  # 299 bytes
+    assert len(passage) < 400
+    short = prose(501, 50)[:380]
+    own = [prose(i, 80) for i in range(8)]
+    texts = [f"{own[0]} {passage} {own[1]}", f"{own[2]}\n{passage.replace(' ', chr(10))}\n{own[3]}", f"{own[4]} {short} {own[5]}", f"{own[6]} {short} {own[7]}", own[0][:200] + " é", None]
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in dict(corpus_pipeline.STAGES)["suffix-array dedup"](spark, docs, str(tmp_path)).collect()}
+    assert got == dict(enumerate(texts)) | {0: f"{own[0]}  {own[1]}", 1: f"{own[2]}\n\n{own[3]}"}
