@@ -51,3 +51,43 @@ def test_tsne_in_blocks_is_the_dense_one(spark):
         y = y + v
     out = {r.dataset_id: (r.x, r.y) for r in got.collect()}
     assert np.allclose([out[f"d{k:02d}"] for k in range(n)], y, rtol=1e-6, atol=1e-9)
+
+
+def test_tsne_takes_no_pair_of_all_in_a_round(spark, monkeypatch):
+    """Near pairs and nodes give what blocks against all others give, in the driver and over tasks."""
+    rng, calls, real = np.random.default_rng(3), [], learn.kernel_sums
+    x = rng.standard_normal((700, 3)) + 9 * rng.integers(0, 3, (700, 1))
+    x[600:640] = x[600]
+    df = spark.createDataFrame([(f"d{k:03d}", "c", f"f{f}", float(v)) for k, r in enumerate(x) for f, v in enumerate(r)], "dataset_id string, mts_class string, feature string, value double").persist()
+    monkeypatch.setattr(learn, "kernel_sums", lambda at, points, charges, columns=4096: calls.append(len(points)) or real(at, points, charges, columns))
+    places = lambda: np.array([(r.x, r.y) for r in learn.embedding(df, rounds=12).orderBy("dataset_id").collect()])
+    near = places()
+    assert len(calls) == 12 and max(calls) < 350
+    monkeypatch.setattr(learn, "SMALL", 0)
+    assert np.allclose(places(), near, rtol=1e-9, atol=1e-13)
+    monkeypatch.setattr(learn, "KEPT", 0)  # all pairs in every round
+    assert np.allclose(places(), near, rtol=1e-9, atol=1e-13)
+
+
+def test_nodes_give_the_sums_over_all_points():
+    rng = np.random.default_rng(4)
+    for width in (1e-3, 1.0, 4.0):
+        y = rng.standard_normal((400, 2)) * [width, width / 3]
+        c = np.c_[np.ones(400), y]
+        exact = learn.kernel_sums(y, y, c)
+        assert np.abs(learn.smooth_sums(y, c, lambda p, q: learn.kernel_sums(p, p, q), chunk=150) - exact).max() < 1e-12 * np.abs(exact).max()
+
+
+def test_neighbourhoods_of_near_ones_are_those_of_all():
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((900, 4)) * rng.choice([0.01, 1, 30], (900, 1))
+    x[:40] = x[0]
+    some, every = learn.neighbourhoods(x, np.arange(900), 10.0, nearest=16), learn.neighbourhoods(x, np.arange(900), 10.0, nearest=899)
+    assert np.allclose(some, every, rtol=1e-9)
+    assert (some[0][:40] == 2.0**49).all() and np.allclose(some[1][:40], np.log(39))  # equal ones alone, not rounding
+    d = ((x[40:, None] - x[None]) ** 2).sum(2)
+    d[np.arange(860), np.arange(40, 900)] = np.inf
+    p = np.exp(-d * some[0][40:, None] - some[1][40:, None])
+    assert np.allclose(p.sum(1), 1, rtol=1e-8)
+    ties = (p > 0.02).sum(1) >= 40  # those whose nearest are the 40 equal ones
+    assert 0 < ties.sum() < 430 and np.allclose(-(p * np.log(np.maximum(p, 1e-300))).sum(1)[~ties], np.log(10), atol=1e-9)

@@ -220,23 +220,158 @@ def forward_selection(features: DataFrame, target: int = 12, splits: int = 5, ki
     return chosen
 
 
-def neighbourhoods(x, rows, perplexity: float, rounds: int = 50):
-    """(precision, sum of kernels) of the rows' Gaussian neighbourhoods of that perplexity among all of x."""
+#: Least probability of a pair in t-SNE; the most pairs above it, a dataset, that are kept between rounds; the most datasets
+#: whose rounds are no jobs.
+FLOOR, KEPT, SMALL = 1e-12, 4096, 2048
+
+
+def distances(x, rows):
+    """Squared distances of the rows to all of x, to rounding of the squared norms."""
+    return ((x[rows] ** 2).sum(1)[:, None] + (x**2).sum(1) - 2 * x[rows] @ x.T).clip(0)
+
+
+def bandwidths(d, goal: float, b):
+    """(precision, logarithm of the sum of kernels) at which the rows' kernels over distances d have entropy goal, from a guess b.
+
+    Newton steps within a bracket. A row whose nearest are too many equal ones for that goal ends at 2^49, or a million
+    to the nearest one's distance, where the sum still tells its terms.
+    """
+    import numpy as np
+
+    b, total = b.copy(), np.ones(len(b))
+    lo, hi, left = np.zeros(len(b)), np.full(len(b), np.inf), np.arange(len(b))
+    base = d.min(1)
+    most = np.minimum(2.0**49, 1e6 / np.maximum(base, 1e-300))
+    for _ in range(100):
+        e = d[left] - base[left, None]
+        q = np.exp(-e * b[left, None])
+        sums = q.sum(1)
+        mean = np.einsum("ij,ij->i", q, e) / sums
+        spread = np.einsum("ij,ij,ij->i", q, e, e) / sums - mean**2
+        off = np.log(sums) + b[left] * mean - goal
+        total[left] = np.log(sums) - base[left] * b[left]
+        on = (np.abs(off) > 1e-14 * max(1.0, goal)) & (b[left] < most[left])
+        left, off, spread = left[on], off[on], spread[on]
+        if not len(left):
+            break
+        now = b[left]
+        lo[left], hi[left] = np.where(off > 0, now, lo[left]), np.where(off > 0, hi[left], now)
+        new = now + off / np.maximum(now * spread, 1e-300)
+        low, high = lo[left], np.minimum(hi[left], 4 * now)
+        b[left] = np.minimum(np.where((new > low) & (new < high), new, np.where(np.isinf(hi[left]), 2 * now, (low + high) / 2)), most[left])
+    return b, total
+
+
+def neighbourhoods(x, rows, perplexity: float, nearest: int = 512):
+    """(precision, logarithm of the sum of kernels) of the rows' Gaussian neighbourhoods of that perplexity among all of x.
+
+    Taken over a row's nearest ones alone, exactly measured; over 16 times as many, up to all, while the others' kernels
+    together could come to 1e-13 of the sum. Farther ones only raise the entropy, and so the precision.
+    """
     import numpy as np
 
     n = len(x)
-    d = ((x[rows] ** 2).sum(1)[:, None] + (x**2).sum(1) - 2 * x[rows] @ x.T).clip(0)
-    own = np.arange(len(rows)), rows
-    goal = np.log(min(perplexity, max((n - 1) / 3, 1.01)))
-    lo, hi, b = np.zeros(len(rows)), np.full(len(rows), np.inf), np.ones(len(rows))
-    for _ in range(rounds):
-        q = np.exp(-d * b[:, None])
-        q[own] = 0
-        used, total = b, q.sum(1).clip(1e-300)
-        wide = np.log(total) + b * np.einsum("ij,ij->i", q, d) / total > goal
-        lo, hi = np.where(wide, b, lo), np.where(wide, hi, b)
-        b = np.where(np.isinf(hi), b * 2, (lo + np.where(np.isinf(hi), 0, hi)) / 2)
-    return used, total
+    goal, width, total = np.log(min(perplexity, max((n - 1) / 3, 1.01))), np.ones(len(rows)), np.zeros(len(rows))
+    step = max(1, 4_000_000 // n)
+    for start in range(0, len(rows) if n > 1 else 0, step):
+        own = rows[start : start + step]
+        d = distances(x, own)
+        d[np.arange(len(own)), own] = np.inf
+        left, m = np.arange(len(own)), min(nearest, n - 1)
+        while len(left):
+            at = np.argpartition(d[left], m - 1, axis=1)[:, :m]
+            farthest = d[left, at[:, m - 1]]
+            few = max(1, 4_000_000 // (m * x.shape[1] + 1))
+            for k in range(0, len(left), few):
+                part, to = left[k : k + few], at[k : k + few]
+                e = sum((x[own[part], f][:, None] - x[to, f]) ** 2 for f in range(x.shape[1]))
+                width[start + part], total[start + part] = bandwidths(e, goal, width[start + part])
+            rest = (n - 1 - m) * np.exp(-farthest * width[start + left] - total[start + left]) > 1e-13
+            rest |= (farthest < 1e-9) & (m < n - 1)  # equal ones, to the rounding of distances
+            left, m = left[rest & (m < n - 1)], min(16 * m, n - 1)
+    return width, total
+
+
+def near_pairs(x, width, total, rows):
+    """(pairs of each of the rows; other rows, probabilities above the floor) of the pairs that are above it, row after row."""
+    import numpy as np
+
+    n, found = len(x), []
+    # Within the reach of either end: farther ones' halves are both under the floor.
+    reach = np.maximum(-np.log(FLOOR * n) - total, 0) / width
+    step = max(1, 4_000_000 // n)
+    for start in range(0, len(rows), step):
+        own = rows[start : start + step]
+        i, j = np.nonzero(distances(x, own) <= np.maximum(reach[own, None], reach) * (1 + 1e-12) + 1e-9)
+        i, j = i[own[i] != j], j[own[i] != j]
+        e = sum((x[own[i], f] - x[j, f]) ** 2 for f in range(x.shape[1]))
+        p = (np.exp(-e * width[own[i]] - total[own[i]]) + np.exp(-e * width[j] - total[j])) / (2 * n) - FLOOR
+        found.append((np.bincount(i[p > 0], minlength=len(own)), j[p > 0].astype(np.int32), p[p > 0]))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def pulls(pairs, y, rows):
+    """Attraction of the rows by their near pairs: sums of probability above the floor times kernel times difference of places."""
+    import numpy as np
+
+    counts, j, p = pairs
+    i = np.repeat(np.arange(len(rows)), counts)
+    dx, dy = y[rows, 0][i] - y[j, 0], y[rows, 1][i] - y[j, 1]
+    w = p / (1 + dx * dx + dy * dy)
+    return np.stack([np.bincount(i, w * dx, len(rows)), np.bincount(i, w * dy, len(rows))], 1)
+
+
+def kernel_sums(at, points, charges, columns: int = 4096):
+    """At the places: sums over all points of kernel times charges, then of squared kernel times charges."""
+    import numpy as np
+
+    out = np.zeros((len(at), 2 * charges.shape[1]))
+    for start in range(0, len(points), columns):
+        of, c = points[start : start + columns], charges[start : start + columns]
+        k = 1 / (1 + (at[:, :1] - of[:, 0]) ** 2 + (at[:, 1:] - of[:, 1]) ** 2)
+        out[:, : c.shape[1]] += k @ c
+        k *= k
+        out[:, c.shape[1] :] += k @ c
+    return out
+
+
+def nodes_per_axis(half) -> list[int]:
+    """Chebyshev nodes for 1 / (1 + r^2), and its square, over that half of a width to 1e-16: the poles are at a distance of 1."""
+    return [math.ceil(37 / math.asinh(1 / h)) + 3 for h in half]
+
+
+def lagrange(u, p: int):
+    """Values at u (within -1 to 1) of the p Lagrange polynomials on the Chebyshev nodes."""
+    import numpy as np
+
+    k = np.arange(p)
+    c = np.cos(np.outer((k + 0.5) * np.pi / p, k)) * 2 / p
+    c[:, 0] /= 2
+    return np.cos(np.arccos(u.clip(-1, 1))[:, None] * k) @ c.T
+
+
+def smooth_sums(y, charges, between, chunk: int = 65536):
+    """kernel_sums of the points at themselves through Chebyshev nodes of their box; between(nodes, charges) sums among nodes."""
+    import numpy as np
+
+    middle = (y.max(0) + y.min(0)) / 2
+    half = np.maximum((y.max(0) - y.min(0)) / 2, 1e-9)
+    p, q = nodes_per_axis(half)
+    chunks = [slice(s, s + chunk) for s in range(0, len(y), chunk)]
+    bases = lambda c: (lagrange((y[c, 0] - middle[0]) / half[0], p), lagrange((y[c, 1] - middle[1]) / half[1], q))
+    held = np.zeros((p, q, charges.shape[1]))
+    for c in chunks:
+        a, b = bases(c)
+        for k in range(charges.shape[1]):
+            held[:, :, k] += a.T @ (b * charges[c, k : k + 1])
+    one, two = (np.cos((np.arange(m) + 0.5) * np.pi / m) * h for m, h in zip((p, q), half, strict=True))
+    s = between(np.stack([np.repeat(one, q), np.tile(two, p)], 1), held.reshape(p * q, -1)).reshape(p, q, -1)
+    out = np.empty((len(y), s.shape[2]))
+    for c in chunks:
+        a, b = bases(c)
+        for k in range(s.shape[2]):
+            out[c, k] = np.einsum("ij,ij->i", a @ s[:, :, k], b)
+    return out
 
 
 def forces(x, y, width, total, rows, columns: int = 4096):
@@ -248,9 +383,10 @@ def forces(x, y, width, total, rows, columns: int = 4096):
     for start in range(0, n, columns):
         at = np.arange(start, min(start + columns, n))
         xc, yc = x[at], y[at]
-        d = ((xr**2).sum(1)[:, None] + (xc**2).sum(1) - 2 * xr @ xc.T).clip(0)
-        p = np.exp(-d * width[rows][:, None]) / total[rows][:, None] + np.exp(-d * width[at]) / total[at]
-        p = np.maximum(p / (2 * n), 1e-12)
+        d = sum((xr[:, f : f + 1] - xc[:, f]) ** 2 for f in range(x.shape[1]))
+        d[rows[:, None] == at] = np.inf
+        p = np.exp(-d * width[rows][:, None] - total[rows][:, None]) + np.exp(-d * width[at] - total[at])
+        p = np.maximum(p / (2 * n), FLOOR)
         k = 1 / (1 + (yr[:, :1] - yc[:, 0]) ** 2 + (yr[:, 1:] - yc[:, 1]) ** 2)
         k[rows[:, None] == at] = 0
         p *= k
@@ -262,12 +398,16 @@ def forces(x, y, width, total, rows, columns: int = 4096):
 
 
 def embedding(features: DataFrame, seed: int = 0, rounds: int = 300, perplexity: float = 10.0, block: int = 128) -> DataFrame:
-    """Two-dimensional t-SNE of datasets, exact: every round is a job in which a task takes blocks of rows against all others.
+    """Two-dimensional t-SNE of datasets, exact to rounding: every round is a job in which a task takes blocks of rows (up to SMALL datasets: none).
 
-    No table of all pairs is held: distances are taken again each round, in pieces of a block by 4,096. Each task has the
-    study's matrix (a row a dataset, a column a feature) and the places; the work is the square of the datasets.
+    Neighbourhoods and the pairs above the least probability come from one pass each over all pairs, in blocks. What is left
+    of a round's sums over all pairs has the smooth kernel of the places alone: it goes through Chebyshev nodes of their box,
+    to 1e-16 of the kernel, where these are fewer than the datasets, and else block by block over all. Where more pairs than
+    KEPT a dataset are above the least probability (many equal datasets), every round takes all pairs anew.
+    Each task has the study's matrix (a row a dataset, a column a feature) and the places.
     """
     import numpy as np
+    from pyspark import StorageLevel
 
     spark = features.sparkSession
     means = features.groupBy("dataset_id", "mts_class", "feature").agg(F.avg("value").alias("value"))
@@ -278,19 +418,54 @@ def embedding(features: DataFrame, seed: int = 0, rounds: int = 300, perplexity:
     if not n:
         return spark.createDataFrame([], "dataset_id string, mts_class string, x double, y double")
     x = (x - x.mean(0)) / np.where(x.std(0) < 1e-12, 1, x.std(0))
-    starts = range(0, n, block)
-    todo = spark.sparkContext.parallelize(starts, min(len(starts), 4 * spark.sparkContext.defaultParallelism))
-    held = spark.sparkContext.broadcast(x)
-    rows = lambda s: np.arange(s, min(s + block, n))
+
+    def deal(size: int):
+        """First rows of blocks; a task has 64 at most, as its pairs are one cached block."""
+        blocks, cores = -(-size // block), spark.sparkContext.defaultParallelism
+        return spark.sparkContext.parallelize(range(0, size, block), min(blocks, cores * -(-blocks // (64 * cores))))
+
+    todo, held = deal(n), spark.sparkContext.broadcast(x)
+    rows = lambda s, size=n: np.arange(s, min(s + block, size))
     width, total = (np.concatenate(c) for c in zip(*todo.map(lambda s: neighbourhoods(held.value, rows(s), perplexity)).collect(), strict=True))
     around = spark.sparkContext.broadcast((width, total))
+    near = todo.map(lambda s: (s, near_pairs(held.value, *around.value, rows(s)))).persist(StorageLevel.MEMORY_AND_DISK)
+    few = n <= KEPT or near.map(lambda t: len(t[1][1])).sum() <= KEPT * n
+    own = near.collect() if few and n <= SMALL else None
+    if not few:
+        near.unpersist()
+
+    def between(points, charges):
+        """Kernel sums among the points, over tasks where they are many."""
+        if len(points) <= SMALL:
+            return kernel_sums(points, points, charges)
+        sent = spark.sparkContext.broadcast((points, charges))
+        got = deal(len(points)).map(lambda s: kernel_sums(sent.value[0][s : s + block], *sent.value)).collect()
+        sent.destroy()
+        return np.concatenate(got)
+
+    def shares(y):
+        """Attraction (2 columns) and repulsion before scaling (2) of all rows, and the sum of all kernels."""
+        places = spark.sparkContext.broadcast(y) if own is None else None
+        if not few:
+            f = np.concatenate(todo.map(lambda s, at=places: forces(held.value, at.value, *around.value, rows(s))).collect())
+            places.destroy()
+            return f[:, :2], f[:, 2:4], f[:, 4].sum()
+        if own is None:
+            pull = np.concatenate(near.map(lambda t, at=places: pulls(t[1], at.value, rows(t[0]))).collect())
+            places.destroy()
+        else:
+            pull = np.concatenate([pulls(t, y, rows(s)) for s, t in own])
+        c = np.c_[np.ones(n), y - (y.max(0) + y.min(0)) / 2]
+        narrow = 2 * math.prod(nodes_per_axis(np.maximum(np.ptp(y, axis=0) / 2, 1e-9))) < n
+        s = smooth_sums(c[:, 1:], c, between) if narrow else between(c[:, 1:], c)
+        return pull + FLOOR * (s[:, :1] * c[:, 1:] - s[:, 1:3]), s[:, 3:4] * c[:, 1:] - s[:, 4:6], s[:, 0].sum() - n
+
     y, v = np.random.default_rng(seed).standard_normal((n, 2)) * 1e-2, np.zeros((n, 2))
-    for r in range(rounds):
-        places = spark.sparkContext.broadcast(y)
-        f = np.concatenate(todo.map(lambda s, at=places: forces(held.value, at.value, *around.value, rows(s))).collect())
-        places.destroy()
-        v = (0.5 if r < 100 else 0.8) * v - 50 * ((4 if r < 100 else 1) * f[:, :2] - f[:, 2:4] / f[:, 4].sum().clip(1e-300))
+    for r in range(rounds if n > 1 else 0):
+        attraction, repulsion, kernels = shares(y)
+        v = (0.5 if r < 100 else 0.8) * v - 50 * ((4 if r < 100 else 1) * attraction - repulsion / max(kernels, 1e-300))
         y = y + v
+    near.unpersist()
     held.destroy()
     around.destroy()
     found = wide[["dataset_id", "mts_class"]].assign(x=y[:, 0], y=y[:, 1])
