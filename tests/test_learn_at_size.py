@@ -91,3 +91,37 @@ def test_neighbourhoods_of_near_ones_are_those_of_all():
     assert np.allclose(p.sum(1), 1, rtol=1e-8)
     ties = (p > 0.02).sum(1) >= 40  # those whose nearest are the 40 equal ones
     assert 0 < ties.sum() < 430 and np.allclose(-(p * np.log(np.maximum(p, 1e-300))).sum(1)[~ties], np.log(10), atol=1e-9)
+
+
+def plain_tree(x, y, weight, classes):
+    """A function from a value to class shares: splits at the first largest gain until rows are pure or equal."""
+    count = np.bincount(y, weight, classes)
+    best = (-1.0, 0.0)
+    for a, b in zip(np.unique(x)[:-1], np.unique(x)[1:], strict=True) if count.max() < count.sum() else ():
+        left = np.bincount(y[x <= a], weight[x <= a], classes)
+        gain = (left**2).sum() / left.sum() + ((count - left) ** 2).sum() / (count - left).sum()
+        best = max(best, (gain, -(a + b) / 2))  # of equal ones the least cut
+    if best[0] < 0:
+        return lambda v: count / count.sum()
+    low = x <= -best[1]
+    below, above = plain_tree(x[low], y[low], weight[low], classes), plain_tree(x[~low], y[~low], weight[~low], classes)
+    return lambda v: below(v) if v <= -best[1] else above(v)
+
+
+def test_a_forest_is_that_of_plain_trees_and_grows_side_by_side(monkeypatch):
+    rng = np.random.default_rng(6)
+    x, test_x = (rng.standard_normal((m, 1)).round(1) for m in (240, 60))  # many equal rows
+    y, test_y = (((v[:, 0] > 0) + rng.integers(0, 2, len(v))).astype(int) for v in (x, test_x))
+    votes = np.zeros((60, 3))
+    for tree in range(25):
+        weight = np.bincount(np.random.default_rng([0, tree]).integers(0, 240, 240), minlength=240)
+        of = plain_tree(x[weight > 0, 0], y[weight > 0], weight[weight > 0], 3)
+        votes += [of(v) for v in test_x[:, 0]]
+    calls, count = [], np.bincount
+    monkeypatch.setattr(np, "bincount", lambda *a, **k: calls.append(1) or count(*a, **k))
+    assert learn.forest_accuracy(x, y, test_x, test_y, trees=25) == (votes.argmax(1) == test_y).mean()
+    assert len(calls) < 100  # one or two a level, not a level and tree
+    two, many = rng.integers(0, 9, (300, 5)) / 7, rng.integers(0, 4, 300)
+    both = learn.forest_accuracy(two[:200], many[:200], two[200:], many[200:], trees=30)
+    monkeypatch.setattr(learn, "TOGETHER", 1)
+    assert learn.forest_accuracy(two[:200], many[:200], two[200:], many[200:], trees=30) == both

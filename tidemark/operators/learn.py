@@ -87,76 +87,129 @@ def estimator(kind: str, classes: int):
     raise ValueError(f"unknown estimator {kind}")
 
 
+#: Rows of bootstraps that grow side by side: as many trees as make so many, at least one.
+TOGETHER = 100_000
+
+
+def sorted_with(key, limit: int):
+    """The keys (below limit) in order, and the place each came from: one sort of numbers that hold both."""
+    import numpy as np
+
+    bits = len(key).bit_length()
+    if limit >> (62 - bits):
+        order = np.argsort(key, kind="stable")
+        return key[order], order
+    both = key << bits | np.arange(len(key))
+    both.sort()
+    return both >> bits, both & (1 << bits) - 1
+
+
+def grown(x, ranks, y, of_row, test_x, classes: int, rngs):
+    """Class shares of the leaves (tree, test row, class) that the test rows reach in trees of these generators' bootstraps.
+
+    x, ranks and y hold different rows; of_row is the place in them of every row that bootstraps draw from.
+    """
+    import numpy as np
+
+    n, width = len(of_row), x.shape[1]
+    tests, tries, distinct = len(test_x), max(1, int(math.sqrt(width))), int(ranks.max()) + 1
+    out = np.zeros((len(rngs) * tests, classes))
+    weights = [np.bincount(of_row[g.integers(0, n, n)], minlength=len(x)) for g in rngs]
+    rows = [np.flatnonzero(w) for w in weights]
+    weight = np.concatenate([w[r] for w, r in zip(weights, rows, strict=True)])
+    node, rows = np.repeat(np.arange(len(rngs)), [len(r) for r in rows]), np.concatenate(rows)
+    test, test_node, tree = np.arange(len(out)), np.repeat(np.arange(len(rngs)), tests), np.arange(len(rngs))
+    if width == 1:  # in the order of the only feature, which splits keep
+        order = sorted_with(node * distinct + ranks[rows, 0], len(rngs) * distinct)[1]
+        node, rows, weight = node[order], rows[order], weight[order]
+    while len(test):
+        nodes = len(tree)
+        label = y[rows]
+        count = np.bincount(node * classes + label, weight, nodes * classes).astype(np.int64)
+        shares = count.reshape(nodes, classes)
+        size, square = shares.sum(1), (shares * shares).sum(1)
+        each = np.bincount(tree, minlength=len(rngs))
+        turn = np.concatenate([g.random((m, width)) for g, m in zip(rngs, each, strict=True)]).argsort(1) if width > 1 else np.zeros((nodes, 1), int)
+        best, feature, cut = np.full(nodes, -1.0), np.full(nodes, -1), np.zeros(nodes)
+        mixed = shares.max(1) < size
+        for k in range(width):
+            seek = mixed if k < tries else mixed & (feature < 0)
+            at = np.flatnonzero(seek[node])
+            if not len(at):
+                break
+            key = node[at] * distinct + ranks.ravel()[rows[at] * width + turn[node[at], k]]
+            if width > 1:
+                key, order = sorted_with(key, nodes * distinct)
+                at = at[order]
+            of, r, w = node[at], rows[at], weight[at]
+            first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+            ends = np.flatnonzero((of[1:] == of[:-1]) & (key[1:] != key[:-1]))
+            if not len(ends):
+                continue
+            # Of each row its class's weight in the node so far; so squares of counts are sums over rows.
+            group = of * classes + label[at]
+            by, place = sorted_with(group, nodes * classes)
+            own = w[place]
+            run = own.cumsum()
+            start = np.flatnonzero(np.r_[True, by[1:] != by[:-1]])
+            so_far = np.empty(len(w), np.int64)
+            so_far[place] = run - np.repeat((run - own)[start], np.diff(np.r_[start, len(by)]))
+            sums = []
+            for step in (w, w * (2 * so_far - w), w * count[group]):
+                total = step.cumsum()
+                base = np.zeros(nodes, np.int64)
+                base[of[first]] = total[first] - step[first]
+                sums.append(total[ends] - base[of[ends]])
+            at_node, (total, left, both) = of[ends], sums
+            gain = left / total + (square[at_node] - 2 * both + left) / (size[at_node] - total)
+            start = np.flatnonzero(np.r_[True, at_node[1:] != at_node[:-1]])
+            top = np.maximum.reduceat(gain, start)
+            here = at_node[start]
+            where = np.flatnonzero(gain == np.repeat(top, np.diff(np.r_[start, len(gain)])))
+            where = where[np.r_[True, at_node[where][1:] != at_node[where][:-1]]]
+            better = top > best[here]
+            here, e, top = here[better], ends[where[better]], top[better]
+            f = turn[here, k]
+            best[here], feature[here] = top, f
+            cut[here] = (x[r[e], f] + x[r[e + 1], f]) / 2
+        done = feature[test_node] < 0
+        out[test[done]] = (shares / size[:, None])[test_node[done]]
+        test, test_node = test[~done], test_node[~done]
+        test_node = 2 * test_node + (test_x.ravel()[test % tests * width + feature[test_node]] > cut[test_node])
+        on = feature[node] >= 0
+        rows, node, weight = rows[on], node[on], weight[on]
+        node = 2 * node + (x.ravel()[rows * width + feature[node]] > cut[node])
+        number = np.zeros(2 * nodes, int)
+        number[test_node] = 1
+        reached = np.flatnonzero(number)
+        number = np.full(2 * nodes, -1)
+        number[reached] = np.arange(len(reached))
+        node, test_node, tree = number[node], number[test_node], tree[reached // 2]
+        rows, node, weight = rows[node >= 0], node[node >= 0], weight[node >= 0]
+    return out.reshape(len(rngs), tests, classes)
+
+
 def forest_accuracy(x, y, test_x, test_y, trees: int = 300, seed: int = 0) -> float:
     """Accuracy on the test rows of a random forest: bootstraps, Gini, square root of the features a split, leaves pure or inseparable.
 
-    A tree grows level by level, all nodes of a level in the same few array operations. Test rows go down with it;
-    branches that none of them reaches are not grown.
+    Trees grow level by level, all nodes of a level in the same few array operations, and several trees at once where
+    rows are few. Equal rows of a class are one with their weights' sum. Test rows go down with the trees, equal ones
+    together; branches that none of them reaches are not grown.
     """
     import numpy as np
 
-    n, width = len(y), x.shape[1]
     classes = int(max(y.max(), test_y.max())) + 1
-    votes, tries = np.zeros((len(test_y), classes)), max(1, int(math.sqrt(width)))
-    ranks = np.stack([np.unique(x[:, f], return_inverse=True)[1].ravel() for f in range(width)], 1)
-    distinct = int(ranks.max()) + 1
-    for tree in range(trees):
-        rng = np.random.default_rng([seed, tree])
-        weight = np.bincount(rng.integers(0, n, n), minlength=n)
-        rows, test = np.flatnonzero(weight), np.arange(len(test_y))
-        node, test_node = np.zeros(len(rows), int), np.zeros(len(test_y), int)
-        while len(test):
-            nodes = int(test_node.max()) + 1
-            count = np.bincount(node * classes + y[rows], weight[rows], nodes * classes).reshape(nodes, classes)
-            size = count.sum(1)
-            turn = rng.random((nodes, width)).argsort(1)
-            best, feature, cut = np.full(nodes, -1.0), np.full(nodes, -1), np.zeros(nodes)
-            mixed = count.max(1) < size
-            for k in range(width):
-                seek = mixed if k < tries else mixed & (feature < 0)
-                at = np.flatnonzero(seek[node])
-                if not len(at):
-                    break
-                f = turn[node[at], k]
-                key = node[at] * distinct + ranks[rows[at], f]
-                order = at[np.argsort(key)]
-                key = np.sort(key)
-                of, r, f = node[order], rows[order], turn[node[order], k]
-                hot = np.zeros((len(r), classes))
-                hot[np.arange(len(r)), y[r]] = weight[r]
-                left = hot.cumsum(0)
-                first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
-                base = np.zeros((nodes, classes))
-                base[of[first]] = left[first] - hot[first]
-                ends = np.flatnonzero((of[1:] == of[:-1]) & (key[1:] != key[:-1]))
-                if not len(ends):
-                    continue
-                at_node = of[ends]
-                left = left[ends] - base[at_node]
-                right, total = count[at_node] - left, left.sum(1)
-                gain = (left * left).sum(1) / total + (right * right).sum(1) / (size[at_node] - total)
-                start = np.flatnonzero(np.r_[True, at_node[1:] != at_node[:-1]])
-                top = np.maximum.reduceat(gain, start)
-                here = at_node[start]
-                where = np.flatnonzero(gain == np.repeat(top, np.diff(np.r_[start, len(gain)])))
-                where = where[np.r_[True, at_node[where][1:] != at_node[where][:-1]]]
-                better = top > best[here]
-                here, e, top = here[better], ends[where[better]], top[better]
-                best[here], feature[here] = top, f[e]
-                cut[here] = (x[r[e], f[e]] + x[r[e + 1], f[e]]) / 2
-            done = feature[test_node] < 0
-            votes[test[done]] += (count / size[:, None])[test_node[done]]
-            test, test_node = test[~done], test_node[~done]
-            test_node = 2 * test_node + (test_x[test, feature[test_node]] > cut[test_node])
-            on = feature[node] >= 0
-            rows, node = rows[on], node[on]
-            node = 2 * node + (x[rows, feature[node]] > cut[node])
-            reached, test_node = np.unique(test_node, return_inverse=True)
-            number = np.full(2 * nodes, -1)
-            number[reached] = np.arange(len(reached))
-            node, test_node = number[node], test_node.ravel()
-            rows, node = rows[node >= 0], node[node >= 0]
-    return float((votes.argmax(1) == test_y).mean())
+    ranks = np.stack([np.unique(x[:, f], return_inverse=True)[1].ravel() for f in range(x.shape[1])], 1)
+    of_row = y
+    for f in range(x.shape[1]):
+        of_row = np.unique(of_row * (int(ranks.max()) + 1) + ranks[:, f], return_inverse=True)[1].ravel()
+    one = np.unique(of_row, return_index=True)[1]
+    tests, of_test = np.unique(test_x, axis=0, return_inverse=True)
+    x, ranks, votes, step = np.ascontiguousarray(x[one]), np.ascontiguousarray(ranks[one]), np.zeros((len(tests), classes)), max(1, TOGETHER // len(y))
+    for first in range(0, trees, step):
+        for shares in grown(x, ranks, y[one], of_row, tests, classes, [np.random.default_rng([seed, t]) for t in range(first, min(first + step, trees))]):
+            votes += shares
+    return float((votes.argmax(1)[of_test.ravel()] == test_y).mean())
 
 
 def folds(x: DataFrame, splits: int) -> tuple[DataFrame, int]:
